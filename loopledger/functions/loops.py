@@ -80,33 +80,37 @@ def java_step(state: Column, mark: Column) -> tuple[Column, Column]:
     return after, kept.isNotNull()
 
 
-def _fold_flags(
-    marks: Column, initial: Column, step: Callable[[Column, Column], tuple[Column, Column]]
+def fold_emit(
+    items: Column,
+    initial: Column,
+    step: Callable[[Column, Column], tuple[Column, Column]],
+    emitted: str = "boolean",
 ) -> Column:
-    no_flags = F.array().cast("array<boolean>")
+    """Run ``step(state, item) -> (next state, value)`` along an array; the values."""
+    none = F.array().cast(f"array<{emitted}>")
 
-    def merge(acc: Column, mark: Column) -> Column:
-        state, inside = step(acc["state"], mark)
+    def merge(acc: Column, item: Column) -> Column:
+        state, value = step(acc["state"], item)
         full = F.size(acc["chunk"]) >= CHUNK
         return F.struct(
             state.alias("state"),
-            F.when(full, F.array(inside)).otherwise(F.concat(acc["chunk"], F.array(inside))).alias("chunk"),
+            F.when(full, F.array(value)).otherwise(F.concat(acc["chunk"], F.array(value))).alias("chunk"),
             F.when(full, F.concat(acc["done"], F.array(acc["chunk"]))).otherwise(acc["done"]).alias("done"),
         )
 
     start = F.struct(
         initial.alias("state"),
-        no_flags.alias("chunk"),
-        F.array().cast("array<array<boolean>>").alias("done"),
+        none.alias("chunk"),
+        F.array().cast(f"array<array<{emitted}>>").alias("done"),
     )
     return F.aggregate(
-        marks, start, merge, lambda acc: F.flatten(F.concat(acc["done"], F.array(acc["chunk"])))
+        items, start, merge, lambda acc: F.flatten(F.concat(acc["done"], F.array(acc["chunk"])))
     )
 
 
 def js_flags(marks: Column, depth: Column | None = None) -> Column:
     """In-loop flag per mark, given the number of loops open before the first."""
-    return _fold_flags(marks, F.lit(0) if depth is None else depth, js_step)
+    return fold_emit(marks, F.lit(0) if depth is None else depth, js_step)
 
 
 def java_start_state(depth: Column | None = None, base: Column | None = None) -> Column:
@@ -117,7 +121,7 @@ def java_start_state(depth: Column | None = None, base: Column | None = None) ->
 
 
 def java_flags(marks: Column, state: Column | None = None) -> Column:
-    return _fold_flags(marks, java_start_state() if state is None else state, java_step)
+    return fold_emit(marks, java_start_state() if state is None else state, java_step)
 
 
 _MARK = {JAVASCRIPT: js_mark, JAVA: java_mark}
