@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import sql_literal
+
 # Prices per call in rupees, defaults and bands.
 UNIT_COSTS = {
     "database_read": 0.002,
@@ -75,6 +77,24 @@ def estimate(
     )
 
 
+def constant_estimate(category: str, costs: Mapping[str, float] = UNIT_COSTS, iterations: int | None = None) -> dict:
+    """The same estimate for values known before the job starts."""
+    unit = float(costs.get(category, 0.0))
+    times = iterations or DEFAULT_ITERATIONS
+    monthly = unit * times * DAYS_PER_MONTH
+    severity = "high" if monthly > HIGH_ABOVE else "medium" if monthly > MEDIUM_ABOVE else "low"
+    return {
+        "category": category, "unit_cost": unit, "iterations": times,
+        "per_execution_cost": round(unit * times, 2), "monthly_cost": round(monthly, 2), "severity": severity,
+    }
+
+
+def cost_map(costs: Mapping[str, float] = UNIT_COSTS, iterations: int | None = None) -> Column:
+    """Estimates as a constant map from category; other categories have no estimate."""
+    categories = {**UNIT_COSTS, **costs}
+    return F.expr(sql_literal({c: constant_estimate(c, costs, iterations) for c in categories}, map_keys=True))
+
+
 def quick_estimate(category: Column, iterations: Column | int | None = DEFAULT_ITERATIONS) -> Column:
     """Estimate by category name; an unknown name fails the job."""
     known = F.when(category.isin(*UNIT_COSTS), category).otherwise(

@@ -13,14 +13,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..rules import HOT, HOT_LOOKBACK, JAVA, JAVASCRIPT, LOOPS
-from .text import any_of, count_char
+from .text import any_of, count_char, finds, searchable
 
 # Flags are gathered in chunks so that appending stays near linear in file length.
 CHUNK = 128
 
 
-def is_loop_start(line: Column, language: str) -> Column:
-    return line.rlike(any_of(LOOPS[language]))
+def numbered_lines(lines: Column) -> Column:
+    """Array of ``no, text, low``: line number from 1, text, and its searchable form."""
+    return F.transform(
+        lines,
+        lambda text, i: F.struct((i + 1).alias("no"), text.alias("text"), searchable(text).alias("low")),
+    )
+
+
+def is_loop_start(text: Column, lowered: Column, language: str) -> Column:
+    test = F.lit(False)
+    for pattern in LOOPS[language]:
+        test = test | finds(text, lowered, pattern)
+    return test
 
 
 def brace_low(line: Column) -> Column:
@@ -42,16 +53,16 @@ def _step(ch: Column) -> Column:
     return F.when(ch == "{", 1).when(ch == "}", -1).otherwise(0)
 
 
-def js_mark(line: Column) -> Column:
+def js_mark(line: Column, lowered: Column) -> Column:
     return F.struct(
-        is_loop_start(line, JAVASCRIPT).cast("int").alias("start"),
+        is_loop_start(line, lowered, JAVASCRIPT).cast("int").alias("start"),
         count_char(line, "}").alias("closes"),
     )
 
 
-def java_mark(line: Column) -> Column:
+def java_mark(line: Column, lowered: Column) -> Column:
     return F.struct(
-        is_loop_start(line, JAVA).alias("start"),
+        is_loop_start(line, lowered, JAVA).alias("start"),
         (count_char(line, "{") - count_char(line, "}")).alias("delta"),
         brace_low(line).alias("low"),
     )
@@ -128,8 +139,8 @@ _MARK = {JAVASCRIPT: js_mark, JAVA: java_mark}
 _FLAGS = {JAVASCRIPT: js_flags, JAVA: java_flags}
 
 
-def mark_lines(lines: Column, language: str) -> Column:
-    return F.transform(lines, _MARK[language])
+def mark_lines(numbered: Column, language: str) -> Column:
+    return F.transform(numbered, lambda l: _MARK[language](l["text"], l["low"]))
 
 
 def flags_from_marks(marks: Column, language: str) -> Column:
@@ -138,7 +149,7 @@ def flags_from_marks(marks: Column, language: str) -> Column:
 
 def in_loop_flags(lines: Column, language: str) -> Column:
     """Array of booleans, one per line."""
-    return flags_from_marks(mark_lines(lines, language), language)
+    return flags_from_marks(mark_lines(numbered_lines(lines), language), language)
 
 
 def near_hot_path(lines: Column, position: Column, language: str) -> Column:

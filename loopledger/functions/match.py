@@ -1,4 +1,8 @@
-"""Pattern matching: first match per rule, and the finding it produces."""
+"""Pattern matching: first match per rule, and the finding it produces.
+
+Matching yields small hits (rule id, label, place).  Rule wording and prices are
+then looked up in two constant maps, so the plan holds each of them once.
+"""
 
 from __future__ import annotations
 
@@ -9,106 +13,114 @@ from pyspark.sql import functions as F
 
 from ..rules import PAGINATION_WORDS, PYTHON, Rule
 from . import cost
-from .text import any_of, contains_any, let, regex
+from .text import contains_any, finds, let, sql_literal
 
 
-def _overlaps(text: Column, pattern: str) -> Column:
+def _overlaps(text: Column, pattern: Column) -> Column:
     """Either contains the other; an empty call part therefore overlaps anything."""
-    return text.contains(pattern) | F.lit(pattern).contains(text)
+    return F.contains(text, pattern) | F.contains(pattern, text)
 
 
 def call_label(rule: Rule, obj: Column, method: Column) -> Column:
     """Label of the first call pattern matching ``obj.method``, else null."""
-    label = F.lit(None).cast("string")
-    for p in reversed(rule.patterns):
-        label = F.when(_overlaps(method, p.method) & _overlaps(obj, p.obj), p.label).otherwise(label)
-    return label
+    patterns = F.expr(sql_literal([{"obj": p.obj, "method": p.method, "label": p.label} for p in rule.patterns]))
+    matching = F.filter(patterns, lambda p: _overlaps(method, p["method"]) & _overlaps(obj, p["obj"]))
+    return F.get(matching, F.lit(0))["label"]
 
 
-def line_label(rule: Rule, line: Column) -> Column:
-    """Label of the first line pattern found in ``line``, else null."""
-    label = F.lit(None).cast("string")
-    for p in reversed(rule.patterns):
-        label = F.when(line.rlike(regex(p.regex)), p.label).otherwise(label)
+def line_label(rule: Rule, text: Column, lowered: Column) -> Column:
+    """Label of the first line pattern found in ``text``, else null."""
+    first, *rest = rule.patterns
+    label = F.when(finds(text, lowered, first.regex), first.label)
+    for p in rest:
+        label = label.when(finds(text, lowered, p.regex), p.label)
     return label
 
 
-def is_candidate(rules: Sequence[Rule], line: Column) -> Column:
-    """One combined search that rules out most lines before the ordered chains run."""
-    return line.rlike(any_of(p.regex for r in rules for p in r.patterns))
-
-
 def is_paginated(query: Column) -> Column:
     return contains_any(F.lower(query), PAGINATION_WORDS)
 
 
-def category_of(rule: Rule, label: Column) -> Column:
-    category = F.lit(rule.category)
-    for text, other in rule.category_by_label.items():
-        category = F.when(label.contains(text), F.lit(other)).otherwise(category)
-    return category
-
-
-def final_severity(base: Column, language: Column, cost_severity: Column) -> Column:
-    """Python findings take over a high cost severity; the others keep their own."""
-    return F.when((language == PYTHON) & (cost_severity == "high"), cost_severity).otherwise(base)
+def call_applies(rule: Rule, call: Column) -> Column:
+    """Whether the rule looks at this call: inside a loop, or an unbounded literal."""
+    if rule.needs_loop:
+        return call["in_loop"]
+    query = call["query_literal"]
+    return F.coalesce(query != "", F.lit(False)) & ~is_paginated(query)
 
 
-def finding(
-    rule: Rule,
-    label: Column,
-    line_number: Column,
-    line_content: Column,
-    hot: Column | None = None,
-    costs: Mapping[str, float] = cost.UNIT_COSTS,
-    iterations: Column | int | None = None,
-) -> Column:
-    """Finding struct, null where ``label`` is null."""
-    base = F.lit(rule.severity)
-    if hot is not None and rule.severity == "medium":
-        base = F.when(hot, "high").otherwise(base)
-    category = category_of(rule, label)
-    priced = cost.estimate(category, iterations, costs=costs)
-    row = F.struct(
-        line_number.cast("int").alias("line_number"),
-        line_content.alias("line_content"),
-        F.lit(rule.rule_id).alias("rule_id"),
-        F.lit(rule.name).alias("rule_name"),
-        F.concat(label, F.lit(" " + rule.sentence)).alias("description"),
-        final_severity(base, F.lit(rule.language), priced["severity"]).alias("severity"),
-        category.alias("category"),
-        F.lit(rule.suggestion).alias("suggestion"),
-        priced.alias("estimated_cost"),
+def _hits(labels: dict[str, Column], line_number: Column, content: Column, hot: Column) -> Column:
+    tried = F.array(*(F.struct(F.lit(rule_id).alias("rule_id"), label.alias("label")) for rule_id, label in labels.items()))
+    return F.transform(
+        F.filter(tried, lambda h: h["label"].isNotNull()),
+        lambda h: F.struct(
+            h["rule_id"].alias("rule_id"), h["label"].alias("label"),
+            line_number.alias("line_number"), content.alias("line_content"), hot.alias("hot"),
+        ),
     )
-    return F.when(label.isNotNull(), row)
 
 
-def _present(findings: list[Column]) -> Column:
-    return F.filter(F.array(*findings), lambda f: f.isNotNull())
+def line_hits(rules: Sequence[Rule], line: Column) -> Column:
+    """Hits of one in-loop line (``no, text, low``), in rule order."""
+    labels = {r.rule_id: line_label(r, line["text"], line["low"]) for r in rules}
+    return _hits(labels, line["no"], line["text"], F.lit(False))
 
 
-def line_findings(rules: Sequence[Rule], line_number: Column, line: Column, **pricing) -> Column:
-    """Findings of one in-loop line, in rule order."""
+def call_hits(rules: Sequence[Rule], call: Column, lines: Column) -> Column:
+    """Hits of one Python call, in rule order."""
+    labels = {
+        r.rule_id: F.when(call_applies(r, call), call_label(r, call["obj"], call["method"])) for r in rules
+    }
+    content = F.coalesce(F.get(lines, call["line_no"] - 1), F.lit(""))
+    return _hits(labels, call["line_no"], content, call["in_hot_path"])
 
-    def one(rule: Rule) -> Column:
-        return let(line_label(rule, line), lambda lb: finding(rule, lb, line_number, line, **pricing))
 
-    return _present([one(r) for r in rules])
+def rule_map(rules: Sequence[Rule]) -> Column:
+    """Rule dimension as a constant map from rule id."""
+    return F.expr(sql_literal({
+        r.rule_id: {
+            "language": r.language, "rule_name": r.name, "category": r.category, "severity": r.severity,
+            "sentence": r.sentence, "suggestion": r.suggestion,
+            "label_text": r.label_category[0] if r.label_category else None,
+            "label_category": r.label_category[1] if r.label_category else None,
+        }
+        for r in rules
+    }, map_keys=True))
 
 
-def call_findings(rules: Sequence[Rule], call: Column, lines: Column, **pricing) -> Column:
-    """Findings of one Python call, in rule order."""
-    content = F.coalesce(F.get(lines, call["line_no"] - 1), F.lit(""))
+def final_severity(base: Column, language: Column, cost_severity: Column) -> Column:
+    """Python findings take over a high cost severity; the others keep their own."""
+    return F.when((language == PYTHON) & (cost_severity == "high"), cost_severity).otherwise(base)
+
 
-    def one(rule: Rule) -> Column:
-        if rule.needs_loop:
-            applies = call["in_loop"]
-        else:
-            query = call["query_literal"]
-            applies = F.coalesce(query != "", F.lit(False)) & ~is_paginated(query)
-        return let(
-            F.when(applies, call_label(rule, call["obj"], call["method"])),
-            lambda lb: finding(rule, lb, call["line_no"], content, call["in_hot_path"], **pricing),
+def to_findings(hits: Column, rules: Sequence[Rule], costs: Mapping[str, float], iterations: int | None) -> Column:
+    """Hits with rule wording, severity and price."""
+    by_rule, by_category = rule_map(rules), cost.cost_map(costs, iterations)
+
+    def priced(hit: Column, rule: Column, category: Column, estimate: Column) -> Column:
+        base = F.when(hit["hot"] & (rule["severity"] == "medium"), "high").otherwise(rule["severity"])
+        return F.struct(
+            hit["line_number"].cast("int").alias("line_number"),
+            hit["line_content"].alias("line_content"),
+            hit["rule_id"].alias("rule_id"),
+            rule["rule_name"].alias("rule_name"),
+            F.concat_ws(" ", hit["label"], rule["sentence"]).alias("description"),
+            final_severity(base, rule["language"], estimate["severity"]).alias("severity"),
+            category.alias("category"),
+            rule["suggestion"].alias("suggestion"),
+            estimate.alias("estimated_cost"),
         )
 
-    return _present([one(r) for r in rules])
+    def one(hit: Column) -> Column:
+        def with_rule(rule: Column) -> Column:
+            category = F.when(hit["label"].contains(rule["label_text"]), rule["label_category"]).otherwise(rule["category"])
+            return let(
+                category,
+                lambda cat: let(
+                    F.try_element_at(by_category, cat), lambda est: priced(hit, rule, cat, est)
+                ),
+            )
+
+        return let(F.try_element_at(by_rule, hit["rule_id"]), with_rule)
+
+    return F.transform(hits, one)

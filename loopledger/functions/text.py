@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 # What counts as a line break and as white space in Python text.
 LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+UNUSUAL_BREAK = r"[\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
@@ -21,11 +23,31 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def sql_literal(value, map_keys: bool = False) -> str:
+    """SQL text of plain Python data: lists are arrays, dicts structs (or a map)."""
+    if isinstance(value, dict):
+        kind = "map" if map_keys else "named_struct"
+        return f"{kind}({', '.join(f'{sql_literal(k)}, {sql_literal(v)}' for k, v in value.items())})"
+    if isinstance(value, (list, tuple)):
+        return f"array({', '.join(map(sql_literal, value))})"
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if value is None:
+        return "CAST(NULL AS STRING)"
+    return f"{value!r}D" if isinstance(value, float) else str(value)
+
+
 def split_lines(code: Column) -> Column:
-    """Lines of a text without their breaks; a final break adds no empty line."""
-    body = F.regexp_replace(code, rf"(?:{LINE_BREAK})\z", "")
-    return F.when(code == "", F.array().cast("array<string>")).otherwise(
-        F.split(body, LINE_BREAK, -1)
+    """Lines of a text without their breaks; a final break adds no empty line.
+
+    Only texts with other breaks than a plain line feed pay for a regular expression.
+    """
+    unified = F.when(code.rlike(UNUSUAL_BREAK), F.regexp_replace(code, LINE_BREAK, "\n")).otherwise(code)
+    return let(
+        F.split(unified, "\n", -1),
+        lambda parts: F.when(
+            F.get(parts, F.size(parts) - 1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)
+        ).otherwise(parts),
     )
 
 
@@ -57,6 +79,58 @@ def any_of(patterns: Iterable[str]) -> str:
     return regex("|".join(f"(?:{p})" for p in patterns))
 
 
+def required_texts(pattern: str) -> list[str]:
+    """Literal pieces every match of ``pattern`` contains, lower-cased.
+
+    Conservative: groups and character classes count for nothing, and a pattern with
+    a top-level alternative or an unusual escape yields no pieces.
+    """
+    runs, run, depth, in_count = [], "", 0, False
+    for token in re.findall(r"\\.|\[\^?\]?(?:\\.|[^\]])*\]|.", pattern, re.S):
+        literal = ""
+        if in_count:
+            in_count = token != "}"
+        elif token == "(":
+            depth += 1
+        elif token == ")":
+            depth -= 1
+        elif depth:
+            continue
+        elif token == "|":
+            return []
+        elif token in ("*", "?", "{"):
+            run, in_count = run[:-1], token == "{"
+        elif token[0] == "\\" and token[1].isalnum():
+            if token[1] not in "bBdDsSwW":
+                return []
+        elif token[0] == "\\":
+            literal = token[1]
+        elif token.isalnum() or token in "@_ ":
+            literal = token
+        if literal:
+            run += literal.lower()
+        else:
+            runs.append(run)
+            run = ""
+    return sorted({r for r in [*runs, run] if r}, key=len, reverse=True)
+
+
+def searchable(text: Column) -> Column:
+    """Lower case, with the letters that ignore-case search equates to i and s."""
+    for letter, plain in (("\u017f", "s"), ("\u0131", "i"), ("\u0130", "i")):
+        text = F.replace(text, F.lit(letter), F.lit(plain))
+    return F.lower(text)
+
+
+def finds(text: Column, lowered: Column, pattern: str) -> Column:
+    """Ignore-case search.  Plain substring tests on ``searchable(text)`` come first
+    and settle nearly every line without running the regular expression."""
+    test = text.rlike(regex(pattern))
+    for piece in reversed(required_texts(pattern)):
+        test = lowered.contains(piece) & test
+    return test
+
+
 def capitalize(text: Column) -> Column:
     """Upper-case the first letter, leave the rest."""
     return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 2_147_483_647))

@@ -8,17 +8,22 @@ the standard-library parser inside an Arrow-batched function.  Everything after
 from __future__ import annotations
 
 import ast
+import sys
 import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf, udtf
 
 from ..rules import HOT_FUNCTION_WORDS
 
+# Ship this module's functions with the job, so executors need no installed copy.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 CALL_FIELDS = (
     T.StructType()
     .add("line_no", T.IntegerType())

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import cost
 from ..functions.language import resolve_language
-from ..functions.loops import flags_from_marks, mark_lines
-from ..functions.match import call_findings, is_candidate, line_findings
+from ..functions.loops import flags_from_marks, mark_lines, numbered_lines
+from ..functions.match import call_hits, line_hits, to_findings
 from ..functions.text import let, split_lines
 from ..rules import BUILTIN_RULES, JAVA, JAVASCRIPT, PYTHON, UNKNOWN, Rule, rules_for
 from .callsites import extract_calls
@@ -23,34 +23,27 @@ from .callsites import extract_calls
 UNDETECTED = "Could not detect programming language"
 SNIPPET_PATH = "<input>"
 
-FINDING_TYPE = (
-    "struct<line_number:int,line_content:string,rule_id:string,rule_name:string,"
-    "description:string,severity:string,category:string,suggestion:string,"
-    "estimated_cost:struct<category:string,unit_cost:double,iterations:int,"
-    "per_execution_cost:double,monthly_cost:double,severity:string>>"
-)
+HIT_TYPE = "struct<rule_id:string,label:string,line_number:int,line_content:string,hot:boolean>"
 
 
-def _no_findings() -> Column:
-    return F.array().cast(f"array<{FINDING_TYPE}>")
+def _no_hits() -> Column:
+    return F.array().cast(f"array<{HIT_TYPE}>")
 
 
-def _line_language_findings(lines: Column, language: str, rules: Sequence[Rule], **pricing) -> Column:
+def _line_language_hits(numbered: Column, language: str, rules: Sequence[Rule]) -> Column:
     def hits(marks: Column) -> Column:
-        flags = flags_from_marks(marks, language)
-        numbered = F.transform(lines, lambda text, i: F.struct((i + 1).alias("no"), text.alias("text")))
         inside = F.filter(
-            F.zip_with(numbered, flags, lambda l, f: F.when(f & is_candidate(rules, l["text"]), l)),
+            F.zip_with(numbered, flags_from_marks(marks, language), lambda l, f: F.when(f, l)),
             lambda l: l.isNotNull(),
         )
-        return F.flatten(F.transform(inside, lambda l: line_findings(rules, l["no"], l["text"], **pricing)))
+        return F.flatten(F.transform(inside, lambda l: line_hits(rules, l)))
 
     # a file without any loop start is done after the first look at its lines
     return let(
-        mark_lines(lines, language),
+        mark_lines(numbered, language),
         lambda marks: F.when(
             F.exists(marks, lambda m: m["start"].cast("boolean")), hits(marks)
-        ).otherwise(_no_findings()),
+        ).otherwise(_no_hits()),
     )
 
 
@@ -59,7 +52,7 @@ def scan(
     rules: Sequence[Rule] = BUILTIN_RULES,
     extra_rules: Sequence[Rule] = (),
     unit_costs: Mapping[str, float] = cost.UNIT_COSTS,
-    iterations: Column | int | None = None,
+    iterations: int | None = None,
 ) -> DataFrame:
     """Scan a DataFrame of source units (batch or streaming).
 
@@ -73,7 +66,6 @@ def scan(
     source_error = F.col("error") if "error" in columns else F.lit(None).cast("string")
     carried = [c for c in columns if c not in ("code", "path", "declared_language", "error")]
     all_rules = [*rules, *extra_rules]
-    pricing = {"costs": unit_costs, "iterations": iterations}
 
     resolved = sources.select(
         *carried,
@@ -89,20 +81,17 @@ def scan(
         extract_calls(F.when(F.col("language") == PYTHON, F.col("code"))).alias("py"),
     )
     lines = F.col("lines")
-    found = F.when(
+    hits = F.when(
         F.col("language") == PYTHON,
-        F.flatten(
-            F.transform(
-                F.col("py.calls"),
-                lambda c: call_findings(rules_for(PYTHON, all_rules), c, lines, **pricing),
-            )
-        ),
+        F.flatten(F.transform(F.col("py.calls"), lambda c: call_hits(rules_for(PYTHON, all_rules), c, lines))),
     )
     for language in (JAVASCRIPT, JAVA):
-        found = found.when(
+        own = rules_for(language, all_rules)
+        hits = hits.when(
             F.col("language") == language,
-            _line_language_findings(lines, language, rules_for(language, all_rules), **pricing),
+            let(numbered_lines(lines), lambda n: _line_language_hits(n, language, own)),
         )
+    hits = F.coalesce(hits, _no_hits())
     return parsed.select(
         *carried, "path", "language",
         F.coalesce(
@@ -110,7 +99,7 @@ def scan(
             F.when(F.col("language") == UNKNOWN, F.lit(UNDETECTED)),
             F.col("py.error"),
         ).alias("error"),
-        F.coalesce(found, _no_findings()).alias("findings"),
+        to_findings(hits, all_rules, unit_costs, iterations).alias("findings"),
     )
 
 

@@ -8,7 +8,7 @@ JavaScript and Java rules match a line by regular expression.
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
@@ -41,11 +41,8 @@ class Rule:
     patterns: Sequence[CallPattern | LinePattern]
     needs_loop: bool = True
     why: str | None = None
-    # labels containing the text on the left get the category on the right
-    category_by_label: dict[str, str] = field(default_factory=dict)
-
-    def description(self, label: str) -> str:
-        return f"{label} {self.sentence}"
+    # (text, category): labels containing the text get this category instead
+    label_category: tuple[str, str] | None = None
 
 
 def _calls(table: str) -> tuple[CallPattern, ...]:
@@ -382,7 +379,7 @@ BUILTIN_RULES: tuple[Rule, ...] = (
         "JAVA005", JAVA, "AWS SDK Call in Loop", "api_call", "high",
         "detected inside a loop. Each iteration makes an AWS API call.",
         "Use batch operations like BatchGetItem or batch write for DynamoDB.",
-        JAVA005_LINES, category_by_label={"DynamoDB": "database_read"},
+        JAVA005_LINES, label_category=("DynamoDB", "database_read"),
     ),
 )
 
