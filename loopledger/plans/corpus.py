@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MARKER = "<<BODY>>"
@@ -266,10 +266,10 @@ PYTHON_LABELS: tuple[tuple, ...] = (
 )
 
 
-def source_files(documents: DataFrame) -> DataFrame:
+def source_files(documents: DataFrame, snippet_by: Column | None = None) -> DataFrame:
     """Table ``files(file_id, path, code, declared_language)`` from ``documents``."""
-    n = len(SNIPPETS)
-    pick = (F.col("doc_id") % n + 1).cast("int")
+    number = F.col("doc_id") if snippet_by is None else snippet_by
+    pick = (number % len(SNIPPETS) + 1).cast("int")
 
     def choose(values: list[str]):
         return F.element_at(F.array(*(F.lit(v) for v in values)), pick)

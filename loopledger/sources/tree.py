@@ -28,6 +28,11 @@ BYTES_PER_BATCH = 16 << 20
 MAX_FILE_BYTES = (1 << 31) - (1 << 20)
 
 
+def _all_excluded(folder: str, excludes: Sequence[str]) -> bool:
+    """The exclusion test looks at whole paths, so a matching folder is out entirely."""
+    return any(x in folder + "/" for x in excludes)
+
+
 def _top_directories(root: str, recursive: bool, excludes: Sequence[str]) -> list[tuple[str, bool]]:
     """(directory, walk everything below) units that together cover the tree."""
     if not recursive:
@@ -38,24 +43,30 @@ def _top_directories(root: str, recursive: bool, excludes: Sequence[str]) -> lis
         units.append((folder, False))
         with os.scandir(folder) as entries:
             below = sorted(e.path for e in entries if e.is_dir(follow_symlinks=False))
-        # the exclusion test looks at whole paths, so a matching folder is out as a whole
-        waiting.extend(d for d in below if not any(x in d + "/" for x in excludes if not x.endswith("/")))
+        waiting.extend(d for d in below if not _all_excluded(d, excludes))
     return units + [(folder, True) for folder in waiting]
 
 
-def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for folder, below in zip(batch["folder"].to_pylist(), batch["below"].to_pylist()):
-            found: list[str] = []
-            for here, folders, names in os.walk(folder):
-                found.extend(os.path.join(here, n) for n in names)
-                if not below:
-                    folders.clear()
-                if len(found) >= PATHS_PER_BATCH:
-                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["path"])
-                    found = []
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["path"])
+def _walker(excludes: Sequence[str]):
+    def batch_of(found: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["path"])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for root, below in zip(batch["folder"].to_pylist(), batch["below"].to_pylist()):
+                found: list[str] = []
+                for here, folders, names in os.walk(root):
+                    found.extend(os.path.join(here, n) for n in names)
+                    folders[:] = [
+                        f for f in folders if below and not _all_excluded(os.path.join(here, f), excludes)
+                    ]
+                    if len(found) >= PATHS_PER_BATCH:
+                        yield batch_of(found)
+                        found = []
+                if found:
+                    yield batch_of(found)
+
+    return walk
 
 
 def read_source(path: str) -> tuple[str | None, str | None]:
@@ -73,7 +84,7 @@ def read_source(path: str) -> tuple[str | None, str | None]:
         return None, f"Could not read file: {exc}"
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read(batches: Iterator[pa.RecordBatch], files_only: bool = False) -> Iterator[pa.RecordBatch]:
     names = ["path", "code", "error"]
 
     def pack(rows: list[tuple]) -> pa.RecordBatch:
@@ -82,6 +93,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows, size = [], 0
     for batch in batches:
         for path in batch["path"].to_pylist():
+            if files_only and not os.path.isfile(path):
+                continue
             code, error = read_source(path)
             rows.append((path, code, error))
             size += len(code or "")
@@ -92,6 +105,11 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pack(rows)
 
 
+def _read_listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As ``_read``, leaving out links to nowhere and other things that are no files."""
+    return _read(batches, files_only=True)
+
+
 def _reading_tasks(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
@@ -104,7 +122,7 @@ def list_tree(
     root = os.path.normpath(root)
     units = _top_directories(root, recursive, excludes) if os.path.isdir(root) else []
     folders = spark.createDataFrame(units, "folder string, below boolean")
-    listed = folders.repartition(_reading_tasks(spark)).mapInArrow(_walk, "path string")
+    listed = folders.repartition(_reading_tasks(spark)).mapInArrow(_walker(excludes), "path string")
     return listed.where(is_supported(F.col("path")) & ~is_excluded(F.col("path"), excludes))
 
 
@@ -118,7 +136,7 @@ def read_tree(
     """
     paths = list_tree(spark, root, recursive, excludes)
     spread = paths.repartition(_reading_tasks(spark), F.xxhash64("path"))
-    return spread.mapInArrow(_read, "path string, code string, error string")
+    return spread.mapInArrow(_read_listed, "path string, code string, error string")
 
 
 def read_path(spark: SparkSession, path: str) -> DataFrame:
