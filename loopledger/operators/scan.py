@@ -17,8 +17,8 @@ from ..functions.language import resolve_language
 from ..functions.loops import flags_from_marks, mark_lines, numbered_lines
 from ..functions.match import call_hits, line_hits, to_findings
 from ..functions.text import let, split_lines
-from ..rules import BUILTIN_RULES, JAVA, JAVASCRIPT, PYTHON, UNKNOWN, Rule, rules_for
-from .callsites import extract_calls
+from ..rules import BUILTIN_RULES, LANGUAGES, PYTHON, UNKNOWN, Rule, rules_for
+from .callsites import EXTRACT_TYPE, extract_calls
 
 UNDETECTED = "Could not detect programming language"
 SNIPPET_PATH = "<input>"
@@ -75,23 +75,24 @@ def scan(
         F.when(source_error.isNull(), resolve_language(declared, path, F.col("code")))
         .otherwise(F.lit(UNKNOWN)).alias("language"),
     )
+    # languages without a rule need no work at all, Python without rules no parser
+    own = {lang: rules_for(lang, all_rules) for lang in LANGUAGES if rules_for(lang, all_rules)}
+    parsed_python = extract_calls(F.when(F.col("language") == PYTHON, F.col("code"))) if PYTHON in own else F.lit(None)
     parsed = resolved.select(
         *carried, "path", "language", "source_error",
-        F.when(F.col("language") != UNKNOWN, split_lines(F.col("code"))).alias("lines"),
-        extract_calls(F.when(F.col("language") == PYTHON, F.col("code"))).alias("py"),
+        F.when(F.col("language").isin(*own), split_lines(F.col("code"))).alias("lines"),
+        parsed_python.cast(EXTRACT_TYPE).alias("py"),
     )
     lines = F.col("lines")
-    hits = F.when(
-        F.col("language") == PYTHON,
-        F.flatten(F.transform(F.col("py.calls"), lambda c: call_hits(rules_for(PYTHON, all_rules), c, lines))),
-    )
-    for language in (JAVASCRIPT, JAVA):
-        own = rules_for(language, all_rules)
-        hits = hits.when(
-            F.col("language") == language,
-            let(numbered_lines(lines), lambda n: _line_language_hits(n, language, own)),
-        )
-    hits = F.coalesce(hits, _no_hits())
+
+    def hits_of(language: str) -> Column:
+        if language == PYTHON:
+            return F.flatten(F.transform(F.col("py.calls"), lambda c: call_hits(own[PYTHON], c, lines)))
+        return let(numbered_lines(lines), lambda n: _line_language_hits(n, language, own[language]))
+
+    hits = _no_hits()
+    for language in own:
+        hits = F.when(F.col("language") == language, F.coalesce(hits_of(language), _no_hits())).otherwise(hits)
     return parsed.select(
         *carried, "path", "language",
         F.coalesce(
