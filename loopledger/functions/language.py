@@ -55,10 +55,7 @@ def is_excluded(path: Column, patterns: tuple[str, ...] | list[str] | None = Non
 
 
 def _score(lowered: Column, words: tuple[str, ...]) -> Column:
-    total = F.lit(0)
-    for word in words:
-        total = total + lowered.contains(word).cast("int")
-    return total
+    return F.size(F.filter(F.lit(list(words)), lambda word: F.contains(lowered, word)))
 
 
 def content_scores(code: Column) -> Column:

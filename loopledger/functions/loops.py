@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..rules import HOT, HOT_LOOKBACK, JAVA, JAVASCRIPT, LOOPS
-from .text import any_of, count_char, finds, searchable
+from .text import any_of, finds, searchable
 
 # Flags are gathered in chunks so that appending stays near linear in file length.
 CHUNK = 128
@@ -27,44 +27,38 @@ def numbered_lines(lines: Column) -> Column:
     )
 
 
-def is_loop_start(text: Column, lowered: Column, language: str) -> Column:
-    test = F.lit(False)
-    for pattern in LOOPS[language]:
-        test = test | finds(text, lowered, pattern)
-    return test
-
-
-def brace_low(line: Column) -> Column:
-    """Lowest brace balance reached inside the line, at most 0."""
-    braces = F.regexp_replace(line, r"[^{}]", "")
-    walked = F.aggregate(
-        F.split(braces, ""),
-        F.struct(F.lit(0).alias("at"), F.lit(0).alias("low")),
-        lambda acc, ch: F.struct(
-            (acc["at"] + _step(ch)).alias("at"),
-            F.least(acc["low"], acc["at"] + _step(ch)).alias("low"),
-        ),
-        lambda acc: acc["low"],
-    )
-    return F.when(line.contains("}"), walked).otherwise(F.lit(0))
+def is_loop_start(text: str, lowered: str, language: str) -> str:
+    """SQL of the loop-start test of one line."""
+    return "(" + " OR ".join(finds(text, lowered, p) for p in LOOPS[language]) + ")"
 
 
-def _step(ch: Column) -> Column:
-    return F.when(ch == "{", 1).when(ch == "}", -1).otherwise(0)
+def _count(text: str, char: str) -> str:
+    return f"(length({text}) - length(replace({text}, '{char}', '')))"
 
 
-def js_mark(line: Column, lowered: Column) -> Column:
-    return F.struct(
-        is_loop_start(line, lowered, JAVASCRIPT).cast("int").alias("start"),
-        count_char(line, "}").alias("closes"),
+def brace_low(text: str) -> str:
+    """SQL of the lowest brace balance reached inside a line, at most 0."""
+    step = "CASE ch WHEN '{' THEN 1 WHEN '}' THEN -1 ELSE 0 END"
+    return (
+        f"CASE WHEN contains({text}, '}}') THEN "
+        f"aggregate(split(regexp_replace({text}, '[^{{}}]', ''), ''), named_struct('at', 0, 'low', 0), "
+        f"(acc, ch) -> named_struct('at', acc.at + {step}, 'low', least(acc.low, acc.at + {step})), acc -> acc.low) "
+        "ELSE 0 END"
     )
 
 
-def java_mark(line: Column, lowered: Column) -> Column:
-    return F.struct(
-        is_loop_start(line, lowered, JAVA).alias("start"),
-        (count_char(line, "{") - count_char(line, "}")).alias("delta"),
-        brace_low(line).alias("low"),
+def line_mark(text: str, lowered: str, language: str) -> str:
+    """SQL of what the scope of a line depends on.
+
+    JavaScript: loop starts and closing braces.  Java: loop start, change of brace
+    depth, lowest depth within the line.
+    """
+    start = is_loop_start(text, lowered, language)
+    if language == JAVASCRIPT:
+        return f"named_struct('start', CAST({start} AS INT), 'closes', {_count(text, '}')})"
+    return (
+        f"named_struct('start', {start}, 'delta', {_count(text, '{')} - {_count(text, '}')}, "
+        f"'low', {brace_low(text)})"
     )
 
 
@@ -135,21 +129,21 @@ def java_flags(marks: Column, state: Column | None = None) -> Column:
     return fold_emit(marks, java_start_state() if state is None else state, java_step)
 
 
-_MARK = {JAVASCRIPT: js_mark, JAVA: java_mark}
 _FLAGS = {JAVASCRIPT: js_flags, JAVA: java_flags}
 
 
-def mark_lines(numbered: Column, language: str) -> Column:
-    return F.transform(numbered, lambda l: _MARK[language](l["text"], l["low"]))
+def mark_lines(numbered: str, language: str) -> Column:
+    """Marks of an array column of numbered lines."""
+    return F.expr(f"transform({numbered}, l -> {line_mark('l.text', 'l.low', language)})")
 
 
-def flags_from_marks(marks: Column, language: str) -> Column:
-    return _FLAGS[language](marks)
+def has_start(marks: str) -> Column:
+    return F.expr(f"exists({marks}, m -> CAST(m.start AS BOOLEAN))")
 
 
-def in_loop_flags(lines: Column, language: str) -> Column:
-    """Array of booleans, one per line."""
-    return flags_from_marks(mark_lines(numbered_lines(lines), language), language)
+def in_loop_flags(marks: Column, language: str) -> Column:
+    """Array of booleans, one per mark."""
+    return _FLAGS[language](marks)
 
 
 def near_hot_path(lines: Column, position: Column, language: str) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..rules import PAGINATION_WORDS, PYTHON, Rule
 from . import cost
-from .text import contains_any, finds, let, sql_literal
+from .text import finds, let, sql_literal
 
 
 def _overlaps(text: Column, pattern: Column) -> Column:
@@ -28,17 +28,15 @@ def call_label(rule: Rule, obj: Column, method: Column) -> Column:
     return F.get(matching, F.lit(0))["label"]
 
 
-def line_label(rule: Rule, text: Column, lowered: Column) -> Column:
-    """Label of the first line pattern found in ``text``, else null."""
-    first, *rest = rule.patterns
-    label = F.when(finds(text, lowered, first.regex), first.label)
-    for p in rest:
-        label = label.when(finds(text, lowered, p.regex), p.label)
-    return label
+def line_label(rule: Rule, text: str, lowered: str) -> str:
+    """SQL of the label of the first line pattern found, else null."""
+    cases = (f"WHEN {finds(text, lowered, p.regex)} THEN {sql_literal(p.label)}" for p in rule.patterns)
+    return f"CASE {' '.join(cases)} END"
 
 
 def is_paginated(query: Column) -> Column:
-    return contains_any(F.lower(query), PAGINATION_WORDS)
+    """Whether a lower-cased literal contains any pagination word."""
+    return F.exists(F.lit(list(PAGINATION_WORDS)), lambda word: F.contains(query, word))
 
 
 def call_applies(rule: Rule, call: Column) -> Column:
@@ -49,30 +47,38 @@ def call_applies(rule: Rule, call: Column) -> Column:
     return F.coalesce(query != "", F.lit(False)) & ~is_paginated(query)
 
 
-def _hits(labels: dict[str, Column], line_number: Column, content: Column, hot: Column) -> Column:
-    tried = F.array(*(F.struct(F.lit(rule_id).alias("rule_id"), label.alias("label")) for rule_id, label in labels.items()))
-    return F.transform(
-        F.filter(tried, lambda h: h["label"].isNotNull()),
-        lambda h: F.struct(
-            h["rule_id"].alias("rule_id"), h["label"].alias("label"),
-            line_number.alias("line_number"), content.alias("line_content"), hot.alias("hot"),
-        ),
-    )
-
+def line_hits(rules: Sequence[Rule], lines: str) -> Column:
+    """Hits in an array column of in-loop lines (``no, text, low``), in rule order.
 
-def line_hits(rules: Sequence[Rule], line: Column) -> Column:
-    """Hits of one in-loop line (``no, text, low``), in rule order."""
-    labels = {r.rule_id: line_label(r, line["text"], line["low"]) for r in rules}
-    return _hits(labels, line["no"], line["text"], F.lit(False))
+    Written as SQL text: the patterns are many, and text reaches the planner in one go.
+    """
+    labels = ", ".join(
+        f"named_struct('rule_id', {sql_literal(r.rule_id)}, 'label', {line_label(r, 'l.text', 'l.low')})" for r in rules
+    )
+    return F.expr(
+        f"flatten(transform({lines}, l -> transform(filter(array({labels}), h -> h.label IS NOT NULL), "
+        "h -> named_struct('rule_id', h.rule_id, 'label', h.label, 'line_number', l.no, "
+        "'line_content', l.text, 'hot', false))))"
+    )
 
 
 def call_hits(rules: Sequence[Rule], call: Column, lines: Column) -> Column:
     """Hits of one Python call, in rule order."""
-    labels = {
-        r.rule_id: F.when(call_applies(r, call), call_label(r, call["obj"], call["method"])) for r in rules
-    }
+    tried = F.array(*(
+        F.struct(
+            F.lit(r.rule_id).alias("rule_id"),
+            F.when(call_applies(r, call), call_label(r, call["obj"], call["method"])).alias("label"),
+        )
+        for r in rules
+    ))
     content = F.coalesce(F.get(lines, call["line_no"] - 1), F.lit(""))
-    return _hits(labels, call["line_no"], content, call["in_hot_path"])
+    return F.transform(
+        F.filter(tried, lambda h: h["label"].isNotNull()),
+        lambda h: F.struct(
+            h["rule_id"].alias("rule_id"), h["label"].alias("label"),
+            call["line_no"].alias("line_number"), content.alias("line_content"), call["in_hot_path"].alias("hot"),
+        ),
+    )
 
 
 def rule_map(rules: Sequence[Rule]) -> Column:

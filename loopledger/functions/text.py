@@ -66,10 +66,6 @@ def contains_any(text: Column, words: Iterable[str]) -> Column:
     return test
 
 
-def count_char(text: Column, char: str) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
-
-
 def regex(pattern: str) -> str:
     """Java form of a pattern: ignore case, Unicode classes, and U+001F as white space."""
     return "(?iU)" + pattern.replace(r"\s", r"[\s\x1F]")
@@ -122,13 +118,12 @@ def searchable(text: Column) -> Column:
     return F.lower(text)
 
 
-def finds(text: Column, lowered: Column, pattern: str) -> Column:
-    """Ignore-case search.  Plain substring tests on ``searchable(text)`` come first
-    and settle nearly every line without running the regular expression."""
-    test = text.rlike(regex(pattern))
-    for piece in reversed(required_texts(pattern)):
-        test = lowered.contains(piece) & test
-    return test
+def finds(text: str, lowered: str, pattern: str) -> str:
+    """SQL of an ignore-case search.  Plain substring tests on ``lowered`` (the
+    ``searchable`` form) come first and settle nearly every line without running the
+    regular expression."""
+    tests = [f"contains({lowered}, {sql_literal(piece)})" for piece in required_texts(pattern)]
+    return "(" + " AND ".join([*tests, f"rlike({text}, {sql_literal(regex(pattern))})"]) + ")"
 
 
 def capitalize(text: Column) -> Column:

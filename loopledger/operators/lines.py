@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.loops import in_loop_flags
+from ..functions.loops import in_loop_flags, mark_lines, numbered_lines
 from ..functions.text import split_lines
 
 
@@ -20,7 +20,9 @@ def lines_with_scope(sources: DataFrame, language: str, text: str = "code") -> D
     """Lines with their ``in_loop`` flag, folded inside each source row: no shuffle."""
     keys = [c for c in sources.columns if c != text]
     lines = sources.select(*keys, split_lines(F.col(text)).alias("lines"))
-    flagged = lines.select(*keys, F.arrays_zip("lines", in_loop_flags(F.col("lines"), language).alias("flags")).alias("z"))
+    numbered = lines.select(*keys, "lines", numbered_lines(F.col("lines")).alias("numbered"))
+    flags = in_loop_flags(mark_lines("numbered", language), language)
+    flagged = numbered.select(*keys, F.arrays_zip("lines", flags.alias("flags")).alias("z"))
     rows = flagged.select(*keys, F.posexplode("z").alias("pos", "z"))
     return rows.select(
         *keys, (F.col("pos") + 1).alias("line_no"), F.col("z.lines").alias("line"), F.col("z.flags").alias("in_loop")

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions import cost
 from ..functions.language import resolve_language
-from ..functions.loops import flags_from_marks, mark_lines, numbered_lines
+from ..functions.loops import has_start, in_loop_flags, mark_lines, numbered_lines
 from ..functions.match import call_hits, line_hits, to_findings
-from ..functions.text import let, split_lines
+from ..functions.text import split_lines
 from ..rules import BUILTIN_RULES, LANGUAGES, PYTHON, UNKNOWN, Rule, rules_for
 from .callsites import EXTRACT_TYPE, extract_calls
 
@@ -30,20 +30,40 @@ def _no_hits() -> Column:
     return F.array().cast(f"array<{HIT_TYPE}>")
 
 
-def _line_language_hits(numbered: Column, language: str, rules: Sequence[Rule]) -> Column:
-    def hits(marks: Column) -> Column:
-        inside = F.filter(
-            F.zip_with(numbered, flags_from_marks(marks, language), lambda l, f: F.when(f, l)),
-            lambda l: l.isNotNull(),
-        )
-        return F.flatten(F.transform(inside, lambda l: line_hits(rules, l)))
-
-    # a file without any loop start is done after the first look at its lines
-    return let(
-        mark_lines(numbered, language),
-        lambda marks: F.when(
-            F.exists(marks, lambda m: m["start"].cast("boolean")), hits(marks)
-        ).otherwise(_no_hits()),
+def _once(df: DataFrame, *names: str) -> DataFrame:
+    """Pin columns to one evaluation.
+
+    A filter on a column is normally moved below the projection that defines it, with
+    the definition copied along; for the scan that would mean scanning twice.  Filters
+    do not move below a generator, so the columns pass through a one-row explode.
+    """
+    for name in names:
+        others = [c for c in df.columns if c != name]
+        df = df.select(*others, F.explode_outer(F.array(name)).alias(name))
+    return df
+
+
+def resolve_sources(sources: DataFrame) -> DataFrame:
+    """Source units with ``path``, ``language`` and ``error``, ready to scan.
+
+    Needs ``code``; uses ``path``, ``declared_language`` and ``error`` (of the reader)
+    when present and keeps all other columns.
+    """
+    columns = sources.columns
+    path = F.col("path") if "path" in columns else F.lit(SNIPPET_PATH)
+    declared = F.col("declared_language") if "declared_language" in columns else F.lit(None).cast("string")
+    error = F.col("error") if "error" in columns else F.lit(None).cast("string")
+    carried = [c for c in columns if c not in ("code", "path", "declared_language", "error")]
+    resolved = sources.select(
+        *carried,
+        path.alias("path"),
+        F.when(error.isNull(), F.col("code")).alias("code"),
+        F.when(error.isNull(), resolve_language(declared, path, F.col("code")))
+        .otherwise(F.lit(UNKNOWN)).alias("language"),
+        error.alias("error"),
+    )
+    return resolved.withColumn(
+        "error", F.coalesce("error", F.when(F.col("language") == UNKNOWN, F.lit(UNDETECTED)))
     )
 
 
@@ -56,52 +76,54 @@ def scan(
 ) -> DataFrame:
     """Scan a DataFrame of source units (batch or streaming).
 
-    Needs ``code``; uses ``path``, ``declared_language`` and ``error`` (of the reader)
-    when present.  Returns the other input columns plus ``path, language, error,
-    findings``; ``findings`` is in emission order.
+    Input as for ``resolve_sources``.  Returns its columns without the code, plus
+    ``findings`` in emission order.
     """
-    columns = sources.columns
-    path = F.col("path") if "path" in columns else F.lit(SNIPPET_PATH)
-    declared = F.col("declared_language") if "declared_language" in columns else F.lit(None).cast("string")
-    source_error = F.col("error") if "error" in columns else F.lit(None).cast("string")
-    carried = [c for c in columns if c not in ("code", "path", "declared_language", "error")]
+    resolved = resolve_sources(sources)
+    base = [c for c in resolved.columns if c != "code"]
     all_rules = [*rules, *extra_rules]
 
-    resolved = sources.select(
-        *carried,
-        path.alias("path"),
-        source_error.alias("source_error"),
-        F.when(source_error.isNull(), F.col("code")).alias("code"),
-        F.when(source_error.isNull(), resolve_language(declared, path, F.col("code")))
-        .otherwise(F.lit(UNKNOWN)).alias("language"),
-    )
     # languages without a rule need no work at all, Python without rules no parser
     own = {lang: rules_for(lang, all_rules) for lang in LANGUAGES if rules_for(lang, all_rules)}
     parsed_python = extract_calls(F.when(F.col("language") == PYTHON, F.col("code"))) if PYTHON in own else F.lit(None)
-    parsed = resolved.select(
-        *carried, "path", "language", "source_error",
+    parsed = _once(resolved.select(
+        *base,
         F.when(F.col("language").isin(*own), split_lines(F.col("code"))).alias("lines"),
         parsed_python.cast(EXTRACT_TYPE).alias("py"),
+    ), "py")
+    language = F.col("language")
+    brace = [lang for lang in own if lang != PYTHON]
+    keep = [*base, "py", "lines"]
+
+    # lines -> marks -> lines inside loops; a file without any loop start ends early
+    numbered = parsed.select(*keep, F.when(language.isin(*brace), numbered_lines(F.col("lines"))).alias("numbered"))
+    marked = numbered.select(
+        *keep, "numbered",
+        *(F.when(language == lang, mark_lines("numbered", lang)).alias(f"{lang}_marks") for lang in brace),
     )
-    lines = F.col("lines")
-
-    def hits_of(language: str) -> Column:
-        if language == PYTHON:
-            return F.flatten(F.transform(F.col("py.calls"), lambda c: call_hits(own[PYTHON], c, lines)))
-        return let(numbered_lines(lines), lambda n: _line_language_hits(n, language, own[language]))
-
-    hits = _no_hits()
-    for language in own:
-        hits = F.when(F.col("language") == language, F.coalesce(hits_of(language), _no_hits())).otherwise(hits)
-    return parsed.select(
-        *carried, "path", "language",
-        F.coalesce(
-            "source_error",
-            F.when(F.col("language") == UNKNOWN, F.lit(UNDETECTED)),
-            F.col("py.error"),
-        ).alias("error"),
+    inside = F.lit(None)
+    for lang in brace:
+        flags = in_loop_flags(F.col(f"{lang}_marks"), lang)
+        flagged = F.zip_with("numbered", flags, lambda l, f: F.when(f, l))
+        inside = F.when(
+            (language == lang) & has_start(f"{lang}_marks"), F.filter(flagged, lambda l: l.isNotNull())
+        ).otherwise(inside)
+    scoped = marked.select(*keep, inside.alias("inside"))
+
+    hits = F.lit(None)
+    for lang in brace:
+        hits = F.when(language == lang, line_hits(own[lang], "inside")).otherwise(hits)
+    if PYTHON in own:
+        lines = F.col("lines")
+        calls = F.flatten(F.transform(F.col("py.calls"), lambda c: call_hits(own[PYTHON], c, lines)))
+        hits = F.when(language == PYTHON, calls).otherwise(hits)
+    hits = F.coalesce(hits, _no_hits())
+    found = scoped.select(
+        *(c for c in base if c != "error"),
+        F.coalesce("error", F.col("py.error")).alias("error"),
         to_findings(hits, all_rules, unit_costs, iterations).alias("findings"),
     )
+    return _once(found, "findings")
 
 
 def findings_of(results: DataFrame) -> DataFrame:

@@ -11,9 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.loops import fold_emit, java_flags, java_mark, java_start_state, java_step, js_mark
+from ..functions.loops import fold_emit, java_flags, java_start_state, java_step, line_mark
 from ..functions.text import any_of, searchable
-from ..rules import HOT, HOT_LOOKBACK, JAVA
+from ..rules import HOT, HOT_LOOKBACK, JAVA, JAVASCRIPT
 
 BLOCK = 4096
 
@@ -32,7 +32,9 @@ def js_loop_scope(lines: DataFrame, key: str = "file_id", block: int = BLOCK) ->
     inside = Window.partitionBy(key, "block").orderBy("line_no")
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     marked = lines.select(
-        *lines.columns, _block(block).alias("block"), js_mark(F.col("line"), searchable(F.col("line"))).alias("m")
+        *lines.columns, _block(block).alias("block"), searchable(F.col("line")).alias("low")
+    ).select(
+        *lines.columns, "block", F.expr(line_mark("line", "low", JAVASCRIPT)).alias("m")
     ).select(*lines.columns, "block", F.col("m.start").alias("start"), (F.col("m.start") - F.col("m.closes")).alias("x"))
     summed = marked.withColumn("s", F.sum("x").over(so_far)).withColumn("low", F.min("s").over(so_far))
 
@@ -63,9 +65,11 @@ def java_loop_scope(lines: DataFrame, key: str = "file_id", block: int = BLOCK)
     every block the state it is entered with, and a second fold sets the flags.
     """
     others = [c for c in lines.columns if c != key]
-    item = F.struct("line_no", *(c for c in others if c != "line_no"), java_mark(F.col("line"), searchable(F.col("line"))).alias("m"))
+    mark = F.expr(line_mark("line", "low", JAVA)).alias("m")
+    item = F.struct("line_no", *(c for c in others if c != "line_no"), mark)
     blocks = (
-        lines.select(key, _block(block).alias("block"), item.alias("item"))
+        lines.withColumn("low", searchable(F.col("line")))
+        .select(key, _block(block).alias("block"), item.alias("item"))
         .groupBy(key, "block")
         .agg(F.array_sort(F.collect_list("item")).alias("items"))
     )

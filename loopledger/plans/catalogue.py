@@ -26,7 +26,7 @@ from ..operators.callsites import call_site_table, register_udtf
 from ..operators.dedup import scan_distinct
 from ..operators.lines import explode_lines, lines_with_scope
 from ..operators.pricing import price_with, price_with_counts
-from ..operators.scan import findings_of, scan
+from ..operators.scan import findings_of, resolve_sources, scan
 from ..rules import BUILTIN_RULES, JAVA, JAVASCRIPT, PYTHON, CallPattern, LinePattern, Rule, rules_for
 from ..session import checkpoint_dir
 from ..sources import tree
@@ -114,7 +114,7 @@ def content_language(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def resolved_language(spark: SparkSession, sf: str) -> DataFrame:
-    return results(spark, sf).select("file_id", "path", "language", "error")
+    return resolve_sources(files(spark, sf)).select("file_id", "path", "language", "error")
 
 
 @query
@@ -125,7 +125,7 @@ def snippet_intake(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("role") == "user", F.regexp_replace("text", r"\S", "")).otherwise(F.col("text")).alias("code"),
         F.lit("auto").alias("language"),
     )
-    return scan(snippets(turns)).select("conv_id", "turn", "language", "error")
+    return resolve_sources(snippets(turns)).select("conv_id", "turn", "language", "error")
 
 
 # --- lines and loop scope -------------------------------------------------------------
