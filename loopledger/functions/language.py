@@ -66,17 +66,17 @@ def content_scores(code: Column) -> Column:
     )
 
 
-def language_by_content(code: Column) -> Column:
+def best_scored(scores: Column) -> Column:
     """Language with most indicators; ties favour the earlier of ``LANGUAGES``."""
+    top = F.greatest(*(scores[lang] for lang in LANGUAGES))
+    choice = F.when(F.coalesce(top, F.lit(0)) == 0, F.lit(UNKNOWN))
+    for lang in LANGUAGES:
+        choice = choice.when(scores[lang] == top, F.lit(lang))
+    return choice
 
-    def pick(s: Column) -> Column:
-        top = F.greatest(*(s[lang] for lang in LANGUAGES))
-        choice = F.when(F.coalesce(top, F.lit(0)) == 0, F.lit(UNKNOWN))
-        for lang in LANGUAGES:
-            choice = choice.when(s[lang] == top, F.lit(lang))
-        return choice
 
-    return let(content_scores(code), pick)
+def language_by_content(code: Column) -> Column:
+    return let(content_scores(code), best_scored)
 
 
 def resolve_language(declared: Column, path: Column, code: Column) -> Column:

@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cost
 from ..functions.language import (
-    content_scores, extension, is_excluded, is_supported, language_by_content, language_by_extension,
-    resolve_language,
+    best_scored, content_scores, extension, is_excluded, is_supported, language_by_extension, resolve_language,
 )
 from ..functions.match import call_label
 from ..functions.text import sql_literal
@@ -106,10 +105,10 @@ def ext_language_counts(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def content_language(spark: SparkSession, sf: str) -> DataFrame:
     docs = documents(spark, sf).select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.col("text").alias("body"))
-    pages = table(spark, sf, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("body"))
+    pages = spread(table(spark, sf, "pages"), "page_id").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("body"))
     body = F.col("body")
-    scored = docs.unionByName(pages).select("kind", "id", content_scores(body).alias("s"), language_by_content(body).alias("language"))
-    return scored.select("kind", "id", "s.python", "s.javascript", "s.java", "language")
+    scored = docs.unionByName(pages).select("kind", "id", content_scores(body).alias("s"))
+    return scored.select("kind", "id", "s.*", best_scored(F.col("s")).alias("language"))
 
 
 @query
@@ -474,7 +473,8 @@ def page_script_scan(spark: SparkSession, sf: str) -> DataFrame:
 def _stream_files(spark: SparkSession, sf: str) -> DataFrame:
     schema = table(spark, sf, "documents").schema
     arriving = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
-    return source_files(arriving)
+    # one arriving file is one task; scanning is worth spreading
+    return source_files(arriving.repartition(spark.sparkContext.defaultParallelism, "doc_id"))
 
 
 @query
