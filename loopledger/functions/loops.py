@@ -12,10 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..rules import HOT, HOT_LOOKBACK, JAVA, JAVASCRIPT, LOOPS
-from .text import any_of, finds, searchable
+from ..rules import JAVA, JAVASCRIPT, LOOPS
+from .text import finds, let, searchable
 
-# Flags are gathered in chunks so that appending stays near linear in file length.
+# Lines folded at a time.
 CHUNK = 128
 
 
@@ -89,33 +89,50 @@ def fold_emit(
     items: Column,
     initial: Column,
     step: Callable[[Column, Column], tuple[Column, Column]],
+    state_type: str,
     emitted: str = "boolean",
 ) -> Column:
-    """Run ``step(state, item) -> (next state, value)`` along an array; the values."""
-    none = F.array().cast(f"array<{emitted}>")
-
-    def merge(acc: Column, item: Column) -> Column:
-        state, value = step(acc["state"], item)
-        full = F.size(acc["chunk"]) >= CHUNK
-        return F.struct(
-            state.alias("state"),
-            F.when(full, F.array(value)).otherwise(F.concat(acc["chunk"], F.array(value))).alias("chunk"),
-            F.when(full, F.concat(acc["done"], F.array(acc["chunk"]))).otherwise(acc["done"]).alias("done"),
-        )
+    """Run ``step(state, item) -> (next state, value)`` along an array; the values.
 
-    start = F.struct(
-        initial.alias("state"),
-        none.alias("chunk"),
-        F.array().cast(f"array<array<{emitted}>>").alias("done"),
-    )
-    return F.aggregate(
-        items, start, merge, lambda acc: F.flatten(F.concat(acc["done"], F.array(acc["chunk"])))
+    ``aggregate`` copies its whole accumulator at every step, so values are never
+    gathered over the full length: the state entering each chunk is found first, then
+    every chunk is run on its own.  Cost stays near linear for the longest files.
+    """
+    chunks = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(items) - 1) / CHUNK).cast("int")),
+        lambda k: F.slice(items, k * CHUNK + 1, F.lit(CHUNK)),
     )
 
+    def entering(cs: Column) -> Column:
+        return F.aggregate(
+            F.slice(cs, F.lit(1), F.size(cs) - 1),
+            F.struct(initial.alias("state"), F.array().cast(f"array<{state_type}>").alias("seen")),
+            lambda acc, chunk: F.struct(
+                F.aggregate(chunk, acc["state"], lambda state, item: step(state, item)[0]).alias("state"),
+                F.concat(acc["seen"], F.array(acc["state"])).alias("seen"),
+            ),
+            lambda acc: F.concat(acc["seen"], F.array(acc["state"])),
+        )
+
+    def run(chunk: Column, state: Column) -> Column:
+        def merge(acc: Column, item: Column) -> Column:
+            after, value = step(acc["state"], item)
+            return F.struct(after.alias("state"), F.concat(acc["out"], F.array(value)).alias("out"))
+
+        return F.aggregate(
+            chunk,
+            F.struct(state.alias("state"), F.array().cast(f"array<{emitted}>").alias("out")),
+            merge,
+            lambda acc: acc["out"],
+        )
+
+    values = let(chunks, lambda cs: F.flatten(F.zip_with(cs, entering(cs), run)))
+    return F.when(F.size(items) > 0, values).otherwise(F.array().cast(f"array<{emitted}>"))
+
 
 def js_flags(marks: Column, depth: Column | None = None) -> Column:
     """In-loop flag per mark, given the number of loops open before the first."""
-    return fold_emit(marks, F.lit(0) if depth is None else depth, js_step)
+    return fold_emit(marks, F.lit(0) if depth is None else depth, js_step, "int")
 
 
 def java_start_state(depth: Column | None = None, base: Column | None = None) -> Column:
@@ -125,8 +142,11 @@ def java_start_state(depth: Column | None = None, base: Column | None = None) ->
     )
 
 
+JAVA_STATE = "struct<depth:int,base:int>"
+
+
 def java_flags(marks: Column, state: Column | None = None) -> Column:
-    return fold_emit(marks, java_start_state() if state is None else state, java_step)
+    return fold_emit(marks, java_start_state() if state is None else state, java_step, JAVA_STATE)
 
 
 _FLAGS = {JAVASCRIPT: js_flags, JAVA: java_flags}
@@ -144,11 +164,3 @@ def has_start(marks: str) -> Column:
 def in_loop_flags(marks: Column, language: str) -> Column:
     """Array of booleans, one per mark."""
     return _FLAGS[language](marks)
-
-
-def near_hot_path(lines: Column, position: Column, language: str) -> Column:
-    """Any hot word in the lines just before ``position`` (0-based, itself excluded)."""
-    back = HOT_LOOKBACK[language]
-    first = F.greatest(F.lit(0), position - back)
-    context = F.array_join(F.slice(lines, first + 1, position - first), "\n")
-    return context.rlike(any_of(HOT[language]))

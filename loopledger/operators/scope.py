@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.loops import fold_emit, java_flags, java_start_state, java_step, line_mark
+from ..functions.loops import JAVA_STATE, fold_emit, java_flags, java_start_state, java_step, line_mark
 from ..functions.text import any_of, searchable
 from ..rules import HOT, HOT_LOOKBACK, JAVA, JAVASCRIPT
 
@@ -107,7 +107,9 @@ def java_loop_scope(lines: DataFrame, key: str = "file_id", block: int = BLOCK)
         .select(
             key,
             F.explode(
-                fold_emit(F.col("bs"), java_start_state(), enter, "struct<block:int,depth:int,base:int>")
+                fold_emit(
+                    F.col("bs"), java_start_state(), enter, JAVA_STATE, "struct<block:int,depth:int,base:int>"
+                )
             ).alias("e"),
         )
         .select(key, "e.*")

@@ -33,9 +33,11 @@ def canonical(rows, names):
     return sorted(tuple(cell(r[i]) for i in order) for r in rows)
 
 
-def check(spark, con, name, query, sql, sf_dir) -> tuple[bool, str]:
+def check(spark, con, name, query, sql, sf_dir, inspect=None) -> tuple[bool, str]:
     t0 = time.time()
     df = query(spark, sf_dir)
+    if inspect:
+        inspect(df)
     got = df.collect()
     t1 = time.time()
     rel = con.execute(sql)
