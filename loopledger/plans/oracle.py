@@ -426,6 +426,16 @@ def oracle() -> dict[str, str]:
         f"SELECT page_id, generate_subscripts(s, 1)::INT AS script_no, unnest(s) AS code FROM "
         f"(SELECT page_id, {scripts} AS s FROM pages)")
 
+    # scripts of pages in place of the corpus
+    page_files = f"""scripts AS (SELECT page_id, generate_subscripts(s, 1)::INT AS script_no, unnest(s) AS code
+  FROM (SELECT page_id, {scripts} AS s FROM pages)),
+files AS (SELECT page_id * 1000 + script_no AS file_id, page_id, script_no, 0 AS tid, '<input>' AS path, code,
+  'javascript' AS declared_language, 0 AS extra_lines FROM scripts)"""
+    script_scan = found_cte(rules_for(JAVASCRIPT), languages=(JAVASCRIPT,)).replace(files_cte(), page_files)
+    sql["page_script_scan"] = (
+        f"{script_scan}, {PER_FILE} SELECT f.page_id, f.script_no, s.language, {ERROR} AS error, coalesce(n, 0) AS findings_count "
+        "FROM src s JOIN files f USING (file_id) LEFT JOIN per_file USING (file_id)")
+
     sql["top_files"] = (
         f"{FOUND} SELECT path, count(*) AS findings_count, {TOTALS} FROM found GROUP BY path "
         "ORDER BY total_monthly DESC, path LIMIT 20")
