@@ -7,13 +7,13 @@ form for corpora stored one line per row.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..rules import JAVA, JAVASCRIPT, LOOPS
-from .text import finds, let, searchable
+from .text import finds, searchable
 
 # Lines folded at a time.
 CHUNK = 128
@@ -62,94 +62,71 @@ def line_mark(text: str, lowered: str, language: str) -> str:
     )
 
 
-def js_step(depth: Column, mark: Column) -> tuple[Column, Column]:
-    """Open loops after the line, and whether the line itself is inside one.
+@dataclass(frozen=True)
+class Walk:
+    """A walk along the marks of a file, as SQL of a state ``s`` and a mark ``m``."""
 
-    A loop-start line opens one level, each closing brace ends one; opening braces
-    play no part.
-    """
-    opened = depth + mark["start"]
-    return F.greatest(F.lit(0), opened - mark["closes"]), opened > 0
+    state_type: str
+    initial: str
+    after: str
+    inside: str
 
 
-def java_step(state: Column, mark: Column) -> tuple[Column, Column]:
-    """Brace depth and the depth at which the outermost open loop began.
+# JavaScript: the number of open loops.  A loop-start line opens one level and each
+# closing brace ends one; opening braces play no part.
+JS_WALK = Walk("int", "0", "greatest(0, s + m.start - m.closes)", "s + m.start > 0")
 
-    A loop stays open until the depth falls below the one it began at.  Later loops
-    begin at least as deep, so they end no later than the outermost one and only
-    that one has to be remembered.
-    """
-    base = F.coalesce(state["base"], F.when(mark["start"], state["depth"]))
-    kept = F.when(state["depth"] + mark["low"] >= base, base)
-    after = F.struct((state["depth"] + mark["delta"]).alias("depth"), kept.alias("base"))
-    return after, kept.isNotNull()
-
-
-def fold_emit(
-    items: Column,
-    initial: Column,
-    step: Callable[[Column, Column], tuple[Column, Column]],
-    state_type: str,
-    emitted: str = "boolean",
+# Java: brace depth, and the depth at which the outermost open loop began.  A loop
+# stays open until the depth falls below the one it began at.  Later loops begin at
+# least as deep, so they end no later than the outermost one and only that one has to
+# be remembered.
+_BASE = "coalesce(s.base, CASE WHEN m.start THEN s.depth END)"
+_KEPT = f"CASE WHEN s.depth + m.low >= {_BASE} THEN {_BASE} END"
+JAVA_WALK = Walk(
+    "struct<depth:int,base:int>",
+    "named_struct('depth', 0, 'base', CAST(NULL AS INT))",
+    f"named_struct('depth', s.depth + m.delta, 'base', {_KEPT})",
+    f"({_KEPT}) IS NOT NULL",
+)
+
+WALKS = {JAVASCRIPT: JS_WALK, JAVA: JAVA_WALK}
+
+
+def walk_states(marks: str, walk: Walk, initial: str | None = None) -> str:
+    """SQL of the state after the last mark."""
+    return f"aggregate({marks}, {initial or walk.initial}, (s, m) -> {walk.after})"
+
+
+def walk_values(
+    marks: str, walk: Walk, value: str | None = None, value_type: str = "boolean", initial: str | None = None
 ) -> Column:
-    """Run ``step(state, item) -> (next state, value)`` along an array; the values.
+    """One value per mark of an array column, by default whether it is inside a loop.
 
     ``aggregate`` copies its whole accumulator at every step, so values are never
     gathered over the full length: the state entering each chunk is found first, then
-    every chunk is run on its own.  Cost stays near linear for the longest files.
+    every chunk is walked on its own.  Cost stays near linear for the longest files.
     """
-    chunks = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(items) - 1) / CHUNK).cast("int")),
-        lambda k: F.slice(items, k * CHUNK + 1, F.lit(CHUNK)),
+    none = f"CAST(array() AS array<{value_type}>)"
+    chunks = (
+        f"transform(sequence(0, CAST(floor((size({marks}) - 1) / {CHUNK}) AS INT)), "
+        f"k -> slice({marks}, k * {CHUNK} + 1, {CHUNK}))"
     )
-
-    def entering(cs: Column) -> Column:
-        return F.aggregate(
-            F.slice(cs, F.lit(1), F.size(cs) - 1),
-            F.struct(initial.alias("state"), F.array().cast(f"array<{state_type}>").alias("seen")),
-            lambda acc, chunk: F.struct(
-                F.aggregate(chunk, acc["state"], lambda state, item: step(state, item)[0]).alias("state"),
-                F.concat(acc["seen"], F.array(acc["state"])).alias("seen"),
-            ),
-            lambda acc: F.concat(acc["seen"], F.array(acc["state"])),
-        )
-
-    def run(chunk: Column, state: Column) -> Column:
-        def merge(acc: Column, item: Column) -> Column:
-            after, value = step(acc["state"], item)
-            return F.struct(after.alias("state"), F.concat(acc["out"], F.array(value)).alias("out"))
-
-        return F.aggregate(
-            chunk,
-            F.struct(state.alias("state"), F.array().cast(f"array<{emitted}>").alias("out")),
-            merge,
-            lambda acc: acc["out"],
-        )
-
-    values = let(chunks, lambda cs: F.flatten(F.zip_with(cs, entering(cs), run)))
-    return F.when(F.size(items) > 0, values).otherwise(F.array().cast(f"array<{emitted}>"))
-
-
-def js_flags(marks: Column, depth: Column | None = None) -> Column:
-    """In-loop flag per mark, given the number of loops open before the first."""
-    return fold_emit(marks, F.lit(0) if depth is None else depth, js_step, "int")
-
-
-def java_start_state(depth: Column | None = None, base: Column | None = None) -> Column:
-    return F.struct(
-        (F.lit(0) if depth is None else depth).cast("int").alias("depth"),
-        (F.lit(None) if base is None else base).cast("int").alias("base"),
+    entering = (
+        "aggregate(slice(cs, 1, size(cs) - 1), "
+        f"named_struct('state', {initial or walk.initial}, 'seen', CAST(array() AS array<{walk.state_type}>)), "
+        f"(acc, chunk) -> named_struct('state', {walk_states('chunk', walk, 'acc.state')}, "
+        "'seen', concat(acc.seen, array(acc.state))), acc -> concat(acc.seen, array(acc.state)))"
+    )
+    # the state is rebound as s so that the walk's SQL reads the same everywhere
+    run = (
+        f"aggregate(chunk, named_struct('s', entry, 'out', {none}), (acc, m) -> "
+        f"transform(array(acc.s), s -> named_struct('s', {walk.after}, "
+        f"'out', concat(acc.out, array({value or walk.inside}))))[0], acc -> acc.out)"
+    )
+    return F.expr(
+        f"CASE WHEN size({marks}) > 0 THEN transform(array({chunks}), "
+        f"cs -> flatten(zip_with(cs, {entering}, (chunk, entry) -> {run})))[0] ELSE {none} END"
     )
-
-
-JAVA_STATE = "struct<depth:int,base:int>"
-
-
-def java_flags(marks: Column, state: Column | None = None) -> Column:
-    return fold_emit(marks, java_start_state() if state is None else state, java_step, JAVA_STATE)
-
-
-_FLAGS = {JAVASCRIPT: js_flags, JAVA: java_flags}
 
 
 def mark_lines(numbered: str, language: str) -> Column:
@@ -161,6 +138,6 @@ def has_start(marks: str) -> Column:
     return F.expr(f"exists({marks}, m -> CAST(m.start AS BOOLEAN))")
 
 
-def in_loop_flags(marks: Column, language: str) -> Column:
-    """Array of booleans, one per mark."""
-    return _FLAGS[language](marks)
+def in_loop_flags(marks: str, language: str) -> Column:
+    """Array of booleans, one per mark of an array column."""
+    return walk_values(marks, WALKS[language])

@@ -16,16 +16,15 @@ from . import cost
 from .text import finds, let, sql_literal
 
 
-def _overlaps(text: Column, pattern: Column) -> Column:
+def _overlaps(text: str, pattern: str) -> str:
     """Either contains the other; an empty call part therefore overlaps anything."""
-    return F.contains(text, pattern) | F.contains(pattern, text)
+    return f"(contains({text}, {pattern}) OR contains({pattern}, {text}))"
 
 
-def call_label(rule: Rule, obj: Column, method: Column) -> Column:
-    """Label of the first call pattern matching ``obj.method``, else null."""
-    patterns = F.expr(sql_literal([{"obj": p.obj, "method": p.method, "label": p.label} for p in rule.patterns]))
-    matching = F.filter(patterns, lambda p: _overlaps(method, p["method"]) & _overlaps(obj, p["obj"]))
-    return F.get(matching, F.lit(0))["label"]
+def call_label(rule: Rule, obj: str, method: str) -> str:
+    """SQL of the label of the first call pattern matching ``obj.method``, else null."""
+    patterns = sql_literal([{"obj": p.obj, "method": p.method, "label": p.label} for p in rule.patterns])
+    return f"get(filter({patterns}, p -> {_overlaps(method, 'p.method')} AND {_overlaps(obj, 'p.obj')}), 0).label"
 
 
 def line_label(rule: Rule, text: str, lowered: str) -> str:
@@ -34,17 +33,14 @@ def line_label(rule: Rule, text: str, lowered: str) -> str:
     return f"CASE {' '.join(cases)} END"
 
 
-def is_paginated(query: Column) -> Column:
-    """Whether a lower-cased literal contains any pagination word."""
-    return F.exists(F.lit(list(PAGINATION_WORDS)), lambda word: F.contains(query, word))
-
-
-def call_applies(rule: Rule, call: Column) -> Column:
-    """Whether the rule looks at this call: inside a loop, or an unbounded literal."""
+def call_applies(rule: Rule, call: str) -> str:
+    """SQL of whether a rule looks at a call: it is in a loop, or its literal has no bound."""
     if rule.needs_loop:
-        return call["in_loop"]
-    query = call["query_literal"]
-    return F.coalesce(query != "", F.lit(False)) & ~is_paginated(query)
+        return f"{call}.in_loop"
+    words = sql_literal(list(PAGINATION_WORDS))
+    return (
+        f"({call}.query_literal <> '' AND NOT exists({words}, w -> contains({call}.query_literal, w)))"
+    )
 
 
 def line_hits(rules: Sequence[Rule], lines: str) -> Column:
@@ -62,22 +58,17 @@ def line_hits(rules: Sequence[Rule], lines: str) -> Column:
     )
 
 
-def call_hits(rules: Sequence[Rule], call: Column, lines: Column) -> Column:
-    """Hits of one Python call, in rule order."""
-    tried = F.array(*(
-        F.struct(
-            F.lit(r.rule_id).alias("rule_id"),
-            F.when(call_applies(r, call), call_label(r, call["obj"], call["method"])).alias("label"),
-        )
+def call_hits(rules: Sequence[Rule], calls: str, lines: str) -> Column:
+    """Hits in an array column of Python calls, in rule order."""
+    labels = ", ".join(
+        f"named_struct('rule_id', {sql_literal(r.rule_id)}, 'label', "
+        f"CASE WHEN {call_applies(r, 'c')} THEN {call_label(r, 'c.obj', 'c.method')} END)"
         for r in rules
-    ))
-    content = F.coalesce(F.get(lines, call["line_no"] - 1), F.lit(""))
-    return F.transform(
-        F.filter(tried, lambda h: h["label"].isNotNull()),
-        lambda h: F.struct(
-            h["rule_id"].alias("rule_id"), h["label"].alias("label"),
-            call["line_no"].alias("line_number"), content.alias("line_content"), call["in_hot_path"].alias("hot"),
-        ),
+    )
+    return F.expr(
+        f"flatten(transform({calls}, c -> transform(filter(array({labels}), h -> h.label IS NOT NULL), "
+        "h -> named_struct('rule_id', h.rule_id, 'label', h.label, 'line_number', c.line_no, "
+        f"'line_content', coalesce(get({lines}, c.line_no - 1), ''), 'hot', c.in_hot_path))))"
     )
 
 

@@ -21,8 +21,8 @@ def lines_with_scope(sources: DataFrame, language: str, text: str = "code") -> D
     keys = [c for c in sources.columns if c != text]
     lines = sources.select(*keys, split_lines(F.col(text)).alias("lines"))
     numbered = lines.select(*keys, "lines", numbered_lines(F.col("lines")).alias("numbered"))
-    flags = in_loop_flags(mark_lines("numbered", language), language)
-    flagged = numbered.select(*keys, F.arrays_zip("lines", flags.alias("flags")).alias("z"))
+    marked = numbered.select(*keys, "lines", mark_lines("numbered", language).alias("marks"))
+    flagged = marked.select(*keys, F.arrays_zip("lines", in_loop_flags("marks", language).alias("flags")).alias("z"))
     rows = flagged.select(*keys, F.posexplode("z").alias("pos", "z"))
     return rows.select(
         *keys, (F.col("pos") + 1).alias("line_no"), F.col("z.lines").alias("line"), F.col("z.flags").alias("in_loop")

@@ -103,7 +103,7 @@ def scan(
     )
     inside = F.lit(None)
     for lang in brace:
-        flags = in_loop_flags(F.col(f"{lang}_marks"), lang)
+        flags = in_loop_flags(f"{lang}_marks", lang)
         flagged = F.zip_with("numbered", flags, lambda l, f: F.when(f, l))
         inside = F.when(
             (language == lang) & has_start(f"{lang}_marks"), F.filter(flagged, lambda l: l.isNotNull())
@@ -114,9 +114,7 @@ def scan(
     for lang in brace:
         hits = F.when(language == lang, line_hits(own[lang], "inside")).otherwise(hits)
     if PYTHON in own:
-        lines = F.col("lines")
-        calls = F.flatten(F.transform(F.col("py.calls"), lambda c: call_hits(own[PYTHON], c, lines)))
-        hits = F.when(language == PYTHON, calls).otherwise(hits)
+        hits = F.when(language == PYTHON, call_hits(own[PYTHON], "py.calls", "lines")).otherwise(hits)
     hits = F.coalesce(hits, _no_hits())
     found = scoped.select(
         *(c for c in base if c != "error"),

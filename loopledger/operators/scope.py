@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.loops import JAVA_STATE, fold_emit, java_flags, java_start_state, java_step, line_mark
+from ..functions.loops import JAVA_WALK, Walk, line_mark, walk_values
 from ..functions.text import any_of, searchable
 from ..rules import HOT, HOT_LOOKBACK, JAVA, JAVASCRIPT
 
@@ -74,55 +74,39 @@ def java_loop_scope(lines: DataFrame, key: str = "file_id", block: int = BLOCK)
         .agg(F.array_sort(F.collect_list("item")).alias("items"))
     )
 
-    def summarise(acc: Column, it: Column) -> Column:
-        state, _ = java_step(acc["state"], it["m"])
-        return F.struct(
-            state.alias("state"),
-            F.least(acc["low"], acc["state"]["depth"] + it["m"]["low"]).alias("low"),
-        )
-
-    summary = F.aggregate(
-        "items", F.struct(java_start_state().alias("state"), F.lit(0).alias("low")), summarise
+    # what a block does on its own: change of depth, lowest depth, lowest loop left open
+    alone = Walk(
+        "", f"named_struct('w', {JAVA_WALK.initial}, 'low', 0)",
+        "transform(array(b.w), s -> named_struct('w', " + JAVA_WALK.after + ", 'low', least(b.low, s.depth + m.low)))[0]", "",
     )
-    summaries = blocks.select(key, "block", summary.alias("sum")).select(
+    marks = blocks.select(key, "block", "items", F.expr("transform(items, i -> i.m)").alias("marks"))
+    summaries = marks.select(
+        key, "block", F.expr(f"aggregate(marks, {alone.initial}, (b, m) -> {alone.after})").alias("sum")
+    ).select(
         key,
         F.struct(
-            "block", F.col("sum.state.depth").alias("delta"), F.col("sum.low").alias("low"),
-            F.col("sum.state.base").alias("left_open"),
+            "block", F.col("sum.w.depth").alias("delta"), F.col("sum.low").alias("low"),
+            F.col("sum.w.base").alias("left_open"),
         ).alias("b"),
     )
 
-    def enter(state: Column, b: Column) -> tuple[Column, Column]:
-        survives = F.when(state["base"] <= state["depth"] + b["low"], state["base"])
-        after = F.struct(
-            (state["depth"] + b["delta"]).alias("depth"),
-            F.least(survives, state["depth"] + b["left_open"]).alias("base"),
-        )
-        emitted = F.struct(b["block"].alias("block"), state["depth"].alias("depth"), state["base"].alias("base"))
-        return after, emitted
-
+    # along the file: the state each block is entered with
+    between = Walk(
+        JAVA_WALK.state_type, JAVA_WALK.initial,
+        "named_struct('depth', s.depth + m.delta, 'base', least("
+        "CASE WHEN s.base <= s.depth + m.low THEN s.base END, s.depth + m.left_open))",
+        "named_struct('block', m.block, 'depth', s.depth, 'base', s.base)",
+    )
     entering = (
         summaries.groupBy(key)
         .agg(F.array_sort(F.collect_list("b")).alias("bs"))
-        .select(
-            key,
-            F.explode(
-                fold_emit(
-                    F.col("bs"), java_start_state(), enter, JAVA_STATE, "struct<block:int,depth:int,base:int>"
-                )
-            ).alias("e"),
-        )
+        .select(key, F.explode(walk_values("bs", between, value_type="struct<block:int,depth:int,base:int>")).alias("e"))
         .select(key, "e.*")
     )
-    state = java_start_state(F.col("depth"), F.col("base"))
-    flagged = blocks.join(entering, [key, "block"]).select(
+    state = "named_struct('depth', depth, 'base', base)"
+    flagged = marks.join(entering, [key, "block"]).select(
         key,
-        F.explode(
-            F.arrays_zip(
-                "items",
-                java_flags(F.transform("items", lambda it: it["m"]), state).alias("flags"),
-            )
-        ).alias("z"),
+        F.explode(F.arrays_zip("items", walk_values("marks", JAVA_WALK, initial=state).alias("flags"))).alias("z"),
     )
     return flagged.select(
         *(F.col(c) if c == key else F.col(f"z.items.{c}").alias(c) for c in lines.columns),

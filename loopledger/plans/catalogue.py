@@ -229,7 +229,7 @@ def call_name_match(spark: SparkSession, sf: str) -> DataFrame:
     """Label per rule for each call name in use, with its number of calls."""
     names = py_call_sites(spark, sf).groupBy("obj", "method").agg(F.count("*").alias("n_calls"))
     labels = F.array(*(
-        F.struct(F.lit(r.rule_id).alias("rule_id"), call_label(r, F.col("obj"), F.col("method")).alias("label"))
+        F.struct(F.lit(r.rule_id).alias("rule_id"), F.expr(call_label(r, "obj", "method")).alias("label"))
         for r in rules_for(PYTHON)
     ))
     return names.select("obj", "method", "n_calls", F.inline_outer(labels)).where(F.col("label").isNotNull())
