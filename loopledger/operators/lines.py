@@ -12,8 +12,8 @@ from ..functions.text import split_lines
 def explode_lines(sources: DataFrame, text: str = "code") -> DataFrame:
     """One row per line: the other columns, ``line_no`` from 1, ``line``."""
     keys = [c for c in sources.columns if c != text]
-    rows = sources.select(*keys, F.posexplode(split_lines(F.col(text))).alias("pos", "line"))
-    return rows.select(*keys, (F.col("pos") + 1).alias("line_no"), "line")
+    rows = sources.select(*keys, F.posexplode_outer(split_lines(F.col(text))).alias("pos", "line"))
+    return rows.where(F.col("pos").isNotNull()).select(*keys, (F.col("pos") + 1).alias("line_no"), "line")
 
 
 def lines_with_scope(sources: DataFrame, language: str, text: str = "code") -> DataFrame:
@@ -22,8 +22,9 @@ def lines_with_scope(sources: DataFrame, language: str, text: str = "code") -> D
     lines = sources.select(*keys, split_lines(F.col(text)).alias("lines"))
     numbered = lines.select(*keys, "lines", numbered_lines(F.col("lines")).alias("numbered"))
     marked = numbered.select(*keys, "lines", mark_lines("numbered", language).alias("marks"))
-    flagged = marked.select(*keys, F.arrays_zip("lines", in_loop_flags("marks", language).alias("flags")).alias("z"))
-    rows = flagged.select(*keys, F.posexplode("z").alias("pos", "z"))
-    return rows.select(
-        *keys, (F.col("pos") + 1).alias("line_no"), F.col("z.lines").alias("line"), F.col("z.flags").alias("in_loop")
+    flagged = marked.select(*keys, "lines", in_loop_flags("marks", language).alias("flags"))
+    # outer: a plain explode would add a size test, and with it a second walk, below itself
+    rows = flagged.select(*keys, "flags", F.posexplode_outer("lines").alias("pos", "line"))
+    return rows.where(F.col("pos").isNotNull()).select(
+        *keys, (F.col("pos") + 1).alias("line_no"), "line", F.get("flags", F.col("pos")).alias("in_loop")
     )

@@ -105,13 +105,14 @@ def java_loop_scope(lines: DataFrame, key: str = "file_id", block: int = BLOCK)
     )
     state = "named_struct('depth', depth, 'base', base)"
     flagged = marks.join(entering, [key, "block"]).select(
-        key,
-        F.explode(F.arrays_zip("items", walk_values("marks", JAVA_WALK, initial=state).alias("flags"))).alias("z"),
+        key, "items", walk_values("marks", JAVA_WALK, initial=state).alias("flags")
     )
-    return flagged.select(
-        *(F.col(c) if c == key else F.col(f"z.items.{c}").alias(c) for c in lines.columns),
-        F.col("z.items.m.start").alias("loop_start"),
-        F.col("z.flags").alias("in_loop"),
+    # blocks are never empty; outer only keeps a size test from being added below
+    rows = flagged.select(key, "flags", F.posexplode_outer("items").alias("pos", "item"))
+    return rows.select(
+        *(F.col(c) if c == key else F.col(f"item.{c}").alias(c) for c in lines.columns),
+        F.col("item.m.start").alias("loop_start"),
+        F.get("flags", F.col("pos")).alias("in_loop"),
     )
 
 
