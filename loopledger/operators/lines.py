@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.loops import in_loop_flags, mark_lines, numbered_lines
 from ..functions.text import split_lines
+from .once import evaluate_once
 
 
 def explode_lines(sources: DataFrame, text: str = "code") -> DataFrame:
@@ -23,8 +24,8 @@ def lines_with_scope(sources: DataFrame, language: str, text: str = "code") -> D
     numbered = lines.select(*keys, "lines", numbered_lines(F.col("lines")).alias("numbered"))
     marked = numbered.select(*keys, "lines", mark_lines("numbered", language).alias("marks"))
     flagged = marked.select(*keys, "lines", in_loop_flags("marks", language).alias("flags"))
-    # outer: a plain explode would add a size test, and with it a second walk, below itself
-    rows = flagged.select(*keys, "flags", F.posexplode_outer("lines").alias("pos", "line"))
+    # outer explode and pinned flags: filters must not bring a second walk below
+    rows = evaluate_once(flagged, "flags").select(*keys, "flags", F.posexplode_outer("lines").alias("pos", "line"))
     return rows.where(F.col("pos").isNotNull()).select(
         *keys, (F.col("pos") + 1).alias("line_no"), "line", F.get("flags", F.col("pos")).alias("in_loop")
     )

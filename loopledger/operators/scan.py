@@ -19,6 +19,7 @@ from ..functions.match import call_hits, line_hits, to_findings
 from ..functions.text import split_lines
 from ..rules import BUILTIN_RULES, LANGUAGES, PYTHON, UNKNOWN, Rule, rules_for
 from .callsites import EXTRACT_TYPE, extract_calls
+from .once import evaluate_once
 
 UNDETECTED = "Could not detect programming language"
 SNIPPET_PATH = "<input>"
@@ -30,19 +31,6 @@ def _no_hits() -> Column:
     return F.array().cast(f"array<{HIT_TYPE}>")
 
 
-def _once(df: DataFrame, *names: str) -> DataFrame:
-    """Pin columns to one evaluation.
-
-    A filter on a column is normally moved below the projection that defines it, with
-    the definition copied along; for the scan that would mean scanning twice.  Filters
-    do not move below a generator, so the columns pass through a one-row explode.
-    """
-    for name in names:
-        others = [c for c in df.columns if c != name]
-        df = df.select(*others, F.explode_outer(F.array(name)).alias(name))
-    return df
-
-
 def resolve_sources(sources: DataFrame) -> DataFrame:
     """Source units with ``path``, ``language`` and ``error``, ready to scan.
 
@@ -86,7 +74,7 @@ def scan(
     # languages without a rule need no work at all, Python without rules no parser
     own = {lang: rules_for(lang, all_rules) for lang in LANGUAGES if rules_for(lang, all_rules)}
     parsed_python = extract_calls(F.when(F.col("language") == PYTHON, F.col("code"))) if PYTHON in own else F.lit(None)
-    parsed = _once(resolved.select(
+    parsed = evaluate_once(resolved.select(
         *base,
         F.when(F.col("language").isin(*own), split_lines(F.col("code"))).alias("lines"),
         parsed_python.cast(EXTRACT_TYPE).alias("py"),
@@ -121,7 +109,7 @@ def scan(
         F.coalesce("error", F.col("py.error")).alias("error"),
         to_findings(hits, all_rules, unit_costs, iterations).alias("findings"),
     )
-    return _once(found, "findings")
+    return evaluate_once(found, "findings")
 
 
 def findings_of(results: DataFrame) -> DataFrame:

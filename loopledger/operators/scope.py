@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.loops import JAVA_WALK, Walk, line_mark, walk_values
 from ..functions.text import any_of, searchable
 from ..rules import HOT, HOT_LOOKBACK, JAVA, JAVASCRIPT
+from .once import evaluate_once
 
 BLOCK = 4096
 
@@ -108,7 +109,7 @@ def java_loop_scope(lines: DataFrame, key: str = "file_id", block: int = BLOCK)
         key, "items", walk_values("marks", JAVA_WALK, initial=state).alias("flags")
     )
     # blocks are never empty; outer only keeps a size test from being added below
-    rows = flagged.select(key, "flags", F.posexplode_outer("items").alias("pos", "item"))
+    rows = evaluate_once(flagged, "flags").select(key, "flags", F.posexplode_outer("items").alias("pos", "item"))
     return rows.select(
         *(F.col(c) if c == key else F.col(f"item.{c}").alias(c) for c in lines.columns),
         F.col("item.m.start").alias("loop_start"),
