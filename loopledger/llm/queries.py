@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loopledger.llm import best_fit
+from loopledger.llm import best_fit, toxicity
 from loopledger.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +27,16 @@ def query(name: str, sql: str | None = None):
 @query("op5_best_fit_packing")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.best_fit_sequences(table(spark, sf_dir, "documents"))
+
+
+def quarter(doc_id):
+    """Rows that toxicity does not learn from."""
+    return F.crc32(doc_id.cast("string")) % 4 == 2
+
+
+@query("op8_toxicity_grammar")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = toxicity.toxicity_scores(spark, docs.select("doc_id", "text"), labels, quarter)
+    return scored.select("doc_id", F.coalesce(quarter(F.col("doc_id")), F.lit(False)).alias("held_out"),
+                         "score", "predicted")
