@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loopledger.llm import best_fit, toxicity
+from loopledger.llm import best_fit, line_frequency, toxicity
 from loopledger.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +40,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.toxicity_scores(spark, docs.select("doc_id", "text"), labels, quarter)
     return scored.select("doc_id", F.coalesce(quarter(F.col("doc_id")), F.lit(False)).alias("held_out"),
                          "score", "predicted")
+
+
+@query("op6_site_line_frequency", line_frequency.SQL.format(
+    docs="documents", least=line_frequency.LEAST_PAGES, ratio=line_frequency.RATIO)
+    + "SELECT doc_id, text, n_lines, n_dropped FROM cleaned")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return line_frequency.drop_boilerplate(docs).select("doc_id", "text", "n_lines", "n_dropped")
