@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loopledger.llm import best_fit, line_frequency, toxicity
+from loopledger.llm import best_fit, covering_simhash, line_frequency, toxicity
 from loopledger.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return line_frequency.drop_boilerplate(docs).select("doc_id", "text", "n_lines", "n_dropped")
+
+
+@query("op9_covering_simhash")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = covering_simhash.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return groups.select("doc_id", covering_simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
