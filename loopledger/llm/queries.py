@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loopledger.llm import best_fit, covering_simhash, line_frequency, toxicity
+from loopledger.llm import best_fit, covering_simhash, fm_decontaminate, line_frequency, toxicity
 from loopledger.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,13 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = covering_simhash.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return groups.select("doc_id", covering_simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query("op2_fm_decontamination")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = fm_decontaminate.contaminated_spans(docs, table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
