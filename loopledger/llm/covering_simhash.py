@@ -157,18 +157,36 @@ def _by_midpoints(members: DataFrame, radius: int) -> DataFrame:
     return mids.join(least, ["k", "mid"]).where("name <> v").select(F.col("name").alias("u"), "v").distinct()
 
 
+def _grouped(rows: DataFrame, folder: str, radius: int, large: int) -> DataFrame:
+    """(fp, component_id) for the distinct fingerprints of (doc_id, fp) rows."""
+    prints = written(rows.groupBy("fp").agg(F.min("doc_id").alias("name")), f"{folder}/prints")
+    found = components(links(prints.where("name IS NOT NULL"), radius, large))
+    return prints.join(found, prints["name"] == found["node"], "left").select(
+        "fp", F.coalesce("component", "name").alias("component_id"))
+
+
 def near_groups(docs: DataFrame, radius: int = RADIUS, large: int = LARGE_BUCKET) -> DataFrame:
     """(doc_id, fp, component_id) for every row: groups of fingerprints linked within the radius."""
-    spark = docs.sparkSession
-    folder = workspace(spark, "simhash")
+    folder = workspace(docs.sparkSession, "simhash")
     rows = written(docs.select("doc_id", fingerprints(F.col("text")).alias("fp")), f"{folder}/rows")
-    prints = written(rows.groupBy("fp").agg(F.min("doc_id").alias("name")), f"{folder}/prints")
-    named = prints.where("name IS NOT NULL")
-    edges = links(named, radius, large)
-    found = components(edges)
-    groups = prints.join(found, prints["name"] == found["node"], "left").select(
-        "fp", F.coalesce("component", "name").alias("component_id"))
-    return rows.join(groups, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(_grouped(rows, folder, radius, large), "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each_group(docs: DataFrame, radius: int = RADIUS, large: int = LARGE_BUCKET) -> DataFrame:
+    """The row with the least doc_id of every group; of rows with equal ids, and of a group of null ids, one."""
+    folder = workspace(docs.sparkSession, "simhash")
+    taken = {c.lower() for c in docs.columns}
+    row = next(c for c in (f"row_{n}" for n in range(len(taken) + 1)) if c not in taken)
+    # numbers follow the order of reading, so they are written with the rows before anything joins on them
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), f"{folder}/numbered")
+    rows = written(numbered.select("doc_id", F.col(row).alias("at"), fingerprints(F.col("text")).alias("fp")),
+                   f"{folder}/rows")
+    groups = _grouped(rows, folder, radius, large)
+    # the first row of each fingerprint, so that a group is no larger than its distinct fingerprints
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "at")
+    first = rows.groupBy("fp").agg(F.min(order).alias("best"))
+    kept = first.join(groups, "fp").groupBy("component_id").agg(F.min("best").alias("best"))
+    return numbered.join(kept.select(F.col("best.at").alias(row)), row, "left_semi").select(*docs.columns)
 
 
 def as_hex(fp: Column) -> Column:
