@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loopledger.llm import best_fit, covering_simhash, fm_decontaminate, line_frequency, toxicity
+from loopledger.llm import best_fit, block_naming, covering_simhash, fm_decontaminate, line_frequency, toxicity
 from loopledger.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,14 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+@query("op3_block_naming_dedup", r"""
+WITH bare AS (SELECT doc_id, length(coalesce(text, '')) AS n,
+                     regexp_replace(coalesce(text, ''), '[ \t\n\x0B\f\r]', '', 'g') AS t FROM documents),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY n DESC, doc_id) AS place FROM bare)
+SELECT doc_id, first_value(doc_id) OVER (PARTITION BY t ORDER BY place) AS keep_id,
+       count(*) OVER (PARTITION BY t) AS group_size, place = 1 AS kept, sha256(t) AS text_sha256 FROM ranked""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return block_naming.duplicate_groups(docs).drop("n_chars")
