@@ -7,8 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loopledger.llm import best_fit, block_naming, covering_simhash, fm_decontaminate, line_frequency, toxicity
-from loopledger.llm.shared import table
+from loopledger.llm import (
+    best_fit,
+    block_naming,
+    covering_simhash,
+    fm_decontaminate,
+    huffman_ids,
+    line_frequency,
+    toxicity,
+)
+from loopledger.llm.shared import table, workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -75,3 +83,10 @@ SELECT doc_id, first_value(doc_id) OVER (PARTITION BY t ORDER BY place) AS keep_
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return block_naming.duplicate_groups(docs).drop("n_chars")
+
+
+@query("op1_huffman_ids")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = workspace(spark, "huffman")
+    huffman_ids.write_ids(table(spark, sf_dir, "documents"), path)
+    return huffman_ids.read_ids(spark, path, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
