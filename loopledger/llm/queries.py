@@ -12,6 +12,7 @@ from loopledger.llm import (
     block_naming,
     covering_simhash,
     fm_decontaminate,
+    hilbert,
     huffman_ids,
     line_frequency,
     toxicity,
@@ -90,3 +91,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = workspace(spark, "huffman")
     huffman_ids.write_ids(table(spark, sf_dir, "documents"), path)
     return huffman_ids.read_ids(spark, path, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query("op4_hilbert_shards")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.place_on_curve(table(spark, sf_dir, "documents"), ["doc_id"])
