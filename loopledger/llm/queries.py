@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loopledger.llm import (
     best_fit,
     block_naming,
+    char_bayes,
     covering_simhash,
     fm_decontaminate,
     hilbert,
@@ -96,3 +97,16 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_hilbert_shards")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.place_on_curve(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def third(doc_id):
+    """Rows that language identification does not learn from."""
+    return F.crc32(doc_id.cast("string")) % 3 == 1
+
+
+@query("op7_char_bayes_language")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = char_bayes.fit(docs.where(~third(F.col("doc_id"))))
+    held_out = F.coalesce(third(F.col("doc_id")), F.lit(False)).alias("held_out")
+    return char_bayes.identified(docs.select("doc_id", held_out, "text"), model, F.col("text")).drop("text")
