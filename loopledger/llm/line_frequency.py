@@ -6,8 +6,8 @@ more than a given share of the pages, and on a least number of them, are dropped
 Lines are counted by (host, 128-bit digest), with partial sums before the shuffle, so neither a
 host with a third of all pages nor a line on every page gathers in one task.  A host keeps only
 the digests over the ratio: at most its mean number of lines a page divided by the ratio.  These
-short lists meet the pages in a join on host, which the planner broadcasts if they are small and
-whose large partitions it splits if they are not; page texts move at most once.
+short lists are written and counted.  Up to BROADCAST_DIGESTS they are sent to the pages, which do
+not move; beyond, pages meet them in a join on host and a salt, so a large host still spreads.
 
 Defined cases: lines end at a line feed; blank lines are never dropped; a line that repeats on a
 page counts once there but goes everywhere; a page that would lose every line that is not blank
@@ -21,8 +21,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loopledger.llm.shared import workspace, written
+
 RATIO = 0.1
 LEAST_PAGES = 5
+#: Digests of 16 bytes that may be broadcast, and the tasks a host spreads over when there are more.
+BROADCAST_DIGESTS = 200_000
+SALTS = 64
 
 
 def _digest(line: Column) -> Column:
@@ -46,10 +51,12 @@ def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, le
 
 
 def drop_boilerplate(
-    pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST_PAGES
+    pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST_PAGES,
+    broadcast: int = BROADCAST_DIGESTS,
 ) -> DataFrame:
     """pages with the cleaned text, and n_lines and n_dropped; columns of these names are replaced."""
-    found = boilerplate(pages, host, text, ratio, least)
+    found = written(boilerplate(pages, host, text, ratio, least), workspace(pages.sparkSession, "boilerplate"))
+    small = (found.agg(F.sum(F.size("digests"))).first()[0] or 0) <= broadcast
     names = [c for c in pages.columns if c.lower() not in ("n_lines", "n_dropped")]
     row = pages.select(
         F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
@@ -57,7 +64,13 @@ def drop_boilerplate(
     )
     lines = _lines(F.col(f"row.`{text}`"))
     kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("digests"), _digest(x)))
-    joined = row.join(found, "host", "left").select("row", lines.alias("lines"), F.when(
+    if small:
+        met = row.join(F.broadcast(found), "host", "left")
+    else:
+        salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        row = row.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+        met = row.join(salted, ["host", "salt"], "left")
+    joined = met.select("row", lines.alias("lines"), F.when(
         F.col("digests").isNotNull(), kept).otherwise(lines).alias("kept"))
     copied = ~F.exists("kept", lambda x: F.trim(x) != "")
     chosen = joined.select("row", "lines", F.when(copied, F.col("lines")).otherwise(F.col("kept")).alias("kept"))
