@@ -14,6 +14,7 @@ from loopledger.llm import (
     covering_simhash,
     fm_decontaminate,
     hilbert,
+    html_blocks,
     huffman_ids,
     line_frequency,
     toxicity,
@@ -110,3 +111,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = char_bayes.fit(docs.where(~third(F.col("doc_id"))))
     held_out = F.coalesce(third(F.col("doc_id")), F.lit(False)).alias("held_out")
     return char_bayes.identified(docs.select("doc_id", held_out, "text"), model, F.col("text")).drop("text")
+
+
+@query("op10_html_block_tree")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(table(spark, sf_dir, "pages"))
