@@ -21,7 +21,7 @@ def _to_least(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for the nodes of (u, v) rows; component is the least node reachable."""
+    """(node, component) for the nodes of (u, v) rows but the least of each component, which names it."""
     spark = edges.sparkSession
     folder = workspace(spark, "components")
     both = edges.select("u", "v").where("u <> v")

@@ -46,7 +46,7 @@ NEGATIONS = "cannot isn ne neither never nicht nie no non nor not pas wasn witho
 REPORTS = "according alleged called claimed quoted reported said says sagte dijo dit wrote".split()
 SEED_WEIGHT, THREAT_WEIGHT = 4.0, 3.0
 
-_CLAUSE = re.compile(r"[^.!?;:\n]+")
+_CLAUSE = re.compile(r"[^.!?;\n]+")
 _BLANK = bytes(
     c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)
 )
