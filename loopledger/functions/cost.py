@@ -47,7 +47,7 @@ def unit_cost(category: Column, costs: Mapping[str, float] = UNIT_COSTS) -> Colu
 
 def effective_iterations(iterations: Column | int | None) -> Column:
     value = iterations if isinstance(iterations, Column) else F.lit(iterations)
-    return F.coalesce(F.nullif(value.cast("int"), F.lit(0)), F.lit(DEFAULT_ITERATIONS))
+    return F.coalesce(F.nullif(value.cast("long"), F.lit(0)), F.lit(DEFAULT_ITERATIONS).cast("long"))
 
 
 def cost_severity(monthly: Column) -> Column:

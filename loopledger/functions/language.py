@@ -34,7 +34,7 @@ INDICATORS = {
 def extension(path: Column) -> Column:
     """Last suffix of the file name, lower-cased; empty for names such as ``.py``."""
     name = F.substring_index(path, "/", -1)
-    return F.regexp_extract(F.lower(name), r"^.+(\.[^./]+)$", 1)
+    return F.regexp_extract(F.lower(name), r"(?s)^.+(\.[^./]+)\z", 1)
 
 
 def language_by_extension(path: Column) -> Column:

@@ -34,7 +34,7 @@ def sql_literal(value, map_keys: bool = False) -> str:
         return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
     if value is None:
         return "CAST(NULL AS STRING)"
-    return f"{value!r}D" if isinstance(value, float) else str(value)
+    return f"{value!r}D" if isinstance(value, float) else f"{value}L"
 
 
 def split_lines(code: Column) -> Column:
@@ -66,9 +66,18 @@ def contains_any(text: Column, words: Iterable[str]) -> Column:
     return test
 
 
+# what Python counts as a word character: letters, all kinds of numbers, the underscore
+WORD = r"[\p{L}\p{N}_]"
+_CLASSES = {
+    r"\s": r"[\s\x1F]", r"\w": WORD, r"\W": r"[^\p{L}\p{N}_]",
+    r"\b": f"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))",
+    r"\B": f"(?:(?<={WORD})(?={WORD})|(?<!{WORD})(?!{WORD}))",
+}
+
+
 def regex(pattern: str) -> str:
-    """Java form of a pattern: ignore case, Unicode classes, and U+001F as white space."""
-    return "(?iU)" + pattern.replace(r"\s", r"[\s\x1F]")
+    """Java form of a pattern: ignore case, Unicode classes, and Python's idea of white space and words."""
+    return "(?iU)" + re.sub(r"\\.", lambda m: _CLASSES.get(m[0], m[0]), pattern, flags=re.S)
 
 
 def any_of(patterns: Iterable[str]) -> str:
@@ -128,7 +137,7 @@ def finds(text: str, lowered: str, pattern: str) -> str:
 
 def capitalize(text: Column) -> Column:
     """Upper-case the first letter, leave the rest."""
-    return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 2_147_483_647))
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.substr(text, F.lit(2)))
 
 
 def clip(text: Column, limit: int = 80) -> Column:

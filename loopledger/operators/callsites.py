@@ -127,7 +127,7 @@ def call_site_table(files: DataFrame, key: str = "file_id", code: str = "code")
     return exploded.select(key, (F.col("pos") + 1).alias("seq"), "call.*")
 
 
-@udtf(returnType=T.StructType([T.StructField("seq", T.IntegerType()), *CALL_FIELDS]))
+@udtf(returnType=T.StructType([T.StructField("seq", T.IntegerType()), *CALL_FIELDS]), useArrow=True)
 class PythonCallSites:
     """``SELECT ... FROM files, LATERAL python_call_sites(code)``"""
 

@@ -2,58 +2,67 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.language import resolve_language
 from ..session import checkpoint_dir
-from .scan import scan
+from .scan import resolve_sources, scan
 
-# A content counts as hot when its copies exceed this share of all files, so there
+# A content counts as hot when its copies exceed this share of all units, so there
 # are at most 1 / HOT_SHARE hot contents: small enough to broadcast at any scale.
 HOT_SHARE = 0.001
+LEAST_HOT_SHARE = 0.0001
 HOT_SALTS = 64
 
 
 def scan_distinct(files: DataFrame, hot_share: float = HOT_SHARE, salts: int = HOT_SALTS, **options) -> DataFrame:
-    """``scan`` for a corpus full of copies: columns ``file_id, path, language, copies,
-    error, findings``.
+    """``scan`` for a corpus full of copies: the units' columns without the code, then
+    ``language, copies, error, findings``; one row for every unit.
 
-    A result depends on text and language only, so those are hashed, and one text per
-    hash is scanned (duplicates already collapse on the map side).  Hot contents are
-    spread over ``salts`` join keys on their way back to the paths.
+    A result depends on text and language only.  Of the units that share both, one is
+    chosen by a number on a narrow table, and only its text is fetched and scanned.
+    Hot contents are spread over ``salts`` join keys on their way back to the units.
+    Units without a text, as where the reader met an error, go past all this.  Units equal in every column may be scanned more than once.
     """
+    if not LEAST_HOT_SHARE <= hot_share <= 1:
+        raise ValueError(f"hot_share must lie between {LEAST_HOT_SHARE} and 1")
     spark = files.sparkSession
-    keyed = files.select(
-        "file_id", "path", "code",
-        resolve_language(F.col("declared_language"), F.col("path"), F.col("code")).alias("language"),
-        F.sha2("code", 256).alias("content"),
+    resolved = resolve_sources(files)
+    names = [c for c in resolved.columns if c not in ("code", "language", "error")]
+    keyed = resolved.select(
+        *names, "language", "error", "code",
+        F.sha2("code", 256).alias("content"), F.xxhash64(*names).alias("unit"),
     )
-    # the narrow key table is read three times below; the texts are not read again
-    spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
-    copies = keyed.select("file_id", "path", "language", "content").checkpoint()
-    group = ["content", "language"]
+    # the narrow table is read several times below; the texts once more
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/contents-{uuid.uuid4().hex}"
+    keyed.drop("code").write.parquet(folder)
+    units = spark.read.schema(keyed.drop("code").schema).parquet(folder)
+    copies, group = units.where(F.col("content").isNotNull()), ["content", "language"]
 
-    counts = copies.groupBy(*group).agg(F.count("*").alias("copies"))
-    total = counts.agg(F.sum("copies")).scalar()
+    counts = copies.groupBy(*group).agg(F.count("*").alias("copies"), F.min("unit").alias("unit"))
+    total = copies.agg(F.count("*")).scalar()
     hot = F.broadcast(counts.where(F.col("copies") > total * hot_share).select(*group, F.lit(True).alias("hot")))
 
-    distinct = keyed.groupBy(*group).agg(F.any_value("code").alias("code"), F.count("*").alias("copies"))
-    scanned = scan(distinct.withColumn("declared_language", F.col("language")).select(
-        "content", "copies", "code", "declared_language"
-    ), **options).drop("path")
+    chosen = keyed.select(*group, "unit", "code").join(counts, [*group, "unit"])
+    scanned = scan(chosen.select(*group[:1], "copies", "code", F.col("language").alias("declared_language")), **options)
+    one = F.get(F.collect_list(F.struct("copies", "error", "findings")), F.lit(0))
+    results = scanned.groupBy(*group).agg(one.alias("r")).select(*group, "r.*")
 
-    results = scanned.join(hot, group, "left").select(
-        *scanned.columns,
+    salted = results.join(hot, group, "left").select(
+        *results.columns,
         F.explode(
             F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
         ).alias("salt"),
     )
-    spread = copies.join(hot, group, "left").select(
-        *copies.columns,
-        F.when(F.col("hot"), F.pmod(F.xxhash64("file_id", "path"), F.lit(salts)).cast("int"))
+    spread = copies.drop("error").join(hot, group, "left").select(
+        *names, *group,
+        F.when(F.col("hot"), F.pmod(F.xxhash64("unit", F.monotonically_increasing_id()), F.lit(salts)).cast("int"))
         .otherwise(F.lit(0)).alias("salt"),
     )
-    return spread.join(results, [*group, "salt"]).select(
-        "file_id", "path", "language", "copies", "error", "findings"
-    )
+    shared = spread.join(salted, [*group, "salt"]).select(*names, "language", "copies", "error", "findings")
+    nothing = F.array().cast(results.schema["findings"].dataType)
+    apart = units.where(F.col("content").isNull()).select(
+        *names, "language", F.lit(1).cast("long").alias("copies"), "error", nothing.alias("findings"))
+    return shared.union(apart)

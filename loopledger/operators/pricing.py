@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,24 +11,30 @@ from ..functions import cost
 from ..functions.match import final_severity
 
 
-def price_with(findings: DataFrame, unit_costs: DataFrame, iterations: int | None = None) -> DataFrame:
+def price_with(
+    findings: DataFrame, unit_costs: DataFrame, iterations: int | None = None, categories: Sequence[str] = tuple(cost.UNIT_COSTS)
+) -> DataFrame:
     """Findings re-priced from a table ``category, unit_cost``; a category it lacks
-    costs nothing.  The planner broadcasts the table if it is small and otherwise
-    shuffles, splitting an oversized category."""
-    priced = findings.join(unit_costs.select("category", F.col("unit_cost").alias("price")), "category", "left")
-    return priced.select(
-        *(c for c in findings.columns if c != "estimated_cost"),
-        cost.estimate(F.col("category"), iterations, price=F.coalesce("price", F.lit(0.0))).alias("estimated_cost"),
+    costs nothing, and of several prices for one the highest counts.
+
+    Findings have the categories of their rules, so the table is cut down to those and
+    reaches every task as one small map: the findings do not move.
+    """
+    prices = (
+        unit_costs.where(F.col("category").isin(*categories)).groupBy("category").agg(F.max("unit_cost").alias("price"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("category", "price")))).scalar()
     )
+    price = F.coalesce(F.try_element_at(prices, F.col("category")), F.lit(0.0))
+    return findings.withColumn("estimated_cost", cost.estimate(F.col("category"), iterations, price=price))
 
 
 def price_with_counts(results: DataFrame, call_counts: DataFrame, key: str = "file_id") -> DataFrame:
     """Results re-priced with the iterations observed per unit (``key, iterations``).
 
     The join is per unit, not per finding, so it stays one row to one row.  Units
-    without a count keep the default.
+    without a count keep the default; of several counts for a unit the highest counts.
     """
-    counted = results.join(call_counts.select(key, F.col("iterations").alias("observed")), key, "left")
+    counted = results.join(call_counts.groupBy(key).agg(F.max("iterations").alias("observed")), key, "left")
 
     def reprice(finding):
         estimate = cost.estimate(finding["category"], F.col("observed"))

@@ -32,7 +32,7 @@ from ..sources import tree
 from ..sources.sinks import to_json_rows, write_findings, write_json
 from ..sources.snippets import embedded_scripts, parse_requests, snippets
 from ..sources.tables import spread, table
-from ..streaming.live import stream_findings, stream_totals, write_stream, write_totals
+from ..streaming.live import read_totals, stream_findings, stream_totals, write_stream, write_totals
 from . import report
 from .corpus import source_files
 
@@ -118,13 +118,11 @@ def resolved_language(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def snippet_intake(spark: SparkSession, sf: str) -> DataFrame:
-    """Conversation turns as snippets; the turns of the user are emptied to white space."""
+    """Conversation turns as snippets, and beside every turn of a user what is blank of it."""
     turns = table(spark, sf, "conversations").select(
-        "conv_id", "turn",
-        F.when(F.col("role") == "user", F.regexp_replace("text", r"\S", "")).otherwise(F.col("text")).alias("code"),
-        F.lit("auto").alias("language"),
-    )
-    return resolve_sources(snippets(turns)).select("conv_id", "turn", "language", "error")
+        "conv_id", "turn", "role", F.lit(False).alias("blanked"), F.col("text").alias("code"), F.lit("auto").alias("language"))
+    blank = turns.where("role = 'user'").withColumns({"blanked": F.lit(True), "code": F.regexp_replace("code", r"\S", "")})
+    return resolve_sources(snippets(turns.union(blank))).select("conv_id", "turn", "blanked", "language", "error")
 
 
 # --- lines and loop scope -------------------------------------------------------------
@@ -273,7 +271,7 @@ def scan_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def gate(spark: SparkSession, sf: str) -> DataFrame:
-    return report.gate(findings(spark, sf))
+    return report.gate(results(spark, sf))
 
 
 @query
@@ -283,7 +281,7 @@ def clean_files(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def findings_by_file(spark: SparkSession, sf: str) -> DataFrame:
-    return report.findings_by_file(findings(spark, sf))
+    return report.findings_by_file(results(spark, sf)).drop("file_id")
 
 
 @query
@@ -293,7 +291,8 @@ def nested_results(spark: SparkSession, sf: str) -> DataFrame:
     parts = F.transform(
         "findings", lambda f: F.concat_ws(":", f["line_number"].cast("string"), f["rule_id"], f["line_content"])
     )
-    return rows.select("path", "language", "findings_count", "error", F.array_join(parts, "|").alias("findings"))
+    return rows.select(F.col("file_path").alias("path"), "language", "findings_count", "error",
+                       F.array_join(parts, "|").alias("findings"))
 
 
 @query
@@ -301,10 +300,10 @@ def json_results(spark: SparkSession, sf: str) -> DataFrame:
     """The JSON sink: written, read back, and compared field by field."""
     folder = run_folder(spark, "json")
     write_json(results(spark, sf), folder)
-    back = spark.read.schema("path string, language string, error string, findings_count int, "
+    back = spark.read.schema("file_path string, language string, error string, findings_count int, "
                              "findings array<struct<file_path:string,line_number:int,rule_id:string>>").json(f"{folder}/results")
     counts = spark.read.schema("total_files long, files_with_issues long, total_findings long").json(f"{folder}/summary")
-    per_file = back.select("path", "language", "findings_count", F.size("findings").alias("nested_count"), "error")
+    per_file = back.select(F.col("file_path").alias("path"), "language", "findings_count", F.size("findings").alias("nested_count"), "error")
     total = counts.select(
         F.lit("*").alias("path"), F.lit(None).cast("string").alias("language"),
         F.col("total_findings").cast("int").alias("findings_count"), F.col("files_with_issues").cast("int").alias("nested_count"),
@@ -317,7 +316,7 @@ def json_results(spark: SparkSession, sf: str) -> DataFrame:
 def json_rows(spark: SparkSession, sf: str) -> DataFrame:
     text = F.col("json")
     return to_json_rows(results(spark, sf)).select(
-        "path",
+        F.get_json_object(text, "$.file_path").alias("path"),
         F.get_json_object(text, "$.language").alias("language"),
         F.get_json_object(text, "$.findings_count").cast("int").alias("findings_count"),
         F.get_json_object(text, "$.findings[0].rule_id").alias("first_rule"),
@@ -344,7 +343,7 @@ def _priced_events(spark: SparkSession, sf: str) -> DataFrame:
         F.try_element_at(F.expr(sql_literal(kinds, map_keys=True)), F.col("event_type")), F.lit("api_call")
     )
     return table(spark, sf, "events").select(
-        "event_id", category.alias("category"), F.floor(F.col("value") * 50).cast("int").alias("calls"), "value"
+        "event_id", category.alias("category"), F.floor(F.col("value") * 50).cast("long").alias("calls"), "value"
     )
 
 
@@ -405,11 +404,11 @@ def _bytes(code: Column, broken: Column) -> Column:
 
 
 def _relative(root: str) -> Column:
-    return F.substring(F.col("path"), len(root) + 2, 1_000_000)
+    return F.substr(F.col("path"), F.lit(len(root) + 2))
 
 
 def _local_tree(spark: SparkSession, sf: str, broken: Column) -> str:
-    root = run_folder(spark, "tree")
+    root = tree.local_path(run_folder(spark, "tree"))
     _write_tree(files(spark, sf).select("path", _bytes(F.col("code"), broken).alias("code")), root)
     return root
 
@@ -473,8 +472,7 @@ def page_script_scan(spark: SparkSession, sf: str) -> DataFrame:
 def _stream_files(spark: SparkSession, sf: str) -> DataFrame:
     schema = table(spark, sf, "documents").schema
     arriving = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
-    # one arriving file is one task; scanning is worth spreading
-    return source_files(arriving.repartition(spark.sparkContext.defaultParallelism, "doc_id"))
+    return source_files(arriving)
 
 
 @query
@@ -490,7 +488,7 @@ def streamed_totals(spark: SparkSession, sf: str) -> DataFrame:
     folder = run_folder(spark, "totals")
     totals = stream_totals(stream_findings(_stream_files(spark, sf)))
     write_totals(totals, f"{folder}/totals", f"{folder}/state").awaitTermination()
-    return spark.read.parquet(f"{folder}/totals")
+    return read_totals(spark, f"{folder}/totals")
 
 
 # --- corpus ---------------------------------------------------------------------------
@@ -498,7 +496,7 @@ def streamed_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def top_files(spark: SparkSession, sf: str) -> DataFrame:
-    return report.top_files(findings(spark, sf), 20)
+    return report.top_files(results(spark, sf), 20).drop("file_id", "language")
 
 
 @query
@@ -518,7 +516,7 @@ def observed_file_costs(spark: SparkSession, sf: str) -> DataFrame:
     """Findings priced with the events of the user whose id is the file's."""
     counts = (
         table(spark, sf, "events").groupBy(F.col("user_id").alias("file_id"))
-        .agg((F.count("*") * 10).cast("int").alias("iterations"))
+        .agg((F.count("*") * 10).alias("iterations"))
     )
     priced = findings_of(price_with_counts(results(spark, sf), counts))
     return flat(priced, "path").select("path", "seq", "rule_id", "severity", *COST_COLUMNS, "cost_severity")

@@ -225,7 +225,7 @@ worded AS (
     {category} AS category, CASE WHEN h.hot AND r.severity = 'medium' THEN 'high' ELSE r.severity END AS severity
   FROM hits h JOIN rule r USING (rule_id) WHERE h.label IS NOT NULL),
 costed AS (
-  SELECT w.*, p.unit_cost::DOUBLE AS unit_cost, {iterations}::INT AS iterations,
+  SELECT w.*, p.unit_cost::DOUBLE AS unit_cost, {iterations}::BIGINT AS iterations,
     p.unit_cost::DOUBLE * {iterations} AS raw_exec, p.unit_cost::DOUBLE * {iterations} * 30 AS raw_month
   FROM worded w JOIN price p ON p.category = w.category),
 banded AS (
@@ -264,7 +264,7 @@ SOURCE_LINES = SOURCES + ", " + LINES
 ESTIMATE_KIND = ("CASE event_type WHEN 'view' THEN 'serialization' WHEN 'click' THEN 'database_read' "
                  "WHEN 'purchase' THEN 'database_write' ELSE 'api_call' END")
 UNIT = "CASE category " + " ".join(f"WHEN {q(c)} THEN {p!r}::DOUBLE" for c, p in cost.UNIT_COSTS.items()) + " ELSE 0.0::DOUBLE END"
-PRICED_EVENTS = f"priced_events AS (SELECT event_id, value, {ESTIMATE_KIND} AS category, floor(value * 50)::INT AS calls FROM events)"
+PRICED_EVENTS = f"priced_events AS (SELECT event_id, value, {ESTIMATE_KIND} AS category, floor(value * 50)::BIGINT AS calls FROM events)"
 
 
 def estimate_columns(unit: str, times: str) -> str:
@@ -333,10 +333,11 @@ def oracle() -> dict[str, str]:
         f"SELECT *, {content_pick('python', 'javascript', 'java')} AS language FROM s")
     sql["resolved_language"] = f"{SOURCES} SELECT file_id, path, language, {ERROR} AS error FROM src"
     sql["snippet_intake"] = (
-        f"WITH t AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN '' ELSE text END AS code FROM conversations), "
+        f"WITH t AS (SELECT conv_id, turn, false AS blanked, text AS code FROM conversations UNION ALL "
+        f"SELECT conv_id, turn, true, '' FROM conversations WHERE role = 'user'), "
         f"s AS (SELECT *, {score('code', PYTHON)} AS p, {score('code', JAVASCRIPT)} AS j, {score('code', JAVA)} AS a, "
         f"trim(code, {SPACE}) = '' AS blank FROM t) "
-        f"SELECT conv_id, turn, CASE WHEN blank THEN 'unknown' ELSE {content_pick('p', 'j', 'a')} END AS language, "
+        f"SELECT conv_id, turn, blanked, CASE WHEN blank THEN 'unknown' ELSE {content_pick('p', 'j', 'a')} END AS language, "
         f"CASE WHEN blank THEN 'No code provided' WHEN p = 0 AND j = 0 AND a = 0 "
         f"THEN 'Could not detect programming language' END AS error FROM s")
     sql["document_lines"] = (
@@ -421,7 +422,7 @@ def oracle() -> dict[str, str]:
     sql["request_scan"] = (
         f"{found_cte(path_known=False)}, {PER_FILE} SELECT file_id, '<input>' AS path, language, {ERROR} AS error, "
         "coalesce(n, 0) AS findings_count FROM src LEFT JOIN per_file USING (file_id)")
-    scripts = r"regexp_extract_all(html, '(?s)<script>(.*?)</script>', 1)"
+    scripts = r"regexp_extract_all(html, '(?is)<script(?:\s[^>]*)?>(.*?)</script\s*>', 1)"
     sql["page_scripts"] = (
         f"SELECT page_id, generate_subscripts(s, 1)::INT AS script_no, unnest(s) AS code FROM "
         f"(SELECT page_id, {scripts} AS s FROM pages)")
@@ -443,10 +444,10 @@ files AS (SELECT page_id * 1000 + script_no AS file_id, page_id, script_no, 0 AS
         f"{FOUND} SELECT language, category, rule_id, grouping(language, category, rule_id)::BIGINT AS level, "
         f"count(*) AS findings_count, {TOTALS} FROM found GROUP BY ROLLUP (language, category, rule_id)")
     sql["observed_iterations"] = (
-        f"WITH {PRICED_EVENTS}, c AS (SELECT category, count(*)::INT AS calls FROM priced_events GROUP BY 1) "
+        f"WITH {PRICED_EVENTS}, c AS (SELECT category, count(*) AS calls FROM priced_events GROUP BY 1) "
         f"SELECT category, {estimate_columns(UNIT, 'calls')} AS severity FROM c")
     sql["observed_file_costs"] = (
-        f"{FOUND}, seen AS (SELECT user_id, (count(*) * 10)::INT AS n FROM events GROUP BY 1), "
+        f"{FOUND}, seen AS (SELECT user_id, count(*) * 10 AS n FROM events GROUP BY 1), "
         "t AS (SELECT f.* EXCLUDE (unit_cost, iterations, per_execution_cost, monthly_cost, cost_severity), "
         "unit_cost AS u, coalesce(seen.n, 100)::INT AS k FROM found f LEFT JOIN seen ON seen.user_id = f.file_id), "
         f"e AS (SELECT path, seq, rule_id, language, severity AS base, {estimate_columns('u', 'k')} AS cost_severity FROM t) "

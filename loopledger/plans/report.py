@@ -59,16 +59,16 @@ def scan_counts(results: DataFrame) -> DataFrame:
     )
 
 
-def gate(findings: DataFrame, threshold: int = 0) -> DataFrame:
+def gate(results: DataFrame, threshold: int = 0) -> DataFrame:
     """One row telling whether a build should fail."""
-    return findings.agg(F.count("*").alias("findings_count")).select(
+    return results.agg(F.coalesce(F.sum(F.size("findings")), F.lit(0)).alias("findings_count")).select(
         "findings_count", (F.col("findings_count") > threshold).cast("int").alias("exit_code")
     )
 
 
-def has_findings(findings: DataFrame) -> bool:
+def has_findings(results: DataFrame) -> bool:
     """The gate as a driver-side answer; stops at the first finding."""
-    return not findings.isEmpty()
+    return not results.where(F.size("findings") > 0).isEmpty()
 
 
 def result_rows(results: DataFrame) -> DataFrame:
@@ -85,8 +85,8 @@ def result_rows(results: DataFrame) -> DataFrame:
             )),
         ),
     )
-    return results.select("path", "language", "error", shown.alias("findings")).select(
-        "path", "language", "findings", F.size("findings").alias("findings_count"), "error"
+    return results.select(path.alias("file_path"), "language", "error", shown.alias("findings")).select(
+        "file_path", "language", "findings", F.size("findings").alias("findings_count"), "error"
     )
 
 
@@ -98,24 +98,45 @@ def clean_files(results: DataFrame) -> DataFrame:
     return results.where(F.col("error").isNull() & (F.size("findings") == 0)).select("path", "language")
 
 
-def findings_by_file(findings: DataFrame) -> DataFrame:
-    return findings.groupBy("path", "language").agg(
-        F.count("*").alias("findings_count"),
-        F.min("line_number").alias("first_line"),
-        *cost_totals(),
+def _unit_total(field: str) -> Column:
+    """Sum of already rounded amounts inside one result."""
+    amounts = F.transform("findings", lambda f: F.coalesce(f["estimated_cost"][field].cast(TOTAL), F.lit(0).cast(TOTAL)))
+    return F.aggregate(amounts, F.lit(0).cast(TOTAL), lambda a, b: (a + b).cast(TOTAL)).cast("double")
+
+
+def findings_by_file(results: DataFrame) -> DataFrame:
+    """Totals of every unit with findings.
+
+    A result holds all of its unit, so nothing is regrouped, and units without a path of
+    their own stay apart.
+    """
+    keys = [c for c in results.columns if c not in ("findings", "error")]
+    return results.where(F.size("findings") > 0).select(
+        *keys,
+        F.size("findings").cast("long").alias("findings_count"),
+        F.array_min(F.transform("findings", lambda f: f["line_number"])).alias("first_line"),
+        _unit_total("per_execution_cost").alias("total_per_execution"),
+        _unit_total("monthly_cost").alias("total_monthly"),
     )
 
 
-def top_files(findings: DataFrame, k: int = 10) -> DataFrame:
-    """The k costliest files by monthly cost."""
-    totals = findings.groupBy("path").agg(F.count("*").alias("findings_count"), *cost_totals())
-    return totals.orderBy(F.desc("total_monthly"), "path").limit(k)
+def top_files(results: DataFrame, k: int = 10) -> DataFrame:
+    """The k costliest units by monthly cost."""
+    totals = findings_by_file(results).drop("first_line")
+    ties = [c for c in ("path", "file_id") if c in totals.columns]
+    return totals.orderBy(F.desc("total_monthly"), *ties).limit(k)
 
 
 def cost_rollup(findings: DataFrame) -> DataFrame:
     """Sub-totals by language, category and rule; ``level`` is the grouping id."""
-    return findings.rollup("language", "category", "rule_id").agg(
-        F.grouping_id().alias("level"), F.count("*").alias("findings_count"), *cost_totals()
+    by = ["language", "category", "rule_id"]
+    amounts = {"total_per_execution": "per_execution_cost", "total_monthly": "monthly_cost"}
+    # a few rows per rule are left before the roll-up multiplies them
+    groups = findings.groupBy(*by).agg(F.count("*").alias("n"), *(
+        F.sum(F.col(f"estimated_cost.{field}").cast(MONEY)).cast(TOTAL).alias(name) for name, field in amounts.items()))
+    return groups.rollup(*by).agg(
+        F.grouping_id().alias("level"), F.sum("n").alias("findings_count"),
+        *(F.coalesce(F.sum(name).cast(TOTAL), F.lit(0).cast(TOTAL)).cast("double").alias(name) for name in amounts),
     )
 
 

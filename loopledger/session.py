@@ -25,6 +25,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **settings:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config("spark.loopledger.spread", str(cores))  # test tables are single files
     )
     for name, value in {**SETTINGS, **settings}.items():
         builder = builder.config(name, value)

@@ -22,4 +22,4 @@ def write_findings(findings: DataFrame, folder: str) -> None:
 def to_json_rows(results: DataFrame) -> DataFrame:
     """Each result as one JSON text."""
     rows = result_rows(results)
-    return rows.select("path", F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("json"))
+    return rows.select("file_path", F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("json"))

@@ -9,12 +9,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+SPREAD = "spark.loopledger.spread"
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores for a small input.
+    """Deal rows to as many tasks as the session asks for in ``spark.loopledger.spread``.
 
-    Scanning is far more work per byte than moving the text once, so an input with
-    fewer splits than cores is redistributed.  A large input already has more splits
-    and is left where it is.
+    Meant for inputs of a few files on many cores.  Without the setting nothing moves.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    tasks = df.sparkSession.conf.get(SPREAD, None)
+    return df.repartition(int(tasks), key) if tasks else df

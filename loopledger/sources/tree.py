@@ -1,15 +1,17 @@
 """Loose source trees on a file system every executor can reach.
 
 Built-in file readers skip names that start with ``_`` or ``.``, which source trees
-are full of, so paths are listed and files opened by small Python functions.  The
-driver only opens the upper directories; executors walk what lies below.
+are full of, so paths are listed and files opened by small Python functions on the
+executors.
 """
 
 from __future__ import annotations
 
 import os
 import sys
+import uuid
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -17,56 +19,73 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.language import DEFAULT_EXCLUDES, is_excluded, is_supported
+from ..session import checkpoint_dir
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Directories the driver opens itself before handing the rest to executors.
-DRIVER_DIRECTORIES = 256
+LISTING = "path string, kind string, error string"
 PATHS_PER_BATCH = 5_000
 BYTES_PER_BATCH = 16 << 20
-# A text must fit one column value.
+# A text must fit one column value; a longer file is reported, not dropped.
 MAX_FILE_BYTES = (1 << 31) - (1 << 20)
 
 
+def local_path(root: str) -> str:
+    """A path that executors can open; trees in other stores are refused rather than found empty."""
+    scheme, found, rest = root.partition("://")
+    if found and scheme != "file":
+        raise ValueError(f"{root}: trees are opened as files; read other stores with binaryFile and decode_binary")
+    return os.path.normpath("/" + rest.lstrip("/") if found else root)
+
+
 def _all_excluded(folder: str, excludes: Sequence[str]) -> bool:
     """The exclusion test looks at whole paths, so a matching folder is out entirely."""
     return any(x in folder + "/" for x in excludes)
 
 
-def _top_directories(root: str, recursive: bool, excludes: Sequence[str]) -> list[tuple[str, bool]]:
-    """(directory, walk everything below) units that together cover the tree."""
-    if not recursive:
-        return [(root, False)]
-    units, waiting = [], [root]
-    while waiting and len(units) < DRIVER_DIRECTORIES:
-        folder = waiting.pop(0)
-        units.append((folder, False))
-        with os.scandir(folder) as entries:
-            below = sorted(e.path for e in entries if e.is_dir(follow_symlinks=False))
-        waiting.extend(d for d in below if not _all_excluded(d, excludes))
-    return units + [(folder, True) for folder in waiting]
+def _lister(excludes: Sequence[str]):
+    def below(folder: str) -> Iterator[tuple[str, str, str | None]]:
+        """(path, kind, error) of what is in a folder; one that cannot be read is an error."""
+        try:
+            with os.scandir(folder) as entries:
+                for e in entries:
+                    if e.is_dir(follow_symlinks=False):
+                        if not _all_excluded(e.path, excludes):
+                            yield e.path, "folder", None
+                    elif not e.is_dir():
+                        yield e.path, "file", None
+        except OSError as exc:
+            yield folder, "error", f"Could not read folder: {exc}"
+
+    def list_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch["path"].to_pylist():
+                found = below(folder)
+                while rows := list(islice(found, PATHS_PER_BATCH)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], ["path", "kind", "error"])
 
+    return list_
 
-def _walker(excludes: Sequence[str]):
-    def batch_of(found: list[str]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["path"])
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for root, below in zip(batch["folder"].to_pylist(), batch["below"].to_pylist()):
-                found: list[str] = []
-                for here, folders, names in os.walk(root):
-                    found.extend(os.path.join(here, n) for n in names)
-                    folders[:] = [
-                        f for f in folders if below and not _all_excluded(os.path.join(here, f), excludes)
-                    ]
-                    if len(found) >= PATHS_PER_BATCH:
-                        yield batch_of(found)
-                        found = []
-                if found:
-                    yield batch_of(found)
-
-    return walk
+def _listed(spark: SparkSession, root: str, recursive: bool, excludes: Sequence[str]) -> DataFrame:
+    """(path, kind, error) of files and unreadable folders below a root, listed level by level on the executors.
+
+    Every level is a table, dealt out by folder, so neither the driver nor one task holds a subtree.
+    """
+    root = local_path(root)
+    level = spark.createDataFrame([(root,)] if os.path.isdir(root) else [], "path string")
+    store = f"{checkpoint_dir(spark).rstrip('/')}/tree-{uuid.uuid4().hex}"
+    found, depth, more = None, 0, True
+    while more:
+        folders = level.repartition(_reading_tasks(spark), F.xxhash64("path"))
+        listing = folders.mapInArrow(_lister(excludes), LISTING)
+        listing.write.parquet(f"{store}/{depth}")
+        listing = spark.read.schema(LISTING).parquet(f"{store}/{depth}")
+        here = listing.where("kind <> 'folder'")
+        found = here if found is None else found.union(here)
+        level = listing.where("kind = 'folder'").select("path")
+        depth, more = depth + 1, recursive and not level.isEmpty()
+    return found
 
 
 def read_source(path: str) -> tuple[str | None, str | None]:
@@ -96,11 +115,12 @@ def _read(batches: Iterator[pa.RecordBatch], files_only: bool = False) -> Iterat
             if files_only and not os.path.isfile(path):
                 continue
             code, error = read_source(path)
-            rows.append((path, code, error))
-            size += len(code or "")
-            if size >= BYTES_PER_BATCH:
+            own = len(code.encode("utf-8", "replace")) if code else 0
+            if rows and size + own > BYTES_PER_BATCH:
                 yield pack(rows)
                 rows, size = [], 0
+            rows.append((path, code, error))
+            size += own
     if rows:
         yield pack(rows)
 
@@ -119,10 +139,7 @@ def list_tree(
 ) -> DataFrame:
     """Paths of all supported files below ``root``; a missing root gives no rows."""
     excludes = tuple(excludes or DEFAULT_EXCLUDES)
-    root = os.path.normpath(root)
-    units = _top_directories(root, recursive, excludes) if os.path.isdir(root) else []
-    folders = spark.createDataFrame(units, "folder string, below boolean")
-    listed = folders.repartition(_reading_tasks(spark)).mapInArrow(_walker(excludes), "path string")
+    listed = _listed(spark, root, recursive, excludes).where("kind = 'file'").select("path")
     return listed.where(is_supported(F.col("path")) & ~is_excluded(F.col("path"), excludes))
 
 
@@ -132,11 +149,15 @@ def read_tree(
     """``path, code, error`` of a source tree.
 
     Paths are pruned before any file is opened, then spread evenly by hash, so one
-    crowded directory does not keep one task busy.
+    crowded directory does not keep one task busy.  A folder that cannot be read is an error row.
     """
-    paths = list_tree(spark, root, recursive, excludes)
+    excludes = tuple(excludes or DEFAULT_EXCLUDES)
+    listed = _listed(spark, root, recursive, excludes)
+    paths = listed.where(
+        (F.col("kind") == "file") & is_supported(F.col("path")) & ~is_excluded(F.col("path"), excludes)).select("path")
     spread = paths.repartition(_reading_tasks(spark), F.xxhash64("path"))
-    return spread.mapInArrow(_read_listed, "path string, code string, error string")
+    read = spread.mapInArrow(_read_listed, "path string, code string, error string")
+    return read.union(listed.where("kind = 'error'").select("path", F.lit(None).cast("string"), "error"))
 
 
 def read_path(spark: SparkSession, path: str) -> DataFrame:

@@ -6,7 +6,8 @@ stream; only the totals keep state, one row per category.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.scan import findings_of, scan
@@ -32,11 +33,17 @@ def write_stream(findings: DataFrame, folder: str, checkpoint: str, **trigger) -
     )
 
 
+def read_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """The latest totals: readers never meet a folder that is being replaced."""
+    kept = spark.read.parquet(folder)
+    return kept.where(F.col("batch") == kept.agg(F.max("batch")).scalar()).drop("batch")
+
+
 def write_totals(totals: DataFrame, folder: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Keep the latest totals in a parquet folder."""
+    """Keep the totals of every batch; a batch that is run again replaces only its own."""
 
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(folder)
+    def replace(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
     return (
         totals.writeStream.outputMode("complete").foreachBatch(replace)

@@ -31,7 +31,7 @@ def test_lines_and_strip_match_python(spark):
 
 
 def test_extension_matches_pathlib(spark):
-    names = ["a.py", "a.tar.JS", ".py", "a.", "dir.py/x", "d/.hidden.ts", "..py", "a..b", "ä.Java", "x/y.z/w.mjs"]
+    names = ["a.py", "a.tar.JS", ".py", "a.", "dir.py/x", "d/.hidden.ts", "..py", "a..b", "ä.Java", "x/y.z/w.mjs", "a\nb.py", "a.py\n"]
     df = spark.createDataFrame([(n,) for n in names], "p string").select("p", extension(F.col("p")).alias("e"))
     for row in df.collect():
         assert row["e"] == PurePosixPath(row["p"]).suffix.lower(), row["p"]
@@ -47,13 +47,13 @@ def test_rounding_matches_python(spark):
 
 def test_estimates(spark):
     df = spark.createDataFrame(
-        [("database_read", None), ("api_call", 0), ("api_call", 1000), ("nothing", 5), ("serialization", -3)],
-        "c string, n int").select(cost.estimate(F.col("c"), F.col("n")).alias("e"))
+        [("database_read", None), ("api_call", 0), ("api_call", 1000), ("nothing", 5), ("serialization", -3), ("api_call", 5_000_000_000)],
+        "c string, n long").select(cost.estimate(F.col("c"), F.col("n")).alias("e"))
     got = [tuple(r["e"]) for r in df.collect()]
     assert got == [
         ("database_read", 0.002, 100, 0.2, 6.0, "low"), ("api_call", 0.01, 100, 1.0, 30.0, "medium"),
         ("api_call", 0.01, 1000, 10.0, 300.0, "high"), ("nothing", 0.0, 5, 0.0, 0.0, "low"),
-        ("serialization", 0.0001, -3, -0.0, -0.01, "low"),
+        ("serialization", 0.0001, -3, -0.0, -0.01, "low"), ("api_call", 0.01, 5_000_000_000, 5e7, 1.5e9, "high"),
     ]
     assert cost.constant_estimate("api_call") == dict(
         category="api_call", unit_cost=0.01, iterations=100, per_execution_cost=1.0, monthly_cost=30.0, severity="medium")
@@ -94,7 +94,7 @@ def test_search_agrees_with_python_regex(spark):
     patterns = [p for ps in LOOPS.values() for p in ps] + [
         p.regex for r in BUILTIN_RULES for p in r.patterns if isinstance(p, LinePattern)]
     words = sorted({w for p in patterns for w in re.findall(r"[A-Za-z0-9]+", re.sub(r"\\[a-z]", " ", p))})
-    glue = [" ", "", "(", ")", ".", " . ", "{", "}", "$", "\u00a0", "\x1f", "é", "_", "of", "in", "ſ", "K", "İ", "ı", "x"]
+    glue = [" ", "", "(", ")", ".", " . ", "{", "}", "$", "\u00a0", "\x1f", "é", "_", "of", "in", "ſ", "K", "İ", "ı", "x", "²", "‿", "x\u0301", "\u0301"]
     lines = []
     for p in patterns:  # lines likely to match, then disturbed
         base = re.sub(r"\\s[*+]", " ", p)
@@ -105,6 +105,7 @@ def test_search_agrees_with_python_regex(spark):
             lines.append(rnd.choice(glue) + base[:i] + rnd.choice([*glue, "", ""]) + base[i:])
         lines.append(base.upper())
         lines.append(base.replace("s", "ſ").replace("i", "ı"))
+    lines += ["²for (x of y)", "for ‿ of x", "for x\u0301 of y", "éfor (x of y)", "e\u0301for (x of y)", "for (const ² of x)", "‿for (x of y)"]
     lines += ["".join(rnd.choice([*words, *glue]) for _ in range(8)) for _ in range(300)]
     df = spark.createDataFrame([(t,) for t in lines], "t string").withColumn("low", searchable(F.col("t")))
     got = df.select("t", *(F.expr(finds("t", "low", p)).alias(f"p{i}") for i, p in enumerate(patterns))).collect()

@@ -45,6 +45,19 @@ def test_copies_scanned_once_with_a_hot_content(spark):
     assert rows[0]["copies"] == 400 and rows[1000]["copies"] == 160 and rows[5000]["copies"] == 1
 
 
+def test_no_unit_is_lost_and_no_text_sorted(spark):
+    """Null texts, errors of the reader, absent columns and clashing names go past the join and come back."""
+    rows = [("a.py", LOOP, None), ("b.py", None, "Could not read file: x"), ("c.py", None, None), (None, "?", None),
+            (None, LOOP, "No code provided"), ("a2.py", LOOP, None), ("a2.py", LOOP, None)]
+    files = spark.createDataFrame(rows, "path string, code string, error string").withColumn("copies_of", F.lit(1))
+    got = scan_distinct(files)
+    text = plan(got)
+    assert "SortAggregate" not in text
+    want = sorted(str((r["path"], r["language"], r["error"], r["findings"])) for r in scan(files).collect())
+    assert sorted(str((r["path"], r["language"], r["error"], r["findings"])) for r in got.collect()) == want
+    assert scan_distinct(spark.createDataFrame([(LOOP,), (LOOP,)], "code string")).count() == 2
+
+
 def test_long_file_in_one_row(spark):
     code = "class A {\n" + "for (Long i : ids) {\n  userDao.get(i);\n}\n" * 40_000
     df = spark.createDataFrame([("A.java", code)], "path string, code string")

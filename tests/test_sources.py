@@ -55,11 +55,22 @@ def test_tree_options(spark, root):
     assert names(read_tree(spark, root, excludes=[]).collect(), root) == names(read_tree(spark, root).collect(), root)
 
 
-def test_deep_tree_reaches_executors(spark, root, monkeypatch):
+def test_broken_folders_and_other_stores(spark, tmp_path, monkeypatch):
     from loopledger.sources import tree
 
-    monkeypatch.setattr(tree, "DRIVER_DIRECTORIES", 1)
-    assert len(names(list_tree(spark, root).collect(), root)) == 11
+    (tmp_path / "deep/er/est").mkdir(parents=True)
+    (tmp_path / "deep/er/est/a.py").write_text(LOOP)
+    assert len(read_tree(spark, f"file://{tmp_path}").collect()) == 1
+    rows = [r for b in tree._lister(())(iter([_batch(str(tmp_path / "gone"))])) for r in b.to_pylist()]
+    assert [r["kind"] for r in rows] == ["error"] and rows[0]["error"].startswith("Could not read folder:")
+    with pytest.raises(ValueError, match="binaryFile"):
+        read_tree(spark, "s3a://bucket/tree")
+
+
+def _batch(path):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array([path])], ["path"])
 
 
 def test_single_paths(spark, root):
@@ -87,6 +98,9 @@ def test_requests(spark):
     rows = {r["id"]: r for r in scan(parse_requests(df)).collect()}
     assert [rows[i]["error"] for i in range(5)] == [None, None, "No code provided", "No code provided", None]
     assert rows[0]["language"] == "python" and len(rows[0]["findings"]) == 1 and rows[4]["language"] == "javascript"
+    odd = spark.createDataFrame([(i, b) for i, b in enumerate(["", None, "null", " {} ", "not json", '{"code": ', '{"code": "x = 1"}'])], "id int, value string")
+    errors = {r["id"]: r["error"] for r in parse_requests(odd).collect()}
+    assert [errors[i] for i in range(7)] == ["No data provided"] * 4 + ["Request body is not JSON"] * 2 + [None]
     plain = spark.createDataFrame([("x = 1",)], "code string")
     assert scan(snippets(plain, language=None)).collect()[0]["path"] == "<input>"
 
@@ -95,7 +109,7 @@ def test_json_sink(spark, tmp_path):
     df = spark.createDataFrame([("a.py", LOOP), ("b.py", "x = 1"), ("c.txt", "?")], "path string, code string")
     write_json(scan(df), str(tmp_path / "out"))
     rows = [json.loads(line) for p in (tmp_path / "out/results").glob("*.json") for line in p.read_text().splitlines()]
-    by = {r["path"]: r for r in rows}
+    by = {r["file_path"]: r for r in rows}
     assert by["a.py"]["findings_count"] == 1 and by["a.py"]["findings"][0]["line_content"] == "db.get(k)"
     assert by["a.py"]["findings"][0]["file_path"] == "a.py" and by["c.txt"]["error"]
     summary = [json.loads(line) for p in (tmp_path / "out/summary").glob("*.json") for line in p.read_text().splitlines()]
@@ -109,5 +123,32 @@ def test_empty_summary(spark):
     found = findings_of(scan(df))
     row = report.cost_summary(found).collect()[0]
     assert (row["total_per_execution"], row["total_monthly"], row["findings_count"], row["low"]) == (0.0, 0.0, 0, 0)
-    assert report.gate(found).collect()[0]["exit_code"] == 0 and not report.has_findings(found)
+    assert report.gate(scan(df)).collect()[0]["exit_code"] == 0 and not report.has_findings(scan(df))
     assert found.select(F.col("seq")).count() == 0
+
+
+def test_units_without_paths_stay_apart(spark):
+    df = spark.createDataFrame([(1, LOOP), (2, LOOP + LOOP)], "id int, code string")
+    rows = {r["id"]: r for r in report.findings_by_file(scan(snippets(df, language=None).withColumn("declared_language", F.lit("python")))).collect()}
+    assert rows[1]["findings_count"] == 1 and rows[2]["findings_count"] == 2 and rows[2]["total_per_execution"] == 0.4
+
+
+def test_script_tags(spark):
+    from loopledger import embedded_scripts
+
+    html = '<SCRIPT type="module">a</Script ><script\nsrc=x></script><scripts>no</scripts><script>b</script>'
+    rows = embedded_scripts(spark.createDataFrame([(1, html)], "id int, html string")).collect()
+    assert [r["code"] for r in rows] == ["a", "", "b"]
+
+
+def test_prices_do_not_multiply_findings(spark):
+    from loopledger import findings_of
+    from loopledger.operators.pricing import price_with, price_with_counts
+
+    results = scan(spark.createDataFrame([(1, "a.py", LOOP)], "file_id long, path string, code string"))
+    prices = spark.createDataFrame([("database_read", 1.0), ("database_read", 2.0), ("other", 5.0)], "category string, unit_cost double")
+    rows = price_with(findings_of(results), prices).collect()
+    assert [r["estimated_cost"]["unit_cost"] for r in rows] == [2.0]
+    counts = spark.createDataFrame([(1, 5_000_000_000), (1, 7)], "file_id long, iterations long")
+    rows = findings_of(price_with_counts(results, counts)).collect()
+    assert [r["estimated_cost"]["iterations"] for r in rows] == [5_000_000_000]
