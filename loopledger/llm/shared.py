@@ -43,7 +43,7 @@ class Encoder:
 
     _near_space = re.compile(r"\s\s")
 
-    def __init__(self, path: str | None = None, memory: int = 500_000, patience: int = 8_000_000):
+    def __init__(self, path: str | None = None, memory: int = 1_000_000, patience: int = 8_000_000):
         from tokenizers import Tokenizer
 
         if path is None:
@@ -59,6 +59,7 @@ class Encoder:
             self._bytes[id_] = len(token)
         self._memory, self._patience, self._missed = memory, patience, 0
         self._known: dict[str, bytes] = {}  # piece after a blank -> ids
+        self._marks = dict(zip(".,", self._alone([".", ","])))
 
     def _alone(self, texts: list[str]) -> list[bytes]:
         encoded = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -78,7 +79,7 @@ class Encoder:
         """Ids of each text as little-endian unsigned 32-bit integers; a null text has none."""
         if self._missed > self._patience:
             self._known, self._missed = {}, 0
-        find, out, waiting, new = self._known.get, [], [], []
+        find, marks, out, waiting, new = self._known.get, self._marks, [], [], []
 
         def finish() -> None:
             found = self._together(new) if new else []
@@ -101,7 +102,13 @@ class Encoder:
             else:
                 head, *parts = text.split(" ")
                 ids = list(map(find, parts))
-                new += [p for p, i in zip(parts, ids) if i is None]
+                for k in [k for k, i in enumerate(ids) if i is None]:
+                    piece = parts[k]
+                    # a Latin word and a mark are two tokens or more, so the word's ids will do
+                    if piece[-1] in marks and piece[:-1].isalpha() and max(piece) < "\u0250" and find(piece[:-1]):
+                        ids[k] = find(piece[:-1]) + marks[piece[-1]]
+                    else:
+                        new.append(piece)
                 waiting.append((head, ids))
             if len(new) > together:
                 finish()
