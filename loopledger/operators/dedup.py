@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import written
 from .scan import resolve_sources, scan
 
 # A content counts as hot when its copies exceed this share of all units, so there
@@ -28,7 +26,6 @@ def scan_distinct(files: DataFrame, hot_share: float = HOT_SHARE, salts: int = H
     """
     if not LEAST_HOT_SHARE <= hot_share <= 1:
         raise ValueError(f"hot_share must lie between {LEAST_HOT_SHARE} and 1")
-    spark = files.sparkSession
     resolved = resolve_sources(files)
     names = [c for c in resolved.columns if c not in ("code", "language", "error")]
     keyed = resolved.select(
@@ -36,9 +33,7 @@ def scan_distinct(files: DataFrame, hot_share: float = HOT_SHARE, salts: int = H
         F.sha2("code", 256).alias("content"), F.xxhash64(*names).alias("unit"),
     )
     # the narrow table is read several times below; the texts once more
-    folder = f"{checkpoint_dir(spark).rstrip('/')}/contents-{uuid.uuid4().hex}"
-    keyed.drop("code").write.parquet(folder)
-    units = spark.read.schema(keyed.drop("code").schema).parquet(folder)
+    units = written(keyed.drop("code"), "contents")
     copies, group = units.where(F.col("content").isNotNull()), ["content", "language"]
 
     counts = copies.groupBy(*group).agg(F.count("*").alias("copies"), F.min("unit").alias("unit"))

@@ -8,12 +8,17 @@ so a file has at most 2**31 / BLOCK of those.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.loops import JAVA_WALK, Walk, line_mark, walk_values
+from ..functions import cost
+from ..functions.loops import JAVA_WALK, WALKS, Walk, line_mark, walk_values
+from ..functions.match import call_hits, line_hits, to_findings
 from ..functions.text import any_of, searchable
-from ..rules import HOT, HOT_LOOKBACK, JAVA, JAVASCRIPT
+from ..rules import BUILTIN_RULES, HOT, HOT_LOOKBACK, JAVA, JAVASCRIPT, PYTHON, Rule, rules_for
+from ..session import written
 from .once import evaluate_once
 
 BLOCK = 4096
@@ -23,39 +28,62 @@ def _block(block: int) -> Column:
     return F.floor((F.col("line_no") - 1) / block).cast("int")
 
 
+def _blocks(lines: DataFrame, language: str, key: str, block: int) -> DataFrame:
+    """(key, block, items) with the marked lines of each block in order, as a written table.
+
+    Rows are dealt by one number for file and block: a partitioning by file, which the
+    input may have, would leave a huge file in one task.
+    """
+    others = [c for c in lines.columns if c not in (key, "line_no")]
+    item = F.struct("line_no", *others, F.expr(line_mark("line", "low", language)).alias("m"))
+    placed = lines.withColumns({"low": searchable(F.col("line")), "block": _block(block)}).select(
+        key, "block", item.alias("item"))
+    dealt = placed.withColumn("part", F.xxhash64(key, "block")).repartition("part")
+    gathered = dealt.groupBy("part", key, "block").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    return written(gathered.drop("part"), "blocks")
+
+
+def _with_flags(
+    lines: DataFrame, language: str, key: str, block: int, summary: Callable[[str], str], between: Walk, state: str
+) -> DataFrame:
+    """Lines with their flags: fold each block alone, combine along the file, fold again from the state entered with.
+
+    The table of blocks is read twice, for the summaries only its marks.
+    """
+    blocks = _blocks(lines, language, key, block)
+    marks = F.expr("transform(items, i -> i.m)")
+    summaries = blocks.select(key, "block", marks.alias("marks")).select(
+        key, F.expr(f"named_struct('block', block, 'sum', {summary('marks')})").alias("b"))
+    entering = (
+        summaries.groupBy(key)
+        .agg(F.array_sort(F.collect_list("b")).alias("bs"))
+        .select(key, F.explode(walk_values("bs", between, value_type=f"struct<block:int,state:{between.state_type}>")).alias("e"))
+        .select(key, "e.block", F.col("e.state").alias("entered"))
+    )
+    flagged = blocks.join(entering, [key, "block"]).withColumn("marks", marks).select(
+        key, "items", walk_values("marks", WALKS[language], initial=state).alias("flags"))
+    # blocks are never empty; outer only keeps a size test from being added below
+    rows = evaluate_once(flagged, "flags").select(key, "flags", F.posexplode_outer("items").alias("pos", "item"))
+    return rows.select(
+        *(F.col(c) if c == key else F.col(f"item.{c}").alias(c) for c in lines.columns),
+        F.col("item.m.start").cast("boolean").alias("loop_start"),
+        F.get("flags", F.col("pos")).alias("in_loop"),
+    )
+
+
 def js_loop_scope(lines: DataFrame, key: str = "file_id", block: int = BLOCK) -> DataFrame:
     """Add ``loop_start`` and ``in_loop`` to JavaScript lines.
 
-    The count of open loops is a running sum reflected at zero: with S the running
-    sum of starts minus closings, it is S + max(count before, -min(S)).  A block hands
-    on its total and its lowest S, which is all its successors need.
+    The count of open loops is a running sum reflected at zero, so a block hands on its
+    total and its lowest running sum, which is all its successors need.
     """
-    inside = Window.partitionBy(key, "block").orderBy("line_no")
-    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marked = lines.select(
-        *lines.columns, _block(block).alias("block"), searchable(F.col("line")).alias("low")
-    ).select(
-        *lines.columns, "block", F.expr(line_mark("line", "low", JAVASCRIPT)).alias("m")
-    ).select(*lines.columns, "block", F.col("m.start").alias("start"), (F.col("m.start") - F.col("m.closes")).alias("x"))
-    summed = marked.withColumn("s", F.sum("x").over(so_far)).withColumn("low", F.min("s").over(so_far))
-
-    # combine the block summaries of a file
-    blocks = summed.groupBy(key, "block").agg(F.sum("x").alias("total"), F.min("s").alias("block_low"))
-    earlier = Window.partitionBy(key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    reached = blocks.withColumn("before", F.coalesce(F.sum("total").over(earlier), F.lit(0)))
-    entering = reached.withColumn("floor", F.min(F.col("before") + F.col("block_low")).over(earlier)).select(
-        key, "block",
-        (F.col("before") + F.greatest(F.lit(0), -F.coalesce("floor", F.lit(0)))).alias("open_before"),
-    )
+    def summary(marks: str) -> str:
+        step = "b.total + m.start - m.closes"
+        return (f"aggregate({marks}, named_struct('total', 0, 'low', 0), (b, m) -> "
+                f"named_struct('total', {step}, 'low', least(b.low, {step})))")
 
-    depth = F.col("s") + F.greatest(F.col("open_before"), -F.col("low"))
-    joined = summed.join(entering, [key, "block"]).withColumn("depth", depth)
-    previous = F.coalesce(F.lag("depth").over(inside), "open_before")
-    return joined.select(
-        *lines.columns,
-        (F.col("start") == 1).alias("loop_start"),
-        (previous + F.col("start") > 0).alias("in_loop"),
-    )
+    between = Walk("int", "0", "m.sum.total + greatest(s, -m.sum.low)", "named_struct('block', m.block, 'state', s)")
+    return _with_flags(lines, JAVASCRIPT, key, block, summary, between, "entered")
 
 
 def java_loop_scope(lines: DataFrame, key: str = "file_id", block: int = BLOCK) -> DataFrame:
@@ -63,58 +91,52 @@ def java_loop_scope(lines: DataFrame, key: str = "file_id", block: int = BLOCK)
 
     Each block is folded on its own to learn its change of brace depth, its lowest
     depth and the lowest loop it leaves open; combining those along the file gives
-    every block the state it is entered with, and a second fold sets the flags.
+    every block the state it is entered with.
     """
-    others = [c for c in lines.columns if c != key]
-    mark = F.expr(line_mark("line", "low", JAVA)).alias("m")
-    item = F.struct("line_no", *(c for c in others if c != "line_no"), mark)
-    blocks = (
-        lines.withColumn("low", searchable(F.col("line")))
-        .select(key, _block(block).alias("block"), item.alias("item"))
-        .groupBy(key, "block")
-        .agg(F.array_sort(F.collect_list("item")).alias("items"))
-    )
-
-    # what a block does on its own: change of depth, lowest depth, lowest loop left open
-    alone = Walk(
-        "", f"named_struct('w', {JAVA_WALK.initial}, 'low', 0)",
-        "transform(array(b.w), s -> named_struct('w', " + JAVA_WALK.after + ", 'low', least(b.low, s.depth + m.low)))[0]", "",
-    )
-    marks = blocks.select(key, "block", "items", F.expr("transform(items, i -> i.m)").alias("marks"))
-    summaries = marks.select(
-        key, "block", F.expr(f"aggregate(marks, {alone.initial}, (b, m) -> {alone.after})").alias("sum")
-    ).select(
-        key,
-        F.struct(
-            "block", F.col("sum.w.depth").alias("delta"), F.col("sum.low").alias("low"),
-            F.col("sum.w.base").alias("left_open"),
-        ).alias("b"),
-    )
+    def summary(marks: str) -> str:
+        return (f"aggregate({marks}, named_struct('w', {JAVA_WALK.initial}, 'low', 0), (b, m) -> "
+                f"transform(array(b.w), s -> named_struct('w', {JAVA_WALK.after}, 'low', least(b.low, s.depth + m.low)))[0])")
 
-    # along the file: the state each block is entered with
     between = Walk(
         JAVA_WALK.state_type, JAVA_WALK.initial,
-        "named_struct('depth', s.depth + m.delta, 'base', least("
-        "CASE WHEN s.base <= s.depth + m.low THEN s.base END, s.depth + m.left_open))",
-        "named_struct('block', m.block, 'depth', s.depth, 'base', s.base)",
-    )
-    entering = (
-        summaries.groupBy(key)
-        .agg(F.array_sort(F.collect_list("b")).alias("bs"))
-        .select(key, F.explode(walk_values("bs", between, value_type="struct<block:int,depth:int,base:int>")).alias("e"))
-        .select(key, "e.*")
-    )
-    state = "named_struct('depth', depth, 'base', base)"
-    flagged = marks.join(entering, [key, "block"]).select(
-        key, "items", walk_values("marks", JAVA_WALK, initial=state).alias("flags")
-    )
-    # blocks are never empty; outer only keeps a size test from being added below
-    rows = evaluate_once(flagged, "flags").select(key, "flags", F.posexplode_outer("items").alias("pos", "item"))
-    return rows.select(
-        *(F.col(c) if c == key else F.col(f"item.{c}").alias(c) for c in lines.columns),
-        F.col("item.m.start").alias("loop_start"),
-        F.get("flags", F.col("pos")).alias("in_loop"),
+        "named_struct('depth', s.depth + m.sum.w.depth, 'base', least("
+        "CASE WHEN s.base <= s.depth + m.sum.low THEN s.base END, s.depth + m.sum.w.base))",
+        "named_struct('block', m.block, 'state', s)",
     )
+    return _with_flags(lines, JAVA, key, block, summary, between, "entered")
+
+
+LOOP_SCOPE = {JAVASCRIPT: js_loop_scope, JAVA: java_loop_scope}
+
+
+def line_findings(
+    lines: DataFrame, language: str, rules: Sequence[Rule] = BUILTIN_RULES, unit_costs: Mapping[str, float] = cost.UNIT_COSTS,
+    iterations: int | None = None, key: str = "file_id", block: int = BLOCK,
+) -> DataFrame:
+    """Findings of JavaScript or Java lines: the key, then the fields of a finding, one row each.
+
+    For files too long for one row: a file's lines are never together in a task.
+    """
+    own = rules_for(language, rules)
+    inside = LOOP_SCOPE[language](lines.select(key, "line_no", "line"), key, block).where("in_loop")
+    one = F.array(F.struct(F.col("line_no").alias("no"), F.col("line").alias("text"), searchable(F.col("line")).alias("low")))
+    hits = inside.select(key, one.alias("one")).select(key, line_hits(own, "one").alias("hits"))
+    return hits.select(key, F.explode(to_findings(F.col("hits"), own, unit_costs, iterations)).alias("f")).select(key, "f.*")
+
+
+def call_findings(
+    calls: DataFrame, lines: DataFrame, rules: Sequence[Rule] = BUILTIN_RULES,
+    unit_costs: Mapping[str, float] = cost.UNIT_COSTS, iterations: int | None = None, key: str = "file_id",
+) -> DataFrame:
+    """Findings of a table of Python call sites; ``lines`` (key, line_no, line) give the shown text."""
+    own = rules_for(PYTHON, rules)
+    fields = [c for c in calls.columns if c != key]
+    hits = calls.select(key, F.array(F.struct(*fields)).alias("calls"), F.array().cast("array<string>").alias("none")).select(
+        key, call_hits(own, "calls", "none").alias("hits"))
+    found = hits.select(key, F.explode(to_findings(F.col("hits"), own, unit_costs, iterations)).alias("f")).select(key, "f.*")
+    shown = lines.select(key, F.col("line_no").alias("line_number"), "line")
+    return found.join(shown, [key, "line_number"], "left").withColumn(
+        "line_content", F.coalesce("line", "line_content")).select(found.columns)
 
 
 def near_hot_path(lines: DataFrame, language: str, key: str = "file_id", block: int = BLOCK) -> DataFrame:

@@ -201,6 +201,28 @@ QUERIES["java_findings"] = _language_findings(JAVA)
 QUERIES["py_findings"] = _language_findings(PYTHON)
 
 
+def _line_findings(language: str) -> Query:
+    """The same from a table of lines, in blocks of 64 lines."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        found = scope.line_findings(_lines_of(spark, sf, language), language, block=64)
+        return flat(found.withColumn("seq", F.lit(0)), "file_id").drop("seq")
+
+    return run
+
+
+QUERIES["js_line_findings"] = _line_findings(JAVASCRIPT)
+QUERIES["java_line_findings"] = _line_findings(JAVA)
+
+
+@query
+def py_call_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """The findings of Python files from tables of their call sites and lines."""
+    own = with_language(files(spark, sf)).where(F.col("language") == PYTHON)
+    found = scope.call_findings(call_site_table(own), explode_lines(own.select("file_id", "code")))
+    return flat(found.withColumn("seq", F.lit(0)), "file_id").drop("seq")
+
+
 @query
 def unbounded_queries(spark: SparkSession, sf: str) -> DataFrame:
     rule = [r for r in BUILTIN_RULES if r.rule_id == "PY004"]

@@ -350,6 +350,8 @@ def oracle() -> dict[str, str]:
 
     for name, lang in (("js_findings", JAVASCRIPT), ("java_findings", JAVA), ("py_findings", PYTHON)):
         sql[name] = f"{found_cte(rules_for(lang), languages=(lang,))} SELECT file_id, {FLAT} FROM found"
+    for name, whole in (("js_line_findings", "js_findings"), ("java_line_findings", "java_findings"), ("py_call_findings", "py_findings")):
+        sql[name] = f"SELECT * EXCLUDE (seq) FROM ({sql[whole]})"
     py004 = [r for r in BUILTIN_RULES if r.rule_id == "PY004"]
     sql["unbounded_queries"] = (
         f"{found_cte(py004, languages=(PYTHON,))} SELECT file_id, line_number, description, severity FROM found")

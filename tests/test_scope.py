@@ -86,3 +86,23 @@ def test_near_hot_path_over_blocks(spark):
         # "handleIt()" is a call; "public void" + next line is a declaration over a line end
         assert sorted(r["line_no"] for r in java) == [*range(39, 69), *range(123, 152)]
     assert table.count() == 200 and F
+
+
+def test_a_huge_file_spreads_when_the_input_is_partitioned_by_file(spark):
+    """One file of many blocks: its lines reach several tasks, and the text is shuffled once."""
+    from loopledger.operators import scope
+
+    code = [(1, k + 1, t) for k, t in enumerate(["for (const x of xs) {", "  fetch(x);", "}", ""] * 600)]
+    lines = spark.createDataFrame(code, "file_id long, line_no int, line string").repartition(4, "file_id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the file is tiny after all
+    try:
+        blocks = scope._blocks(lines, "javascript", "file_id", 64)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    tasks = blocks.select(F.input_file_name().alias("f")).distinct().count()
+    assert tasks > 1 and blocks.count() == 38
+    found = scope.line_findings(lines, "javascript", block=64)
+    text = spark.sparkContext._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "simple")
+    assert "Window" not in text and "documents" not in text
+    rows = found.collect()
+    assert sorted(r["line_number"] for r in rows) == list(range(2, 2400, 4)) and {r["rule_id"] for r in rows} == {"JS001"}
