@@ -120,13 +120,35 @@ def required_texts(pattern: str) -> list[str]:
     return sorted({r for r in [*runs, run] if r}, key=len, reverse=True)
 
 
+_SAME_LETTERS = (("\u017f", "s"), ("\u0131", "i"), ("\u0130", "i"))
+
+
 def searchable(text: Column) -> Column:
     """Lower case, with the letters that ignore-case search equates to i and s."""
-    for letter, plain in (("\u017f", "s"), ("\u0131", "i"), ("\u0130", "i")):
+    for letter, plain in _SAME_LETTERS:
         text = F.replace(text, F.lit(letter), F.lit(plain))
     return F.lower(text)
 
 
+def may_find(text: str, *pattern_sets: Iterable[str]) -> str:
+    """SQL of whether a text may hold a match of each set on some line, by plain substring tests.
+
+    A pattern without a literal piece makes its set certain, so the answer is never wrong
+    in the negative.
+    """
+    tests = []
+    for patterns in pattern_sets:
+        pieces = {tuple(required_texts(p)) for p in patterns}
+        if () not in pieces:
+            tests.append("(" + " OR ".join(
+                "(" + " AND ".join(f"contains(low, {sql_literal(p)})" for p in one) + ")" for one in sorted(pieces)) + ")")
+    if not tests:
+        return "true"
+    for letter, plain in _SAME_LETTERS:
+        text = f"replace({text}, '{letter}', '{plain}')"
+    return f"get(transform(array(lower({text})), low -> {' AND '.join(tests)}), 0)"
+
+
 def finds(text: str, lowered: str, pattern: str) -> str:
     """SQL of an ignore-case search.  Plain substring tests on ``lowered`` (the
     ``searchable`` form) come first and settle nearly every line without running the

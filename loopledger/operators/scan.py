@@ -16,8 +16,8 @@ from ..functions import cost
 from ..functions.language import resolve_language
 from ..functions.loops import has_start, in_loop_flags, mark_lines, numbered_lines
 from ..functions.match import call_hits, line_hits, to_findings
-from ..functions.text import split_lines
-from ..rules import BUILTIN_RULES, LANGUAGES, PYTHON, UNKNOWN, Rule, rules_for
+from ..functions.text import may_find, split_lines
+from ..rules import BUILTIN_RULES, LANGUAGES, LOOPS, PYTHON, UNKNOWN, Rule, rules_for
 from .callsites import EXTRACT_TYPE, extract_calls
 from .once import evaluate_once
 
@@ -74,9 +74,14 @@ def scan(
     # languages without a rule need no work at all, Python without rules no parser
     own = {lang: rules_for(lang, all_rules) for lang in LANGUAGES if rules_for(lang, all_rules)}
     parsed_python = extract_calls(F.when(F.col("language") == PYTHON, F.col("code"))) if PYTHON in own else F.lit(None)
+    # a file without a piece of a loop and of a call that its rules look for is not even split
+    worth = F.col("language") == PYTHON if PYTHON in own else F.lit(False)
+    for lang in (lang for lang in own if lang != PYTHON):
+        calls = [p.regex for r in own[lang] for p in r.patterns]
+        worth = worth | ((F.col("language") == lang) & F.expr(may_find("code", LOOPS[lang], calls)))
     parsed = evaluate_once(resolved.select(
         *base,
-        F.when(F.col("language").isin(*own), split_lines(F.col("code"))).alias("lines"),
+        F.when(worth, split_lines(F.col("code"))).alias("lines"),
         parsed_python.cast(EXTRACT_TYPE).alias("py"),
     ), "py")
     language = F.col("language")

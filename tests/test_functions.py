@@ -116,3 +116,21 @@ def test_search_agrees_with_python_regex(spark):
     assert wrong == []
     assert sum(row[f"p{i}"] for row in got for i in range(len(patterns))) > 300
     assert HOT
+
+
+def test_whole_text_tests_are_never_wrong_in_the_negative(spark):
+    from loopledger import scan
+    from loopledger.functions.text import may_find
+
+    texts = ["for (x of y) {\nfetch(x)", "FOR (x of y)\nFETCH(x)", "fetch(x)", "for (;;) {}", "", "while(ſ) axıos.get("]
+    df = spark.createDataFrame([(t,) for t in texts], "code string")
+    loops, calls = LOOPS["javascript"], [p.regex for r in BUILTIN_RULES if r.language == "javascript" for p in r.patterns]
+    got = [r[0] for r in df.select(F.expr(may_find("code", loops, calls))).collect()]
+    for text, may in zip(texts, got):
+        lines = text.splitlines()
+        found = all(any(re.search(p, line, re.IGNORECASE) for p in ps for line in lines) for ps in (loops, calls))
+        assert may or not found
+    assert got[2] is False and got[4] is False and got[0] is True
+    assert may_find("code", ["a|b"]) == "true"
+    units = df.withColumn("declared_language", F.lit("javascript"))
+    assert [len(r["findings"]) for r in scan(units).collect()][:5] == [1, 1, 0, 0, 0]
