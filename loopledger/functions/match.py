@@ -90,9 +90,11 @@ def final_severity(base: Column, language: Column, cost_severity: Column) -> Col
     return F.when((language == PYTHON) & (cost_severity == "high"), cost_severity).otherwise(base)
 
 
-def to_findings(hits: Column, rules: Sequence[Rule], costs: Mapping[str, float], iterations: int | None) -> Column:
-    """Hits with rule wording, severity and price."""
-    by_rule, by_category = rule_map(rules), cost.cost_map(costs, iterations)
+def to_findings(
+    hits: Column, rules: Sequence[Rule] | None, costs: Mapping[str, float], iterations: int | None
+) -> Column:
+    """Hits with rule wording, severity and price; without ``rules``, a hit carries its rule."""
+    by_rule, by_category = rule_map(rules) if rules is not None else None, cost.cost_map(costs, iterations)
 
     def priced(hit: Column, rule: Column, category: Column, estimate: Column) -> Column:
         base = F.when(hit["hot"] & (rule["severity"] == "medium"), "high").otherwise(rule["severity"])
@@ -118,6 +120,6 @@ def to_findings(hits: Column, rules: Sequence[Rule], costs: Mapping[str, float],
                 ),
             )
 
-        return let(F.try_element_at(by_rule, hit["rule_id"]), with_rule)
+        return let(hit["rule"] if by_rule is None else F.try_element_at(by_rule, hit["rule_id"]), with_rule)
 
     return F.transform(hits, one)

@@ -20,6 +20,8 @@ from ..functions.text import may_find, split_lines
 from ..rules import BUILTIN_RULES, LANGUAGES, LOOPS, PYTHON, UNKNOWN, Rule, rules_for
 from .callsites import EXTRACT_TYPE, extract_calls
 from .once import evaluate_once
+from .rule_table import HIT_TYPE as TABLE_HIT_TYPE
+from .rule_table import rule_array, table_call_hits, table_line_hits
 
 UNDETECTED = "Could not detect programming language"
 SNIPPET_PATH = "<input>"
@@ -61,24 +63,27 @@ def scan(
     extra_rules: Sequence[Rule] = (),
     unit_costs: Mapping[str, float] = cost.UNIT_COSTS,
     iterations: int | None = None,
+    rule_table: DataFrame | None = None,
 ) -> DataFrame:
     """Scan a DataFrame of source units (batch or streaming).
 
     Input as for ``resolve_sources``.  Returns its columns without the code, plus
-    ``findings`` in emission order.
+    ``findings`` in emission order.  Rules of ``rule_table`` (see ``rule_table.py``)
+    report after the others.
     """
     resolved = resolve_sources(sources)
     base = [c for c in resolved.columns if c != "code"]
     all_rules = [*rules, *extra_rules]
 
     # languages without a rule need no work at all, Python without rules no parser
-    own = {lang: rules_for(lang, all_rules) for lang in LANGUAGES if rules_for(lang, all_rules)}
+    tabled = rule_array(rule_table) if rule_table is not None else None
+    own = {lang: rules_for(lang, all_rules) for lang in LANGUAGES if tabled is not None or rules_for(lang, all_rules)}
     parsed_python = extract_calls(F.when(F.col("language") == PYTHON, F.col("code"))) if PYTHON in own else F.lit(None)
     # a file without a piece of a loop and of a call that its rules look for is not even split
     worth = F.col("language") == PYTHON if PYTHON in own else F.lit(False)
     for lang in (lang for lang in own if lang != PYTHON):
-        calls = [p.regex for r in own[lang] for p in r.patterns]
-        worth = worth | ((F.col("language") == lang) & F.expr(may_find("code", LOOPS[lang], calls)))
+        looked_for = [LOOPS[lang]] + ([[p.regex for r in own[lang] for p in r.patterns]] if tabled is None else [])
+        worth = worth | ((F.col("language") == lang) & F.expr(may_find("code", *looked_for)))
     parsed = evaluate_once(resolved.select(
         *base,
         F.when(worth, split_lines(F.col("code"))).alias("lines"),
@@ -104,15 +109,23 @@ def scan(
     scoped = marked.select(*keep, inside.alias("inside"))
 
     hits = F.lit(None)
-    for lang in brace:
+    for lang in (lang for lang in brace if own[lang]):
         hits = F.when(language == lang, line_hits(own[lang], "inside")).otherwise(hits)
-    if PYTHON in own:
+    if own.get(PYTHON):
         hits = F.when(language == PYTHON, call_hits(own[PYTHON], "py.calls", "lines")).otherwise(hits)
     hits = F.coalesce(hits, _no_hits())
+    parts = [to_findings(hits, all_rules, unit_costs, iterations)] if all_rules or tabled is None else []
+    if tabled is not None:
+        scoped, given = scoped.withColumn("given_rules", tabled), F.col("given_rules")
+        more = table_call_hits(given, "py.calls", "lines")
+        for lang in brace:
+            more = F.when(language == lang, table_line_hits(given, lang, "inside")).otherwise(more)
+        more = F.coalesce(more, F.array().cast(f"array<{TABLE_HIT_TYPE}>"))
+        parts.append(to_findings(more, None, unit_costs, iterations))
     found = scoped.select(
         *(c for c in base if c != "error"),
         F.coalesce("error", F.col("py.error")).alias("error"),
-        to_findings(hits, all_rules, unit_costs, iterations).alias("findings"),
+        F.concat(*parts).alias("findings"),
     )
     return evaluate_once(found, "findings")
 

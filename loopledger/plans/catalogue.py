@@ -571,6 +571,27 @@ def custom_rules(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _given_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """A rule for every part and supplier; every hundredth looks for a call that occurs."""
+    numbers = table(spark, sf, "part").select(F.lit("P").alias("kind"), F.col("p_partkey").alias("n")).union(
+        table(spark, sf, "supplier").select(F.lit("S"), "s_suppkey"))
+    occurs, name = F.col("n") % 100 == 0, F.concat("kind", F.col("n").cast("string"))
+    return numbers.select(
+        name.alias("rule_id"), F.when(F.col("kind") == "P", JAVASCRIPT).otherwise(JAVA).alias("language"),
+        F.lit("Given Rule").alias("rule_name"), F.lit("api_call").alias("category"), F.lit("low").alias("severity"),
+        F.lit("was looked for.").alias("sentence"), F.lit("Look again.").alias("suggestion"), F.lit(1).alias("ord"),
+        F.when(occurs & (F.col("kind") == "P"), r"\bfetch\s*\(").when(occurs, r"\.findById\s*\(")
+        .otherwise(F.concat(F.lit("call"), name, F.lit(r"\s*\("))).alias("regex"), F.lit("Given call").alias("label"),
+    )
+
+
+@query
+def table_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules from a table: more of them than a plan should hold."""
+    found = findings(spark, sf, rules=(), rule_table=_given_rules(spark, sf))
+    return found.groupBy("rule_id", "language", "description").agg(F.count("*").alias("n"), *report.cost_totals())
+
+
 @query
 def custom_costs(spark: SparkSession, sf: str) -> DataFrame:
     """Prices from a table: the mean event value per category, which two categories lack."""

@@ -11,7 +11,7 @@ from ..functions import cost
 from ..functions.language import DEFAULT_EXCLUDES, EXTENSIONS, INDICATORS
 from ..rules import (
     BUILTIN_RULES, HOT, HOT_FUNCTION_WORDS, HOT_LOOKBACK, JAVA, JAVASCRIPT, LANGUAGES, LOOPS,
-    PAGINATION_WORDS, PYTHON, CallPattern, Rule, rules_for,
+    PAGINATION_WORDS, PYTHON, CallPattern, LinePattern, Rule, rules_for,
 )
 from .catalogue import CUSTOM_COSTS, CUSTOM_RULES
 from .corpus import PYTHON_LABELS, SNIPPETS
@@ -463,6 +463,13 @@ files AS (SELECT page_id * 1000 + script_no AS file_id, page_id, script_no, 0 AS
     custom = [*BUILTIN_RULES, *CUSTOM_RULES]
     sql["custom_rules"] = (
         f"{found_cte(custom)} SELECT rule_id, description, severity, count(*) AS n, {TOTALS} FROM found GROUP BY ALL")
+    given = (
+        Rule("P", JAVASCRIPT, "Given Rule", "api_call", "low", "was looked for.", "Look again.", (LinePattern(r"\bfetch\s*\(", "Given call"),)),
+        Rule("S", JAVA, "Given Rule", "api_call", "low", "was looked for.", "Look again.", (LinePattern(r"\.findById\s*\(", "Given call"),)))
+    sql["table_rules"] = (
+        f"{found_cte(given, languages=(JAVASCRIPT, JAVA))}, given_rules AS (SELECT 'P' AS kind, p_partkey AS n FROM part UNION ALL "
+        "SELECT 'S', s_suppkey FROM supplier) SELECT kind || g.n AS rule_id, language, description, count(*) AS n, "
+        f"{TOTALS} FROM found JOIN given_rules g ON g.kind = rule_id AND g.n % 100 = 0 GROUP BY ALL")
     sql["custom_costs"] = (
         f"{FOUND}, {PRICED_EVENTS}, given AS (SELECT category, sum(floor(value)::BIGINT)::DOUBLE / count(*) / 1024 AS g "
         "FROM priced_events WHERE category IN ('database_read', 'api_call') GROUP BY 1), "

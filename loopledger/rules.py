@@ -10,8 +10,6 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
-
 PYTHON, JAVASCRIPT, JAVA, UNKNOWN = "python", "javascript", "java", "unknown"
 LANGUAGES = (PYTHON, JAVASCRIPT, JAVA)
 
@@ -386,38 +384,3 @@ BUILTIN_RULES: tuple[Rule, ...] = (
 
 def rules_for(language: str, rules: Iterable[Rule] = BUILTIN_RULES) -> list[Rule]:
     return [r for r in rules if r.language == language]
-
-
-# A rule set is compiled into the plan as literals, so its size is part of the job's
-# configuration.  The loader refuses a table above this bound rather than cutting it.
-MAX_RULE_ROWS = 2000
-
-
-def rules_from_dataframe(df: DataFrame) -> tuple[Rule, ...]:
-    """Read caller-supplied rules from a table with one row per pattern.
-
-    Columns: ``rule_id, language, rule_name, category, severity, sentence,
-    suggestion, ord`` and either ``regex`` (JavaScript, Java) or ``obj, method``
-    (Python), plus ``label``.  A table above ``MAX_RULE_ROWS`` is an error: scan
-    with several smaller rule sets and union the findings instead.
-    """
-    rows = df.take(MAX_RULE_ROWS + 1)
-    if len(rows) > MAX_RULE_ROWS:
-        raise ValueError(
-            f"rule table has more than {MAX_RULE_ROWS} patterns; scan once per slice of it"
-        )
-    grouped: dict[str, list] = {}
-    for row in sorted(rows, key=lambda r: (r["rule_id"], r["ord"])):
-        grouped.setdefault(row["rule_id"], []).append(row)
-    out = []
-    for rule_id, members in grouped.items():
-        first = members[0]
-        if first["language"] == PYTHON:
-            patterns = tuple(CallPattern(m["obj"].lower(), m["method"].lower(), m["label"]) for m in members)
-        else:
-            patterns = tuple(LinePattern(m["regex"], m["label"]) for m in members)
-        out.append(
-            Rule(rule_id, first["language"], first["rule_name"], first["category"],
-                 first["severity"], first["sentence"], first["suggestion"], patterns)
-        )
-    return tuple(out)

@@ -117,17 +117,14 @@ def test_language_and_errors(scan_rows):
 
 
 def test_custom_rules_and_costs(scan_rows, spark):
-    from loopledger import rules_from_dataframe
-
     table = spark.createDataFrame(
         [("JS9", "javascript", "Logging", "logging", "low", "in a loop.", "Log less.", 1, r"console\s*\.|logger", None, None, "log call"),
          ("PY9", "python", "Sleep", "api_call", "low", "in a loop.", "Do not.", 1, None, "time", "sleep", "sleep")],
         "rule_id string, language string, rule_name string, category string, severity string, sentence string, "
         "suggestion string, ord int, regex string, obj string, method string, label string")
-    extra = rules_from_dataframe(table)
     got = scan_rows(
         {"js": ("a.js", "for (;;) { LOGGER.info(1) }", None), "py": py("while 1:\n    time.sleep(1)\n")},
-        extra_rules=extra, unit_costs={"logging": 1.5, "api_call": 2.0}, iterations=10)
+        rule_table=table, unit_costs={"logging": 1.5, "api_call": 2.0}, iterations=10)
     js = got["js"]["findings"][0]
     assert (js["rule_id"], js["description"], js["severity"]) == ("JS9", "log call in a loop.", "low")
     assert js["estimated_cost"]["monthly_cost"] == 450.0 and js["estimated_cost"]["severity"] == "high"
@@ -135,9 +132,15 @@ def test_custom_rules_and_costs(scan_rows, spark):
     assert [(f["rule_id"], f["severity"]) for f in got["py"]["findings"]][-1] == ("PY9", "high")
 
 
-def test_oversized_rule_table_is_refused(spark, monkeypatch):
-    import loopledger.rules as rules_module
-
-    monkeypatch.setattr(rules_module, "MAX_RULE_ROWS", 3)
-    with pytest.raises(ValueError, match="more than 3"):
-        rules_module.rules_from_dataframe(spark.range(4))
+def test_rule_tables_are_checked_and_may_be_large(scan_rows, spark):
+    columns = ("rule_id string, language string, rule_name string, category string, severity string, sentence string, "
+               "suggestion string, ord int, regex string, label string")
+    good = [(f"T{n // 2}", "java", "n", "api_call", "low", "s.", "t", n % 2, rf"call{n}\s*\(", f"c{n}") for n in range(6000)]
+    cases = {"a": ("a.java", "for (;;) {\n call7( call6(\n call5999 (\n}", None)}
+    got = scan_rows(cases, rules=(), rule_table=spark.createDataFrame(good, columns))["a"]["findings"]
+    assert [(f["line_number"], f["rule_id"], f["description"]) for f in got] == [(2, "T3", "c6 s."), (3, "T2999", "c5999 s.")]
+    for change, said in (({1: "Java"}, "unknown language Java"), ({4: "urgent"}, "unknown severity"), ({8: None}, "no regex"), ({0: None}, "null"),
+                         ({7: 0, 0: "T0"}, "twice")):
+        bad = [change.get(k, v) for k, v in enumerate(good[1])]
+        with pytest.raises(Exception, match=said):
+            scan_rows(cases, rule_table=spark.createDataFrame([good[0], tuple(bad)], columns))
