@@ -76,7 +76,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: str | None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer_path).encode_many, np.asarray([END], "<u4").tobytes()
-        for batch in batches:
+        for batch in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
             rows: list[tuple] = []
             for doc_id, data in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
                 data = memoryview(data + end)

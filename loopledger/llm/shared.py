@@ -43,7 +43,7 @@ class Encoder:
 
     _near_space = re.compile(r"\s\s")
 
-    def __init__(self, path: str | None = None, memory: int = 1_000_000, patience: int = 8_000_000):
+    def __init__(self, path: str | None = None, memory: int = 600_000, patience: int = 8_000_000):
         from tokenizers import Tokenizer
 
         if path is None:

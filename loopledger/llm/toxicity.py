@@ -35,6 +35,8 @@ THRESHOLD = 0.3
 #: Texts that an entry must mark at least, and the share of them that must be toxic.
 LEAST_TEXTS, LEAST_SHARE = 5, 0.9
 STEMS = range(4, 9)
+#: Entries that a task counts before it hands on what it has.
+COUNTED_AT_ONCE = 100_000
 
 # fixed values: seeds of the lexicon
 INSULTS = ("bastard clown disgusting dumb filth fool garbage idiot imbecile loser moron pathetic scum stupid trash "
@@ -190,21 +192,24 @@ def fit(docs: DataFrame, labels: DataFrame, held_out) -> Model:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         bad: Counter = Counter()
+
+        def so_far() -> pa.RecordBatch:
+            keys = list(seen)
+            columns = [pa.array(keys, pa.binary()), pa.array([bad[k] for k in keys], pa.int64()),
+                       pa.array(list(seen.values()), pa.int64())]
+            seen.clear()
+            bad.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["entry", "bad", "seen"])
+
         for batch in batches:
             for text, toxic in zip(*(c.to_pylist() for c in batch.columns)):
-                entries = _entries(text)
+                entries = _entries(text) | {b""}
                 seen.update(entries)
-                seen[b""] += 1
                 if toxic:
                     bad.update(entries)
-                    bad[b""] += 1
-        # an entry that marks no toxic text is never kept, wherever else it occurs
-        keys = [k for k in bad]
-        rest = [k for k in seen if k not in bad and len(k) > 3]
-        yield pa.RecordBatch.from_arrays([
-            pa.array(keys + rest, pa.binary()), pa.array([bad[k] for k in keys] + [0] * len(rest), pa.int64()),
-            pa.array([seen[k] for k in keys + rest], pa.int64()),
-        ], names=["entry", "bad", "seen"])
+                if len(seen) > COUNTED_AT_ONCE:
+                    yield so_far()
+        yield so_far()
 
     counts = (
         sample.mapInArrow(count, "entry binary, bad long, seen long")
