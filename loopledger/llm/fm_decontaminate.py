@@ -24,7 +24,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StringType
 
 from loopledger.llm.fm_index import FMIndex
 
@@ -116,7 +115,7 @@ def _shards(texts: list[bytes], overlap: int) -> Iterator[tuple[list, list[int]]
         yield shard, counts
 
 
-def _pass(docs: DataFrame, windows: Windows, text: str, first: bool) -> DataFrame:
+def _pass(docs: DataFrame, windows: Windows, text: str, first: bool, cut: bool) -> DataFrame:
     spec = docs.schema
     if first:
         docs = docs.select("*", F.lit(0).cast("long").alias("n_words"),
@@ -136,49 +135,48 @@ def _pass(docs: DataFrame, windows: Windows, text: str, first: bool) -> DataFram
                 for k, a, b, owners in _search(shard, windows):
                     spans[k].append((a, b))
                     items[k].update(owners)
+            whole = [merged(x) for x in spans]
             added = [
                 pa.array(counts, pa.int64()),
-                pa.array([[{"first": a, "last": b - 1} for a, b in merged(x)] if x else [] for x in spans],
-                         arrow.field("spans").type),
+                pa.array([[{"first": a, "last": b - 1} for a, b in x] for x in whole], arrow.field("spans").type),
                 pa.array([sorted(x) for x in items], arrow.field("items").type),
             ]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: batch.num_columns - 3], *added], schema=arrow)
+            columns = batch.columns[: batch.num_columns - 3]
+            if cut and any(whole):
+                columns[place] = pa.array(
+                    [without_spans(t, x) for t, x in zip(columns[place].to_pylist(), whole)], columns[place].type)
+            yield pa.RecordBatch.from_arrays([*columns, *added], schema=arrow)
 
     return docs.mapInArrow(find, spec)
 
 
-def contaminated_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """docs with n_words, spans (first and last word of each stretch to remove) and items (sorted ids as strings)."""
+def contaminated_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", cut: bool = False) -> DataFrame:
+    """docs with n_words, spans (first and last word of each stretch to remove) and items (sorted ids as strings).
+
+    With cut, the stretches are gone from the text; all is done where the index is.
+    """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ADDED])
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 + size // BLOCK_BYTES
     for block in range(blocks):
         part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         rows = part.select(F.col("item_id").cast("string"), "text").where("item_id IS NOT NULL").collect()
-        docs = _pass(docs, Windows([(r[0], r[1]) for r in rows]), text, block == 0)
+        docs = _pass(docs, Windows([(r[0], r[1]) for r in rows]), text, block == 0, cut and block == blocks - 1)
     return docs
 
 
 def without_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:
-    """The text with a line feed in place of each stretch of words (first, last)."""
+    """The text with a line feed in place of each stretch of words (first, end)."""
     if not spans or text is None:
         return text
     whole, words = text.encode("utf-8", "replace"), [(m.start(), m.end()) for m in _WORD.finditer(folded(text))]
     kept, at = [], 0
-    for first, last in spans:
+    for first, end in spans:
         kept.append(whole[at : words[first][0]])
-        at = words[last][1]
+        at = words[end - 1][1]
     return b"\n".join([*kept, whole[at:]]).decode("utf-8")
 
 
-@F.arrow_udf(StringType())
-def _cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
-    return pa.array([without_spans(t, [(s["first"], s["last"]) for s in x])
-                     for t, x in zip(texts.to_pylist(), spans.to_pylist())], pa.string())
-
-
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """docs with benchmark stretches cut out of the text, with spans and items beside it."""
-    found = contaminated_spans(docs, benchmark, text)
-    hit = F.size("spans") > 0
-    return found.withColumn(text, F.when(hit, _cut(F.col(text), F.col("spans"))).otherwise(F.col(text)))
+    return contaminated_spans(docs, benchmark, text, cut=True)
