@@ -36,7 +36,7 @@ CALL_FIELDS = (
 EXTRACT_TYPE = T.StructType().add("calls", T.ArrayType(CALL_FIELDS)).add("error", T.StringType())
 
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
-# `async for` is deliberately absent: the reference semantics do not count it.
+# `async for` is deliberately absent: it does not count as a loop.
 _LOOPS = (ast.For, ast.While, ast.ListComp, ast.DictComp, ast.SetComp, ast.GeneratorExp)
 
 

@@ -43,8 +43,8 @@ class Rule:
     label_category: tuple[str, str] | None = None
 
 
-def _calls(table: str) -> tuple[CallPattern, ...]:
-    return tuple(CallPattern(*row.split(None, 2)) for row in table.strip().splitlines())
+def _calls(*rows: tuple[str, str, str]) -> tuple[CallPattern, ...]:
+    return tuple(CallPattern(obj, method, label) for obj, method, label in rows)
 
 
 def _lines(*pairs: tuple[str, str]) -> tuple[LinePattern, ...]:
@@ -53,72 +53,72 @@ def _lines(*pairs: tuple[str, str]) -> tuple[LinePattern, ...]:
 
 # --- fixed values: names, words and patterns that decide the results -----------------
 
-PY001_CALLS = """
-dynamodb   get_item   DynamoDB get_item
-dynamodb   query      DynamoDB query
-dynamodb   scan       DynamoDB scan
-dynamodb   put_item   DynamoDB put_item
-table      get_item   DynamoDB get_item
-table      query      DynamoDB query
-table      scan       DynamoDB scan
-session    query      SQLAlchemy query
-session    execute    SQLAlchemy execute
-session    get        SQLAlchemy get
-db         get        Database get
-db         query      Database query
-db         execute    Database execute
-db         find       Database find
-db         find_one   Database find_one
-collection find       MongoDB find
-collection find_one   MongoDB find_one
-collection aggregate  MongoDB aggregate
-redis      get        Redis get
-redis      hget       Redis hget
-redis      hgetall    Redis hgetall
-cursor     execute    SQL cursor execute
-cursor     fetchone   SQL cursor fetchone
-cursor     fetchall   SQL cursor fetchall
-"""
+PY001_CALLS = _calls(
+    ("dynamodb", "get_item", "DynamoDB get_item"),
+    ("dynamodb", "query", "DynamoDB query"),
+    ("dynamodb", "scan", "DynamoDB scan"),
+    ("dynamodb", "put_item", "DynamoDB put_item"),
+    ("table", "get_item", "DynamoDB get_item"),
+    ("table", "query", "DynamoDB query"),
+    ("table", "scan", "DynamoDB scan"),
+    ("session", "query", "SQLAlchemy query"),
+    ("session", "execute", "SQLAlchemy execute"),
+    ("session", "get", "SQLAlchemy get"),
+    ("db", "get", "Database get"),
+    ("db", "query", "Database query"),
+    ("db", "execute", "Database execute"),
+    ("db", "find", "Database find"),
+    ("db", "find_one", "Database find_one"),
+    ("collection", "find", "MongoDB find"),
+    ("collection", "find_one", "MongoDB find_one"),
+    ("collection", "aggregate", "MongoDB aggregate"),
+    ("redis", "get", "Redis get"),
+    ("redis", "hget", "Redis hget"),
+    ("redis", "hgetall", "Redis hgetall"),
+    ("cursor", "execute", "SQL cursor execute"),
+    ("cursor", "fetchone", "SQL cursor fetchone"),
+    ("cursor", "fetchall", "SQL cursor fetchall"),
+)
 
-PY002_CALLS = """
-requests get          HTTP GET request
-requests post         HTTP POST request
-requests put          HTTP PUT request
-requests delete       HTTP DELETE request
-requests patch        HTTP PATCH request
-httpx    get          HTTPX GET request
-httpx    post         HTTPX POST request
-client   get          HTTP client GET
-client   post         HTTP client POST
-session  get          aiohttp GET
-session  post         aiohttp POST
-urllib   urlopen      urllib request
-request  urlopen      urllib request
-client   invoke       AWS Lambda invoke
-sns      publish      AWS SNS publish
-sqs      send_message AWS SQS send
-"""
+PY002_CALLS = _calls(
+    ("requests", "get", "HTTP GET request"),
+    ("requests", "post", "HTTP POST request"),
+    ("requests", "put", "HTTP PUT request"),
+    ("requests", "delete", "HTTP DELETE request"),
+    ("requests", "patch", "HTTP PATCH request"),
+    ("httpx", "get", "HTTPX GET request"),
+    ("httpx", "post", "HTTPX POST request"),
+    ("client", "get", "HTTP client GET"),
+    ("client", "post", "HTTP client POST"),
+    ("session", "get", "aiohttp GET"),
+    ("session", "post", "aiohttp POST"),
+    ("urllib", "urlopen", "urllib request"),
+    ("request", "urlopen", "urllib request"),
+    ("client", "invoke", "AWS Lambda invoke"),
+    ("sns", "publish", "AWS SNS publish"),
+    ("sqs", "send_message", "AWS SQS send"),
+)
 
-PY003_CALLS = """
-json   dumps JSON serialization
-json   loads JSON deserialization
-pickle dumps Pickle serialization
-pickle loads Pickle deserialization
-yaml   dump  YAML serialization
-yaml   load  YAML deserialization
-"""
+PY003_CALLS = _calls(
+    ("json", "dumps", "JSON serialization"),
+    ("json", "loads", "JSON deserialization"),
+    ("pickle", "dumps", "Pickle serialization"),
+    ("pickle", "loads", "Pickle deserialization"),
+    ("yaml", "dump", "YAML serialization"),
+    ("yaml", "load", "YAML deserialization"),
+)
 
-PY004_CALLS = """
-cursor     execute  SQL query
-cursor     fetchall SQL fetchall
-session    query    ORM query
-session    execute  SQLAlchemy execute
-collection find     MongoDB find
-db         query    Database query
-db         execute  Database execute
-db         find     Database find
-table      scan     DynamoDB scan
-"""
+PY004_CALLS = _calls(
+    ("cursor", "execute", "SQL query"),
+    ("cursor", "fetchall", "SQL fetchall"),
+    ("session", "query", "ORM query"),
+    ("session", "execute", "SQLAlchemy execute"),
+    ("collection", "find", "MongoDB find"),
+    ("db", "query", "Database query"),
+    ("db", "execute", "Database execute"),
+    ("db", "find", "Database find"),
+    ("table", "scan", "DynamoDB scan"),
+)
 
 PAGINATION_WORDS = (
     "limit", "offset", "top", "fetch", "first", "take",
@@ -158,7 +158,7 @@ JS001_LINES = _lines(
     (r"\$\.(get|post)\s*\(", "jQuery HTTP call"),
 )
 
-# The reference lists the DynamoDB member pattern twice, in two spellings; under
+# The DynamoDB member pattern is known in two spellings; under
 # ignore-case the second can never be reached, so it is stated once.
 JS002_LINES = _lines(
     (r"\.find\s*\(", "MongoDB find()"),
@@ -292,8 +292,6 @@ HOT = {JAVASCRIPT: JS_HOT, JAVA: JAVA_HOT}
 # how many preceding lines count as hot-path context
 HOT_LOOKBACK = {JAVASCRIPT: 20, JAVA: 30}
 
-# --- end of fixed values --------------------------------------------------------------
-
 # Order inside a language is emission order: the rules of one call or line report in
 # this sequence.
 BUILTIN_RULES: tuple[Rule, ...] = (
@@ -301,28 +299,28 @@ BUILTIN_RULES: tuple[Rule, ...] = (
         "PY004", PYTHON, "Unbounded Query", "database_read", "medium",
         "without LIMIT or pagination. May return excessive data and incur high costs.",
         "Add LIMIT or implement pagination to prevent full table scans.",
-        _calls(PY004_CALLS), needs_loop=False,
+        PY004_CALLS, needs_loop=False,
         why="Queries without LIMIT may return excessive data, increasing response time and costs.",
     ),
     Rule(
         "PY001", PYTHON, "Database Call in Loop", "database_read", "high",
         "called inside a loop. Each iteration triggers a database operation.",
         "Use JOIN or IN query to batch database operations, or use batch APIs like batch_get_item.",
-        _calls(PY001_CALLS),
+        PY001_CALLS,
         why="Each loop iteration triggers a paid database operation, causing N+1 query problems.",
     ),
     Rule(
         "PY002", PYTHON, "API Call in Loop", "api_call", "high",
         "called inside a loop. Each iteration makes an external API call.",
         "Use a bulk or batch API endpoint to reduce call count.",
-        _calls(PY002_CALLS),
+        PY002_CALLS,
         why="Each loop iteration triggers a paid API request, multiplying costs by iteration count.",
     ),
     Rule(
         "PY003", PYTHON, "Serialization in Loop", "serialization", "medium",
         "called inside a loop. Repeated serialization is CPU-intensive.",
         "Move serialization outside the loop if possible, or serialize a batch at once.",
-        _calls(PY003_CALLS),
+        PY003_CALLS,
         why="Repeated serialization inside loops consumes CPU resources unnecessarily.",
     ),
     Rule(
@@ -381,6 +379,8 @@ BUILTIN_RULES: tuple[Rule, ...] = (
     ),
 )
 
+# --- end of fixed values --------------------------------------------------------------
+
 
 def rules_for(language: str, rules: Iterable[Rule] = BUILTIN_RULES) -> list[Rule]:
     return [r for r in rules if r.language == language]
