@@ -11,12 +11,13 @@ moderate size is compared in one task by blocks and gives the edges of a spannin
 all pairs.  A larger bucket is not gathered: two of its members are within 4 bits exactly if
 they share a midpoint within 2 bits of both, so every member is sent to its midpoints within
 the free positions, and each midpoint, which few can share, links its members to the least.
-Components are then contracted over edges between the least doc_ids of fingerprints.
+Components are then contracted over edges between fingerprints and named by their least doc_id.
 
 Defined cases: a null or wordless text has fingerprint zero and is linked like any other; fewer
-words than a shingle make one shingle; equal doc_ids and repeated rows share what their
-fingerprint gets; a null doc_id takes part in its group but never names it (a group of null ids
-alone is named null); an empty table gives no rows; other columns are ignored.
+words than a shingle make one shingle; rows with an equal fingerprint share a group, rows with an
+equal doc_id only if their texts are near; a null doc_id takes part in its group but never names
+it (a group of null ids alone is named null); an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -158,22 +159,28 @@ def _by_midpoints(members: DataFrame, radius: int) -> DataFrame:
 
 
 def _grouped(rows: DataFrame, folder: str, radius: int, large: int) -> DataFrame:
-    """(fp, component_id) for the distinct fingerprints of (doc_id, fp) rows."""
+    """(fp, name, component) for the distinct fingerprints of (doc_id, fp) rows.
+
+    name is the least doc_id with the fingerprint; the least fingerprint stands for a component, as ids
+    may be null or repeated.
+    """
     prints = written(rows.groupBy("fp").agg(F.min("doc_id").alias("name")), f"{folder}/prints")
-    found = components(links(prints.where("name IS NOT NULL"), radius, large))
-    return prints.join(found, prints["name"] == found["node"], "left").select(
-        "fp", F.coalesce("component", "name").alias("component_id"))
+    found = components(links(prints.select("fp", F.col("fp").alias("name")), radius, large))
+    return prints.join(found, prints["fp"] == found["node"], "left").select(
+        "fp", "name", F.coalesce("component", "fp").alias("component"))
 
 
 def near_groups(docs: DataFrame, radius: int = RADIUS, large: int = LARGE_BUCKET) -> DataFrame:
     """(doc_id, fp, component_id) for every row: groups of fingerprints linked within the radius."""
     folder = workspace(docs.sparkSession, "simhash")
     rows = written(docs.select("doc_id", fingerprints(F.col("text")).alias("fp")), f"{folder}/rows")
-    return rows.join(_grouped(rows, folder, radius, large), "fp").select("doc_id", "fp", "component_id")
+    groups = written(_grouped(rows, folder, radius, large), f"{folder}/groups")
+    least = groups.groupBy("component").agg(F.min("name").alias("component_id"))
+    return rows.join(groups.join(least, "component"), "fp").select("doc_id", "fp", "component_id")
 
 
 def one_of_each_group(docs: DataFrame, radius: int = RADIUS, large: int = LARGE_BUCKET) -> DataFrame:
-    """The row with the least doc_id of every group; of rows with equal ids, and of a group of null ids, one."""
+    """The row with the least doc_id of every group; of equal rows, and of a group of null ids, one."""
     folder = workspace(docs.sparkSession, "simhash")
     taken = {c.lower() for c in docs.columns}
     row = next(c for c in (f"row_{n}" for n in range(len(taken) + 1)) if c not in taken)
@@ -185,7 +192,7 @@ def one_of_each_group(docs: DataFrame, radius: int = RADIUS, large: int = LARGE_
     # the first row of each fingerprint, so that a group is no larger than its distinct fingerprints
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "at")
     first = rows.groupBy("fp").agg(F.min(order).alias("best"))
-    kept = first.join(groups, "fp").groupBy("component_id").agg(F.min("best").alias("best"))
+    kept = first.join(groups, "fp").groupBy("component").agg(F.min("best").alias("best"))
     return numbered.join(kept.select(F.col("best.at").alias(row)), row, "left_semi").select(*docs.columns)
 
 

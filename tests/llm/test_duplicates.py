@@ -97,6 +97,21 @@ def test_near_copies(docs, corpus, large):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in want})
 
 
+def test_null_and_repeated_ids_do_not_make_a_group(spark, docs):
+    rng = np.random.default_rng(11)
+    body = [" ".join(rng.choice(list("abcdefghij"), 60)) for _ in range(6)]
+    near = body[0] + " end"
+    assert 0 < (simhash_by_bits(body[0]) ^ simhash_by_bits(near)).bit_count() <= 4
+    rows = [(None, near), (None, body[1]), (None, body[2]), (None, body[2]), (3, body[0]), (7, body[3]), (7, body[4]), (8, body[5])]
+    table = spark.createDataFrame([(i, t, None, None, k) for k, (i, t) in enumerate(rows)], docs.schema).repartition(3)
+    kept = covering_simhash.one_of_each_group(table).select("doc_id", "text").collect()
+    want = [(None, body[1]), (None, body[2]), (3, body[0]), (7, body[3]), (7, body[4]), (8, body[5])]
+    assert Counter(map(tuple, kept)) == Counter(want)
+    groups = Counter((r.doc_id, r.fp % (1 << 64), r.component_id) for r in covering_simhash.near_groups(table).collect())
+    names = {body[0]: 3, near: 3, body[3]: 7, body[4]: 7, body[5]: 8}
+    assert groups == Counter((i, simhash_by_bits(t), names.get(t)) for i, t in rows)
+
+
 def test_a_dense_cluster_is_linked_both_ways(spark):
     rng = np.random.default_rng(3)
     centre = int(rng.integers(1 << 62))
