@@ -42,20 +42,24 @@ LARGE_BUCKET = 20_000
 _UPPER_TO_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def simhash(text: str | None, words_in_shingle: int = 4, seed: int = SEED) -> int:
-    """Fingerprint of a whole text; a bit is set if more than half of the shingles set it."""
-    if not text:
-        return 0
+def shingle_hashes(text: str | None, words_in_shingle: int, seed: int = SEED) -> np.ndarray:
+    """Hashes of all word shingles of a whole text in order; none for a wordless one."""
     # ASCII white space only: the bytes 0x1c to 0x1f and non-ASCII blanks belong to words
-    words = text.encode("utf-8", "replace").translate(_UPPER_TO_LOWER).split()
+    words = text.encode("utf-8", "replace").translate(_UPPER_TO_LOWER).split() if text else []
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     n = max(len(words) - words_in_shingle + 1, 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate([[0], ends[: n - 1]])
     ends = ends[words_in_shingle - 1 :] - 1 if len(words) >= words_in_shingle else ends[-1:] - 1
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends.tolist())), "<u8", n)
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends.tolist())), "<u8", n)
+
+
+def simhash(text: str | None, words_in_shingle: int = 4, seed: int = SEED) -> int:
+    """Fingerprint of a whole text; a bit is set if more than half of the shingles set it."""
+    hashes = shingle_hashes(text, words_in_shingle, seed)
+    n = len(hashes)
     counts = np.zeros(64, np.int64)
     for k in range(0, n, 1 << 16):
         bits = np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from loopledger.llm import block_naming, covering_simhash, hilbert, line_frequency
+from loopledger.llm import block_naming, covering_simhash, hilbert, line_frequency, shingle_copies
 from loopledger.llm.components import components
 
 
@@ -112,6 +112,43 @@ def test_null_and_repeated_ids_do_not_make_a_group(spark, docs):
     assert groups == Counter((i, simhash_by_bits(t), names.get(t)) for i, t in rows)
 
 
+def test_texts_of_like_shingles_go_beyond_four_bits(spark, docs):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(12)
+
+    def plain(t):
+        w = t.lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else set()
+
+    texts = [None, "", "one two"]
+    for _ in range(12):
+        w = rng.choice([f"w{k}" for k in range(400)], 120).tolist()
+        texts.append(" ".join(w))
+        for changes in (1, 2, 3, 9):
+            other = list(w)
+            for at in rng.choice(120, changes, replace=False):
+                other[at] = "changed"
+            texts.append(" ".join(other))
+    rows = [(k if k % 7 else None, t, None, None, k) for k, t in enumerate(texts)]
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, docs.schema).repartition(3), "").collect()
+    sets = [plain(r.text or "") for r in kept]
+    assert not any(len(a & b) >= 0.8 * len(a | b) for a, b in itertools.combinations([s for s in sets if s], 2))
+    # all that went has a chain of copies to something that stayed, and the least id of it stays
+    prints, every = [simhash_by_bits(t) for t in texts], [plain(t or "") for t in texts]
+    root = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        like = every[a] and every[b] and len(every[a] & every[b]) >= 0.8 * len(every[a] | every[b])
+        if like or (prints[a] ^ prints[b]).bit_count() <= 4:
+            root = [root[a] if r == root[b] else r for r in root]
+    groups = defaultdict(list)
+    for k, r in enumerate(root):
+        groups[r].append(k)
+    stayed = {r.n_chars for r in kept}
+    assert all(stayed & set(g) for g in groups.values()) and len(stayed) == len(kept) < len(texts)
+    assert all(min(g, key=lambda k: (rows[k][0] is None, k)) in stayed for g in groups.values())
+
+
 def test_a_dense_cluster_is_linked_both_ways(spark):
     rng = np.random.default_rng(3)
     centre = int(rng.integers(1 << 62))
