@@ -116,6 +116,22 @@ def test_language_cases(spark, docs, no_docs, monkeypatch):
     assert (np.sort(np.concatenate(list(char_bayes.grams(text)))) == whole).all()
 
 
+def test_more_languages_than_a_matrix_holds(spark, no_docs):
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(7):
+        letters = list("abcdefghijklmnopqrstuvwxyz"[3 * k : 3 * k + 6])
+        rows += [(10 * k + j, " ".join("".join(rng.choice(letters, 5)) for _ in range(30)), f"l{k}", None, 0) for j in range(k + 2)]
+    docs = spark.createDataFrame(rows + [(900, None, None, None, 0), (901, "12 ?", "l1", None, 0)], no_docs.schema).repartition(2)
+    whole, parts = char_bayes.fit(docs), char_bayes.fit(docs, languages=2)
+    assert len(whole.languages) == 7 and parts.languages == whole.languages
+    want, got = ({r.doc_id: (r.lang_pred, r.score) for r in char_bayes.identified(docs, m, F.col("text")).collect()}
+                 for m in (whole, parts))
+    assert {k: n for k, (n, _) in got.items()} == {k: n for k, (n, _) in want.items()}
+    assert np.allclose([got[k][1] for k in want], [s for _, s in want.values()])
+    assert all(got[r[0]][0] == r[2] for r in rows) and got[900] == got[901] == ("und", 0.0)
+
+
 def test_grammar_weighs_clauses():
     model = toxicity.Model()
     of = model.score
