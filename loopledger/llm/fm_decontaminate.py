@@ -9,7 +9,7 @@ documents, which add to the spans found so far.
 Defined cases: a null, empty or wordless document has no words and no spans; items without words
 have no window; a shorter item than a window is one window; windows that several items share
 count for all of them; a document longer than a shard is indexed in overlapping parts; repeated
-rows are searched each; empty tables give clean documents or no rows; columns that clash with the
+rows are searched each; an item with a null id is searched like any other but is not listed; empty tables give clean documents or no rows; columns that clash with the
 added names are replaced, others pass through.
 """
 
@@ -46,14 +46,16 @@ def folded(text: str | None) -> bytes:
 class Windows:
     """The distinct windows of a block of benchmark items, by length, and the items of each."""
 
-    def __init__(self, items: list[tuple[str, str | None]], size: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, str | None]], size: int = WINDOW):
         self.vocabulary: dict[bytes, int] = defaultdict()
         self.vocabulary.default_factory = self.vocabulary.__len__
         owners: dict[tuple[int, ...], set[str]] = defaultdict(set)
         for item, text in items:
             words = [self.vocabulary[w] for w in folded(text).split()]
             for k in range(max(len(words) - size + 1, min(len(words), 1))):
-                owners[tuple(words[k : k + size])].add(item)
+                own = owners[tuple(words[k : k + size])]
+                if item is not None:
+                    own.add(item)
         self.vocabulary.default_factory = None
         by_length: dict[int, list[tuple[int, ...]]] = defaultdict(list)
         for window in owners:
@@ -160,7 +162,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     blocks = 1 + size // BLOCK_BYTES
     for block in range(blocks):
         part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        rows = part.select(F.col("item_id").cast("string"), "text").where("item_id IS NOT NULL").collect()
+        rows = part.select(F.col("item_id").cast("string"), "text").collect()
         docs = _pass(docs, Windows([(r[0], r[1]) for r in rows]), text, block == 0, cut and block == blocks - 1)
     return docs
 

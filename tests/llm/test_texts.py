@@ -66,6 +66,18 @@ def test_no_benchmark_and_no_documents(spark, docs, no_docs):
     assert fm_decontaminate.contaminated_spans(no_docs, none).count() == 0
 
 
+def test_benchmark_rows_without_an_id(spark, docs):
+    passage = " ".join(f"p{k}" for k in range(12))
+    rows = [(1, f"before {passage} after", None, None, 0), (2, "nothing of it", None, None, 0)]
+    some = spark.createDataFrame(rows, docs.schema)
+    benchmark = spark.createDataFrame([(None, passage), (None, None), (5, " ".join(passage.split()[:10]))], "item_id long, text string")
+    for part, items in ((benchmark, ["5"]), (benchmark.where("item_id IS NULL"), [])):
+        got = {r.doc_id: r for r in fm_decontaminate.remove_contamination(some, part).collect()}
+        assert [tuple(s) for s in got[1].spans] == [(1, 12)] and got[1]["items"] == items
+        assert words(got[1].text) == words("before after")
+        assert not got[2].spans and got[2].text == "nothing of it"
+
+
 def test_index_against_all_suffixes():
     rng = np.random.default_rng(2)
     for top, size in ((1, 9), (2, 30), (5, 60), (300, 200)):
