@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from loopledger.llm import (
     best_fit,
+    bit_planes,
     block_naming,
+    burst_tries,
     char_bayes,
     covering_simhash,
     fm_decontaminate,
@@ -17,6 +19,7 @@ from loopledger.llm import (
     html_blocks,
     huffman_ids,
     line_frequency,
+    randomness,
     toxicity,
 )
 from loopledger.llm.shared import table, workspace
@@ -116,3 +119,25 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_html_block_tree")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op11_randomness_battery")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.col("spans")
+    found = randomness.secret_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of = {k: F.filter(spans, lambda s, n=n: s["kind"] == n) for n, k in enumerate(randomness.KINDS)}
+    base = F.filter(spans, lambda s: s["kind"] < randomness.KINDS.index("random"))
+    return found.select(
+        "doc_id", *[F.size(of[k]).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(randomness.as_text(base), 256).alias("base_sha256"), randomness.as_text(spans).alias("spans"))
+
+
+@query("op12_bit_plane_clusters", bit_planes.sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_planes.with_inertia(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+@query("op13_burst_tries", burst_tries.SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return burst_tries.prefix_trie(table(spark, sf_dir, "conversations"))
