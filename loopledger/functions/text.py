@@ -85,7 +85,7 @@ def any_of(patterns: Iterable[str]) -> str:
 
 
 def required_texts(pattern: str) -> list[str]:
-    """Literal pieces every match of ``pattern`` contains, lower-cased.
+    """Literal pieces every match of ``pattern`` contains, in their ``searchable`` form.
 
     Conservative: groups and character classes count for nothing, and a pattern with
     a top-level alternative or an unusual escape yields no pieces.
@@ -113,6 +113,8 @@ def required_texts(pattern: str) -> list[str]:
         elif token.isalnum() or token in "@_ ":
             literal = token
         if literal:
+            for letter, plain in _SAME_LETTERS:
+                literal = literal.replace(letter, plain)
             run += literal.lower()
         else:
             runs.append(run)
@@ -120,6 +122,19 @@ def required_texts(pattern: str) -> list[str]:
     return sorted({r for r in [*runs, run] if r}, key=len, reverse=True)
 
 
+def branches(pattern: str) -> list[list[str]]:
+    """Required pieces of every top-level alternative of a pattern; empty if one of them has none."""
+    parts, depth = [""], 0
+    for token in re.findall(r"\\.|\[\^?\]?(?:\\.|[^\]])*\]|.", pattern, re.S):
+        depth += (token == "(") - (token == ")")
+        if token == "|" and not depth:
+            parts.append("")
+        else:
+            parts[-1] += token
+    found = [required_texts(p) for p in parts]
+    return found if all(found) else []
+
+
 _SAME_LETTERS = (("\u017f", "s"), ("\u0131", "i"), ("\u0130", "i"))
 
 

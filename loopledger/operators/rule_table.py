@@ -1,10 +1,14 @@
 """Rules that come as a table with one row per pattern, however many.
 
-The table is checked and brought into order by Spark and reaches every task as one array: the
-plan does not grow with it and the driver never sees it.  Columns: ``rule_id, language,
-rule_name, category, severity, sentence, suggestion, ord, label`` and either ``regex``
-(JavaScript, Java) or ``obj, method`` (Python); ``needs_loop`` (default true), ``label_text`` and
-``label_category`` where a label changes the category, if the table has them.
+Patterns stay a table.  A line pattern is filed under its rarest gram (see ``substrings``), one for
+each top-level alternative, and lines inside loops meet only the patterns filed under a gram of
+theirs; the regular expression runs on what met.  Call patterns meet distinct call names in the
+same way.  Of the patterns of a rule that match at one place, the first in order counts.  Only
+patterns without any literal piece are tried on every line of their language.
+
+Columns: ``rule_id, language, rule_name, category, severity, sentence, suggestion, ord, label`` and
+either ``regex`` (JavaScript, Java) or ``obj, method`` (Python); ``needs_loop`` (default true),
+``label_text`` and ``label_category`` where a label changes the category, if the table has them.
 """
 
 from __future__ import annotations
@@ -14,24 +18,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
-from ..functions.text import regex, required_texts, sql_literal
+from ..functions.text import branches, regex, sql_literal
 from ..rules import LANGUAGES, PAGINATION_WORDS, PYTHON
+from ..session import written
+from .substrings import GRAM, grams, overlapping, own_grams, rarest, sizes_of
 
 SEVERITIES = ("low", "medium", "high")
-_RULE_TYPE = ("struct<rule_id:string,ord:bigint,language:string,rule_name:string,category:string,severity:string,sentence:string,"
-              "suggestion:string,label:string,obj:string,method:string,needs_loop:boolean,label_text:string,label_category:string,"
-              "java:string,pieces:array<string>>")
-HIT_TYPE = f"struct<rule_id:string,label:string,line_number:int,line_content:string,hot:boolean,rule:{_RULE_TYPE}>"
-_COMPILED = StructType().add("java", StringType()).add("pieces", ArrayType(StringType()))
+RULE_FIELDS = ("rule_id", "language", "rule_name", "category", "severity", "sentence", "suggestion", "label_text", "label_category")
+HIT_TYPE = ("struct<rule_id:string,label:string,line_number:int,line_content:string,hot:boolean,"
+            f"rule:struct<{','.join(f'{f}:string' for f in RULE_FIELDS)}>>")
+_COMPILED = StructType().add("java", StringType()).add("branches", ArrayType(ArrayType(StringType())))
 
 
 def _compile(patterns: Column) -> Column:
-    """The Java form of a pattern, and the literal pieces that every match contains."""
+    """The Java form of a pattern, and the literal pieces of each of its alternatives."""
 
     @F.arrow_udf(_COMPILED)
     def compile_(column: pa.Array) -> pa.Array:
-        rows = [None if p is None else {"java": regex(p), "pieces": required_texts(p)} for p in column.to_pylist()]
-        return pa.array(rows, pa.struct([("java", pa.string()), ("pieces", pa.list_(pa.string()))]))
+        rows = [None if p is None else {"java": regex(p), "branches": branches(p)} for p in column.to_pylist()]
+        return pa.array(rows, pa.struct([("java", pa.string()), ("branches", pa.list_(pa.list_(pa.string())))]))
 
     return compile_(patterns)
 
@@ -60,55 +65,63 @@ def _checked(table: DataFrame) -> DataFrame:
     return shaped.withColumn("rule_id", F.when(wrong.isNull(), F.col("rule_id")).otherwise(F.raise_error(said)))
 
 
-def rule_array(table: DataFrame) -> Column:
-    """All patterns in order of rule and ord, as the value of a scalar subquery."""
+def compiled(table: DataFrame) -> DataFrame:
+    """Checked patterns as a written table, each with a number of its own; an ord that occurs twice in a rule fails the job."""
     rows = _checked(table)
-    compiled = rows.withColumn("c", _compile(F.col("regex"))).select(
-        *[c for c in rows.columns if c != "regex"], F.col("c.java").alias("java"), F.col("c.pieces").alias("pieces"))
-    item = F.struct("rule_id", "ord", *[c for c in compiled.columns if c not in ("rule_id", "ord")])
-    gathered = compiled.agg(F.array_sort(F.collect_list(item)).alias("rules"))
-    places = F.transform("rules", lambda r: F.struct(r["rule_id"], r["ord"]))
-    apart = F.size(F.array_distinct(places)) == F.size("rules")
-    return gathered.select(
-        F.when(apart, F.col("rules").cast(f"array<{_RULE_TYPE}>")).otherwise(F.raise_error(F.lit("rule table: an ord occurs twice in a rule")))
-    ).scalar()
-
-
-def _first_per_rule(matches: Column) -> Column:
-    """Of matches in order, the first of each rule."""
-    return F.get(F.transform(F.array(matches), lambda ms: F.filter(
-        ms, lambda m, i: (i == 0) | (F.get(ms, i - 1)["rule_id"] != m["rule_id"]))), F.lit(0))
-
-
-def _hit(rule: Column, number: Column, content: Column, hot: Column) -> Column:
-    return F.struct(rule["rule_id"].alias("rule_id"), rule["label"].alias("label"), number.cast("int").alias("line_number"),
-                    content.alias("line_content"), hot.alias("hot"), rule.alias("rule"))
-
-
-def table_line_hits(rules: Column, language: str, lines: str) -> Column:
-    """Hits of a rule array in an array column of in-loop lines (``no, text, low``)."""
-    own = F.filter(rules, lambda r: r["language"] == language)
-
-    def of_line(line: Column) -> Column:
-        found = F.filter(own, lambda r: F.forall(r["pieces"], lambda p: F.contains(line["low"], p)) & F.rlike(line["text"], r["java"]))
-        return F.transform(_first_per_rule(found), lambda r: _hit(r, line["no"], line["text"], F.lit(False)))
-
-    return F.flatten(F.transform(lines, of_line))
-
-
-def table_call_hits(rules: Column, calls: str, lines: str) -> Column:
-    """Hits of a rule array in an array column of Python calls."""
-    own = F.filter(rules, lambda r: r["language"] == PYTHON)
-    bounds = F.expr(sql_literal(list(PAGINATION_WORDS)))
-
-    def overlap(a: Column, b: Column) -> Column:
-        return F.contains(a, b) | F.contains(b, a)
-
-    def of_call(call: Column) -> Column:
-        unbounded = (call["query_literal"] != "") & ~F.exists(bounds, lambda w: F.contains(call["query_literal"], w))
-        found = F.filter(own, lambda r: F.when(r["needs_loop"], call["in_loop"]).otherwise(unbounded)
-                         & overlap(call["method"], r["method"]) & overlap(call["obj"], r["obj"]))
-        text = F.coalesce(F.get(F.col(lines), call["line_no"] - 1), F.lit(""))
-        return F.transform(_first_per_rule(found), lambda r: _hit(r, call["line_no"], text, call["in_hot_path"]))
-
-    return F.flatten(F.transform(calls, of_call))
+    ready = rows.withColumn("c", _compile(F.col("regex"))).select(
+        *[c for c in rows.columns if c != "regex"], F.col("c.java").alias("java"), F.col("c.branches").alias("branches"))
+    whole = F.struct(*[c for c in ready.columns if c not in ("rule_id", "ord")])
+    once = ready.groupBy("rule_id", "ord").agg(F.count(F.lit(1)).alias("times"), F.first(whole).alias("row"))
+    number = F.when(F.col("times") == 1, F.monotonically_increasing_id()).otherwise(
+        F.raise_error(F.lit("rule table: an ord occurs twice in a rule")))
+    return written(once.select(number.alias("pattern"), "rule_id", "ord", "row.*"), "patterns")
+
+
+def _first_of_each(matches: DataFrame, *place: str) -> DataFrame:
+    """The match with the least ord of every rule at a place."""
+    rest = [c for c in matches.columns if c not in (*place, "rule_id", "ord")]
+    return matches.groupBy(*place, "rule_id").agg(F.min_by(F.struct(*rest), "ord").alias("m")).select(*place, "rule_id", "m.*")
+
+
+def line_matches(lines: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(unit, place, text, rule_id, label and the rule's fields) of (unit, language, place, text, low)."""
+    own = patterns.where(F.col("java").isNotNull())
+    wanted = own.select("pattern", F.posexplode("branches").alias("branch", "pieces"))
+    long_ = F.filter("pieces", lambda p: F.length(p) >= GRAM)
+    useful = F.when(F.size(long_) > 0, long_).otherwise(F.slice("pieces", 1, 1))
+    wanted = written(wanted.select(F.struct("pattern", "branch").alias("item"), F.explode(useful).alias("piece")).select(
+        "item", F.explode(own_grams(F.col("piece"))).alias("gram")).distinct(), "pattern-grams")
+    offered = lines.select("unit", "place", "language", F.explode(grams(F.col("low"), sizes_of(wanted) or (GRAM,))).alias("gram"))
+    filed = written(rarest(wanted, offered.select("gram")), "filed-patterns")
+    met = offered.join(filed.select("gram", "item.pattern").distinct(), "gram").select("unit", "place", "pattern").distinct()
+    bare = own.where(F.size("branches") == 0).select("pattern", "language")
+    met = met.union(lines.join(bare, "language").select("unit", "place", "pattern"))
+    found = met.join(own, "pattern").join(
+        lines.select("unit", "place", "language", "text"), ["unit", "place", "language"]).where(F.rlike("text", "java"))
+    return _first_of_each(found.select("unit", "place", "text", "ord", "label", *RULE_FIELDS), "unit", "place")
+
+
+def call_matches(calls: DataFrame, patterns: DataFrame) -> DataFrame:
+    """The same of (unit, place, text, line_no, obj, method, in_loop, in_hot_path, query_literal)."""
+    own = patterns.where(F.col("language") == PYTHON)
+    pairs = overlapping(calls, own)
+    named = pairs.join(own.select("pattern", "ord", "label", "needs_loop", *RULE_FIELDS, F.col("obj").alias("p_obj"), F.col("method").alias("p_method")),
+                       ["p_obj", "p_method"]).drop("p_obj", "p_method")
+    bound = F.exists(F.expr(sql_literal(list(PAGINATION_WORDS))), lambda w: F.contains("query_literal", w))
+    unbounded = (F.col("query_literal") != "") & ~bound
+    found = calls.join(named, ["obj", "method"]).where(F.when(F.col("needs_loop"), F.col("in_loop")).otherwise(unbounded))
+    return _first_of_each(found.select("unit", "place", "text", "line_no", "in_hot_path", "ord", "label", *RULE_FIELDS), "unit", "place")
+
+
+def hits_by_unit(scoped: DataFrame, table: DataFrame) -> DataFrame:
+    """(unit, hits): hits in order of place and rule, for (unit, language, inside, calls) with the lines and calls of units."""
+    patterns = compiled(table)
+    lines = written(scoped.select("unit", "language", F.explode("inside").alias("l")).select(
+        "unit", "language", F.col("l.no").cast("int").alias("place"), F.col("l.text").alias("text"), F.col("l.low").alias("low")), "loop-lines")
+    calls = scoped.select("unit", F.posexplode("calls").alias("place", "c")).select("unit", "place", "c.*")
+    both = line_matches(lines, patterns).withColumn("line_no", F.col("place")).withColumn("in_hot_path", F.lit(False)).unionByName(
+        call_matches(calls, patterns))
+    hit = F.struct("rule_id", "label", F.col("line_no").alias("line_number"), F.col("text").alias("line_content"),
+                   F.col("in_hot_path").alias("hot"), F.struct(*RULE_FIELDS).alias("rule")).cast(HIT_TYPE)
+    return both.groupBy("unit").agg(F.transform(
+        F.sort_array(F.collect_list(F.struct("place", "rule_id", hit.alias("hit")))), lambda x: x["hit"]).alias("hits"))

@@ -18,10 +18,11 @@ from ..functions.loops import has_start, in_loop_flags, mark_lines, numbered_lin
 from ..functions.match import call_hits, line_hits, to_findings
 from ..functions.text import may_find, split_lines
 from ..rules import BUILTIN_RULES, LANGUAGES, LOOPS, PYTHON, UNKNOWN, Rule, rules_for
+from ..session import written
 from .callsites import EXTRACT_TYPE, extract_calls
 from .once import evaluate_once
 from .rule_table import HIT_TYPE as TABLE_HIT_TYPE
-from .rule_table import rule_array, table_call_hits, table_line_hits
+from .rule_table import hits_by_unit
 
 UNDETECTED = "Could not detect programming language"
 SNIPPET_PATH = "<input>"
@@ -69,14 +70,17 @@ def scan(
 
     Input as for ``resolve_sources``.  Returns its columns without the code, plus
     ``findings`` in emission order.  Rules of ``rule_table`` (see ``rule_table.py``)
-    report after the others.
+    report after the others; lines inside loops and calls are joined with it, so it needs
+    a batch.
     """
+    if rule_table is not None and sources.isStreaming:
+        raise ValueError("rules from a table are joined: use them in foreachBatch")
     resolved = resolve_sources(sources)
     base = [c for c in resolved.columns if c != "code"]
     all_rules = [*rules, *extra_rules]
 
     # languages without a rule need no work at all, Python without rules no parser
-    tabled = rule_array(rule_table) if rule_table is not None else None
+    tabled = rule_table
     own = {lang: rules_for(lang, all_rules) for lang in LANGUAGES if tabled is not None or rules_for(lang, all_rules)}
     parsed_python = extract_calls(F.when(F.col("language") == PYTHON, F.col("code"))) if PYTHON in own else F.lit(None)
     # a file without a piece of a loop and of a call that its rules look for is not even split
@@ -114,20 +118,36 @@ def scan(
     if own.get(PYTHON):
         hits = F.when(language == PYTHON, call_hits(own[PYTHON], "py.calls", "lines")).otherwise(hits)
     hits = F.coalesce(hits, _no_hits())
-    parts = [to_findings(hits, all_rules, unit_costs, iterations)] if all_rules or tabled is None else []
-    if tabled is not None:
-        scoped, given = scoped.withColumn("given_rules", tabled), F.col("given_rules")
-        more = table_call_hits(given, "py.calls", "lines")
-        for lang in brace:
-            more = F.when(language == lang, table_line_hits(given, lang, "inside")).otherwise(more)
-        more = F.coalesce(more, F.array().cast(f"array<{TABLE_HIT_TYPE}>"))
-        parts.append(to_findings(more, None, unit_costs, iterations))
     found = scoped.select(
         *(c for c in base if c != "error"),
         F.coalesce("error", F.col("py.error")).alias("error"),
-        F.concat(*parts).alias("findings"),
+        *([to_findings(hits, all_rules, unit_costs, iterations).alias("findings")] if all_rules or tabled is None else []),
+        *([_calls().alias("calls"), "inside"] if tabled is not None else []),
     )
-    return evaluate_once(found, "findings")
+    if tabled is None:
+        return evaluate_once(found, "findings")
+    return _with_table(found, tabled, unit_costs, iterations)
+
+
+def _calls() -> Column:
+    """Python calls with the text of their lines."""
+    return F.transform("py.calls", lambda c: c.withField(
+        "text", F.coalesce(F.get(F.col("lines"), c["line_no"] - 1), F.lit(""))))
+
+
+def _with_table(found: DataFrame, table: DataFrame, unit_costs: Mapping[str, float], iterations: int | None) -> DataFrame:
+    """Results with the findings of a rule table after their own."""
+    names = [c for c in found.columns if c not in ("findings", "calls", "inside")]
+    # numbers follow the order of reading, so they are written with the rows before anything joins on them
+    numbered = written(found.select(
+        F.monotonically_increasing_id().alias("unit"), F.struct(*names).alias("row"), "language", "calls", "inside",
+        *[c for c in found.columns if c == "findings"]), "units")
+    more = hits_by_unit(numbered, table)
+    priced = to_findings(F.coalesce("hits", F.array().cast(f"array<{TABLE_HIT_TYPE}>")), None, unit_costs, iterations)
+    if "findings" in numbered.columns:
+        priced = F.concat("findings", priced)
+    joined = numbered.drop("calls", "inside", "language").join(more, "unit", "left")
+    return evaluate_once(joined.select("row.*", priced.alias("findings")), "findings")
 
 
 def findings_of(results: DataFrame) -> DataFrame:

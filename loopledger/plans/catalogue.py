@@ -26,9 +26,11 @@ from ..operators.dedup import scan_distinct
 from ..operators.lines import explode_lines, lines_with_scope
 from ..operators.pricing import price_with, price_with_counts
 from ..operators.scan import findings_of, resolve_sources, scan
+from ..operators.substrings import overlapping
 from ..rules import BUILTIN_RULES, JAVA, JAVASCRIPT, PYTHON, CallPattern, LinePattern, Rule, rules_for
 from ..session import checkpoint_dir
-from ..sources import tree
+from ..sources import tree, tree_source
+from ..sources.long_files import tree_findings
 from ..sources.sinks import to_json_rows, write_findings, write_json
 from ..sources.snippets import embedded_scripts, parse_requests, snippets
 from ..sources.tables import spread, table
@@ -443,6 +445,24 @@ def code_tree_scan(spark: SparkSession, sf: str) -> DataFrame:
     return scanned.select(_relative(root).alias("path"), "language", "error", F.size("findings").alias("findings_count"))
 
 
+@query
+def code_tree_source(spark: SparkSession, sf: str) -> DataFrame:
+    """The same through the data source, with excluded parts of the path left to it."""
+    root = _local_tree(spark, sf, F.lit(False))
+    tree_source.register(spark)
+    listed = spark.read.format(tree_source.NAME).option("recursive", "true").load(f"file://{root}")
+    scanned = scan(listed.where(~F.col("path").contains("no such part")))
+    return scanned.select(_relative(root).alias("path"), "language", "error", F.size("findings").alias("findings_count"))
+
+
+@query
+def long_file_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings of a tree whose JavaScript and Java files of over 2000 bytes are read in ranges of 700 bytes."""
+    root = _local_tree(spark, sf, F.lit(False))
+    found = tree_findings(spark, root, long_bytes=2000, range_bytes=700)
+    return flat(found.withColumn("path", _relative(root)).withColumn("seq", F.lit(0)), "path", "language").drop("seq")
+
+
 @query
 def named_files_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Every file read by its name, excluded and unknown kinds too, and one missing per folder."""
@@ -592,6 +612,55 @@ def table_rules(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("rule_id", "language", "description").agg(F.count("*").alias("n"), *report.cost_totals())
 
 
+def _many_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Two patterns for every order line, one for every order and customer, a call for every part."""
+    line = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    numbers = table(spark, sf, "lineitem").select(F.lit("L").alias("kind"), line.alias("n")).distinct().withColumn(
+        "ord", F.explode(F.array(F.lit(1), F.lit(2))))
+    for kind, name, key in (("O", "orders", "o_orderkey"), ("C", "customer", "c_custkey"), ("P", "part", "p_partkey")):
+        numbers = numbers.union(table(spark, sf, name).select(F.lit(kind), F.col(key), F.lit(1)))
+    kind, n, name = F.col("kind"), F.col("n"), F.concat("kind", F.col("n").cast("string"))
+    absent = F.concat(F.lit("call"), name, F.lit("x"), F.col("ord").cast("string"))
+    return numbers.select(
+        name.alias("rule_id"), "ord", F.when(kind == "C", JAVA).when(kind == "P", PYTHON).otherwise(JAVASCRIPT).alias("language"),
+        F.lit("Given Rule").alias("rule_name"), F.lit("api_call").alias("category"), F.lit("low").alias("severity"),
+        F.lit("was looked for.").alias("sentence"), F.lit("Look again.").alias("suggestion"),
+        F.when((kind == "O") & (n % 1000 == 0), MANY_JS).when((kind == "C") & (n % 100 == 0), MANY_JAVA)
+        .when(kind != "P", F.concat(absent, F.lit(r"\s*\(|other"), absent, F.lit(r"\s*\("))).alias("regex"),
+        F.when(kind == "P", F.when(n % 100 == 0, "requests").otherwise(F.concat(F.lit("svc"), n.cast("string")))).alias("obj"),
+        F.when(kind == "P", F.when(n % 100 == 0, "get").otherwise(F.concat(F.lit("op"), n.cast("string")))).alias("method"),
+        F.lit("Given call").alias("label"),
+    )
+
+
+MANY_JS, MANY_JAVA = r"\bfetch\s*\(|\.findOne\s*\(", r"\.findById\s*\("
+
+
+@query
+def table_rules_many(spark: SparkSession, sf: str) -> DataFrame:
+    """Over 100,000 patterns at scale 0.01: lines and calls meet only those filed under what they hold."""
+    found = findings(spark, sf, rules=(), rule_table=_many_rules(spark, sf))
+    return found.groupBy("rule_id", "language", "description").agg(F.count("*").alias("n"), *report.cost_totals())
+
+
+@query
+def call_pattern_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    """Call names in use against a pattern for every order line and order: how many overlap, and the first."""
+    names = py_call_sites(spark, sf).groupBy("obj", "method").agg(F.count("*").alias("n_calls"))
+    n = F.col("n")
+    given = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("n")).union(
+        table(spark, sf, "orders").select(-F.col("o_orderkey"))).distinct()
+    objects = F.array(F.lit(""), F.lit("db"), F.lit("session"), F.lit("request"), F.concat(F.lit("svc"), n.cast("string")))
+    methods = F.array(F.lit("get"), F.lit("find"), F.lit("e"))
+    patterns = given.select(
+        F.get(objects, F.abs(n) % 5).alias("obj"),
+        F.when(n % 1000 == 0, F.get(methods, F.abs(n) % 3)).otherwise(F.concat(F.lit("op"), n.cast("string"))).alias("method"))
+    met = overlapping(names, patterns)
+    per = met.groupBy("obj", "method").agg(
+        F.count("*").alias("n_patterns"), F.min(F.concat("p_obj", F.lit("."), "p_method")).alias("first_pattern"))
+    return names.join(per, ["obj", "method"]).select("obj", "method", "n_calls", "n_patterns", "first_pattern")
+
+
 @query
 def custom_costs(spark: SparkSession, sf: str) -> DataFrame:
     """Prices from a table: the mean event value per category, which two categories lack."""

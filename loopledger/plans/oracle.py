@@ -13,7 +13,7 @@ from ..rules import (
     BUILTIN_RULES, HOT, HOT_FUNCTION_WORDS, HOT_LOOKBACK, JAVA, JAVASCRIPT, LANGUAGES, LOOPS,
     PAGINATION_WORDS, PYTHON, CallPattern, LinePattern, Rule, rules_for,
 )
-from .catalogue import CUSTOM_COSTS, CUSTOM_RULES
+from .catalogue import CUSTOM_COSTS, CUSTOM_RULES, MANY_JAVA, MANY_JS
 from .corpus import PYTHON_LABELS, SNIPPETS
 
 
@@ -413,7 +413,8 @@ def oracle() -> dict[str, str]:
     # a tree scan goes by extension: declared languages are not known to the file system
     undeclared = FOUND.replace("CASE WHEN lower(declared_language) IN ('python', 'javascript', 'java') THEN lower(declared_language) END", "NULL")
     tree = f"{undeclared}, {PER_FILE} SELECT path, language, {{error}} AS error, coalesce(n, 0) AS findings_count FROM src LEFT JOIN per_file USING (file_id)"
-    sql["code_tree_scan"] = tree.replace("{error}", "NULL::VARCHAR") + f" WHERE {SUPPORTED} AND NOT {EXCLUDED}"
+    sql["code_tree_source"] = sql["code_tree_scan"] = tree.replace("{error}", "NULL::VARCHAR") + f" WHERE {SUPPORTED} AND NOT {EXCLUDED}"
+    sql["long_file_findings"] = f"{undeclared} SELECT path, language, {FLAT.removeprefix('seq, ')} FROM found WHERE {SUPPORTED} AND NOT {EXCLUDED}"
     sql["named_files_scan"] = tree.replace("{error}", ERROR) + (
         " UNION ALL SELECT 'repo/' || source || '/missing.py', 'unknown', 'File not found: repo/' || source || '/missing.py', 0 "
         "FROM (SELECT DISTINCT source FROM documents)")
@@ -470,6 +471,25 @@ files AS (SELECT page_id * 1000 + script_no AS file_id, page_id, script_no, 0 AS
         f"{found_cte(given, languages=(JAVASCRIPT, JAVA))}, given_rules AS (SELECT 'P' AS kind, p_partkey AS n FROM part UNION ALL "
         "SELECT 'S', s_suppkey FROM supplier) SELECT kind || g.n AS rule_id, language, description, count(*) AS n, "
         f"{TOTALS} FROM found JOIN given_rules g ON g.kind = rule_id AND g.n % 100 = 0 GROUP BY ALL")
+    many = (
+        Rule("O", JAVASCRIPT, "Given Rule", "api_call", "low", "was looked for.", "Look again.", (LinePattern(MANY_JS, "Given call"),)),
+        Rule("C", JAVA, "Given Rule", "api_call", "low", "was looked for.", "Look again.", (LinePattern(MANY_JAVA, "Given call"),)),
+        Rule("P", PYTHON, "Given Rule", "api_call", "low", "was looked for.", "Look again.", (CallPattern("requests", "get", "Given call"),)))
+    sql["table_rules_many"] = (
+        f"{found_cte(many)}, given_rules AS (SELECT 'O' AS kind, o_orderkey AS n FROM orders WHERE o_orderkey % 1000 = 0 UNION ALL "
+        "SELECT 'C', c_custkey FROM customer WHERE c_custkey % 100 = 0 UNION ALL "
+        "SELECT 'P', p_partkey FROM part WHERE p_partkey % 100 = 0) "
+        f"SELECT kind || g.n AS rule_id, language, description, count(*) AS n, {TOTALS} "
+        "FROM found JOIN given_rules g ON g.kind = rule_id GROUP BY ALL")
+    sql["call_pattern_overlap"] = (
+        f"{SOURCES}, {CALLS}, names AS (SELECT obj, method, count(*) AS n_calls FROM calls GROUP BY 1, 2), "
+        "given AS (SELECT DISTINCT n FROM (SELECT l_orderkey * 8 + l_linenumber AS n FROM lineitem UNION ALL SELECT -o_orderkey FROM orders)), "
+        "patterns AS (SELECT DISTINCT CASE abs(n) % 5 WHEN 0 THEN '' WHEN 1 THEN 'db' WHEN 2 THEN 'session' WHEN 3 THEN 'request' "
+        "ELSE 'svc' || n END AS p_obj, CASE WHEN n % 1000 <> 0 THEN 'op' || n "
+        "ELSE CASE abs(n) % 3 WHEN 0 THEN 'get' WHEN 1 THEN 'find' ELSE 'e' END END AS p_method FROM given) "
+        "SELECT obj, method, any_value(n_calls) AS n_calls, count(*) AS n_patterns, min(p_obj || '.' || p_method) AS first_pattern "
+        "FROM names JOIN patterns ON (contains(method, p_method) OR contains(p_method, method)) "
+        "AND (contains(obj, p_obj) OR contains(p_obj, obj)) GROUP BY obj, method")
     sql["custom_costs"] = (
         f"{FOUND}, {PRICED_EVENTS}, given AS (SELECT category, sum(floor(value)::BIGINT)::DOUBLE / count(*) / 1024 AS g "
         "FROM priced_events WHERE category IN ('database_read', 'api_call') GROUP BY 1), "

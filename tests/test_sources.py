@@ -4,10 +4,12 @@ import json
 import os
 
 import pytest
+from pyarrow import fs
 from pyspark.sql import functions as F
 
-from loopledger import list_tree, parse_requests, read_path, read_tree, scan, snippets
+from loopledger import findings_of, list_tree, parse_requests, read_path, read_tree, scan, snippets
 from loopledger.plans import report
+from loopledger.sources import long_files, tree_source
 from loopledger.sources.sinks import write_json
 from loopledger.sources.tree import decode_binary
 
@@ -152,3 +154,94 @@ def test_prices_do_not_multiply_findings(spark):
     counts = spark.createDataFrame([(1, 5_000_000_000), (1, 7)], "file_id long, iterations long")
     rows = findings_of(price_with_counts(results, counts)).collect()
     assert [r["estimated_cost"]["iterations"] for r in rows] == [5_000_000_000]
+
+
+def _tree_files(top):
+    found = {
+        "a.py": b"x = 1\r\ny = 2\r", "_h/.b.js": b"let a", "_h/_c.ts": "let \u00e9".encode(), "node_modules/d.js": b"x", "q/r/e.JAVA": b"class",
+        "q/f.txt": b"n", ".py": b"x", "q/z.py": b"\xff", "q/long.js": b"a" * 5000, "q/empty.js": b"", "q/venv.d/x.py": b"x",
+    }
+    for path, data in found.items():
+        os.makedirs(os.path.dirname(f"{top}/{path}"), exist_ok=True)
+        with open(f"{top}/{path}", "wb") as out:
+            out.write(data)
+    os.symlink(f"{top}/nowhere", f"{top}/gone.py")
+    os.symlink(f"{top}/q", f"{top}/round")
+
+
+def _store(root):
+    """A store of its own: a local folder seen through another file system."""
+    return fs.SubTreeFileSystem(root.partition("://")[2], fs.LocalFileSystem()), ""
+
+
+def test_tree_source_equals_the_tree_reader(spark, tmp_path):
+    _tree_files(str(tmp_path))
+    tree_source.register(spark)
+    want = {(r["path"], r["code"], (r["error"] or "")[:19]) for r in read_tree(spark, str(tmp_path)).collect()}
+    for root in (str(tmp_path), f"file://{tmp_path}", str(tmp_path) + "/"):
+        for tasks in (1, 64):
+            rows = spark.read.format("source_tree").option("tasks", tasks).load(root).collect()
+            assert {(r["path"], r["code"], (r["error"] or "")[:19]) for r in rows} == want and len(rows) == len(want) == 7
+    short = spark.read.format("source_tree").option("longest", 4999).load(str(tmp_path)).where("error IS NOT NULL").collect()
+    assert sorted(os.path.basename(r["path"]) for r in short) == ["long.js", "z.py"]
+    assert spark.read.format("source_tree").load(f"{tmp_path}/none").count() == 0
+    flat = spark.read.format("source_tree").option("recursive", "false").load(str(tmp_path)).collect()
+    assert [os.path.basename(r["path"]) for r in flat] == ["a.py"]
+
+
+def test_tree_source_reads_other_stores(spark, tmp_path):
+    _tree_files(str(tmp_path))
+    os.unlink(tmp_path / "round")  # only local trees know links
+    tree_source.register(spark)
+    rows = spark.read.format("source_tree").option("provider", f"{__name__}:_store").load(f"mine://{tmp_path}").collect()
+    want = {r["path"].removeprefix(str(tmp_path)) for r in read_tree(spark, str(tmp_path)).collect()}
+    assert {r["path"].removeprefix(f"mine://{tmp_path}") for r in rows} == want
+    with pytest.raises(Exception, match="scheme|URI|recogni"):
+        spark.read.format("source_tree").load("nosuchstore://x/y").count()
+
+
+def test_tree_source_takes_over_filters(spark, tmp_path):
+    _tree_files(str(tmp_path))
+    tree_source.register(spark)
+    every = {r["path"] for r in read_tree(spark, str(tmp_path)).collect()}
+    base = spark.read.format("source_tree").load(str(tmp_path))
+    for sql, keep in (("path LIKE '%.js'", lambda p: p.endswith(".js")), (f"path LIKE '{tmp_path}/q/%'", lambda p: "/q/" in p),
+                      ("NOT path LIKE '%/q/%'", lambda p: "/q/" not in p), (f"path = '{tmp_path}/a.py'", lambda p: p.endswith("a.py")),
+                      (f"path IN ('{tmp_path}/a.py', 'x')", lambda p: p.endswith("a.py")), ("length(path) > 3", lambda p: True)):
+        df = base.where(sql)
+        assert {r["path"] for r in df.collect()} == {p for p in every if keep(p)}
+        text = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
+        assert ("length" in sql) == ("length" in text) and "EndsWith" not in text
+
+
+def test_folders_that_filters_rule_out_are_not_listed(tmp_path):
+    reader = tree_source.TreeReader({"path": str(tmp_path)})
+    reader.tests = [("start", f"{tmp_path}/q/r/"), ("not", ("part", "/_h/"))]
+    assert [tree_source._may_hold(t, f"{tmp_path}/q") for t in reader.tests] == [True, True]
+    assert not tree_source._may_hold(reader.tests[0], f"{tmp_path}/_h") and not tree_source._may_hold(reader.tests[1], f"{tmp_path}/_h")
+
+
+@pytest.mark.parametrize("step", [1, 2, 3, 7, 50, 10_000])
+def test_lines_by_byte_ranges(spark, tmp_path, monkeypatch, step):
+    monkeypatch.setattr(long_files, "PIECE", 5)
+    texts = ["", "one", "a\nb\r\nc\rd\n", "\n\n\r\r\n\n", "\u2028x\u2029\x85y\x85", "\x0b\x0c\x1c\x1d\x1eend", "é\u20ac" * 9 + "\n" + "z" * 40,
+             "no break at all " * 5, "\r\n" * 8]
+    for k, t in enumerate(texts):
+        (tmp_path / f"{k}.js").write_bytes(t.encode())
+    (tmp_path / "bad.js").write_bytes(b"fine\n\xff\nfine")
+    paths = spark.createDataFrame([(str(p),) for p in tmp_path.iterdir()], "path string")
+    rows = long_files.long_lines(long_files.with_size(paths), step).collect()
+    for k, t in enumerate(texts):
+        own = sorted((r["line_no"], r["line"]) for r in rows if r["path"].endswith(f"/{k}.js"))
+        assert own == list(enumerate(t.splitlines(), 1)), (k, step)
+    bad = [r for r in rows if r["path"].endswith("bad.js")]
+    assert [r["line_no"] for r in bad] == [None] and "Could not read file" in bad[0]["error"]
+
+
+def test_a_long_file_spreads_and_has_the_findings_of_a_scan(spark, tmp_path):
+    code = "".join(f"for (const k of ks) {{\n  fetch(k{n});\n}}\n" for n in range(3000))
+    (tmp_path / "a.js").write_text(code)
+    (tmp_path / "b.py").write_text("for k in ks:\n    requests.get(k)\n")
+    found = long_files.tree_findings(spark, str(tmp_path), long_bytes=1000, range_bytes=4096)
+    whole = findings_of(scan(read_tree(spark, str(tmp_path)))).drop("seq")
+    assert sorted(map(str, found.select(whole.columns).collect())) == sorted(map(str, whole.collect())) and found.count() > 3000
