@@ -34,6 +34,7 @@ from ..sources.long_files import tree_findings
 from ..sources.sinks import to_json_rows, write_findings, write_json
 from ..sources.snippets import embedded_scripts, parse_requests, snippets
 from ..sources.tables import spread, table
+from ..streaming.stateful import TotalsTable, state_store, stream_changes, stream_line_findings, write_changes
 from ..streaming.live import read_totals, stream_findings, stream_totals, write_stream, write_totals
 from . import report
 from .corpus import source_files
@@ -533,6 +534,34 @@ def streamed_totals(spark: SparkSession, sf: str) -> DataFrame:
     return read_totals(spark, f"{folder}/totals")
 
 
+@query
+def streamed_line_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines dealt over four batches, those of a file in no order."""
+    folder = run_folder(spark, "lines")
+    lines = _lines_of(spark, sf, JAVASCRIPT).withColumn("language", F.lit(JAVASCRIPT)).union(
+        _lines_of(spark, sf, JAVA).withColumn("language", F.lit(JAVA)))
+    lines.repartition(4, F.xxhash64("file_id", "line_no")).write.parquet(f"{folder}/lines")
+    state_store(spark)
+    arriving = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/lines")
+    write_stream(stream_line_findings(arriving), f"{folder}/findings", f"{folder}/state").awaitTermination()
+    found = spark.read.parquet(f"{folder}/findings")
+    return flat(found.withColumn("seq", F.lit(0)), "file_id", "language").drop("seq")
+
+
+@query
+def corrected_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Every file arrives twice, first with another snippet, and every third a last time as it was."""
+    folder, docs = run_folder(spark, "corrected"), documents(spark, sf)
+    first = source_files(docs, snippet_by=F.length("text") + 3).withColumn("version", F.lit(1))
+    second = source_files(docs).withColumn("version", F.lit(2))
+    for part in (first, second, first.where("file_id % 3 = 0")):
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/files")
+    state_store(spark)
+    arriving = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/files")
+    write_changes(stream_changes(arriving), f"{folder}/totals", f"{folder}/state").awaitTermination()
+    return TotalsTable(spark, f"{folder}/totals").summary()
+
+
 # --- corpus ---------------------------------------------------------------------------
 
 

@@ -364,10 +364,14 @@ def oracle() -> dict[str, str]:
         f"{FOUND} SELECT rule_id, severity, count(*) AS n, category, unit_cost, iterations, per_execution_cost, "
         "monthly_cost, cost_severity FROM found GROUP BY ALL")
 
+    sql["streamed_line_findings"] = (
+        f"{found_cte(tuple(rules_for(JAVASCRIPT) + rules_for(JAVA)), languages=(JAVASCRIPT, JAVA))} "
+        f"SELECT file_id, language, {FLAT.removeprefix('seq, ')} FROM found")
+
     summary = f"{TOTALS}, {counts('cost_severity')}, count(*) AS findings_count"
     sql["cost_by_category"] = f"{FOUND} SELECT category, {summary}, {q(cost.DISCLAIMER)} AS disclaimer FROM found GROUP BY category"
     sql["cost_summary"] = f"{FOUND} SELECT {summary}, {q(cost.DISCLAIMER)} AS disclaimer FROM found"
-    sql["streamed_totals"] = f"{FOUND} SELECT category, {summary} FROM found GROUP BY category"
+    sql["corrected_totals"] = sql["streamed_totals"] = f"{FOUND} SELECT category, {summary} FROM found GROUP BY category"
     sql["severity_histogram"] = f"{FOUND} SELECT {counts('severity')} FROM found"
     sql["scan_counts"] = counted_files(
         "count(*) AS total_files, count(p.n) AS files_with_issues, coalesce(sum(p.n), 0)::BIGINT AS total_findings")

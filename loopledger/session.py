@@ -50,6 +50,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def folder_store(spark: SparkSession, folder: str):
+    """Hadoop's file system of a folder, and its path there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """A table written to shared storage and read back: computed once, whoever reads it and however often."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
