@@ -28,6 +28,16 @@ def price_with(
     return findings.withColumn("estimated_cost", cost.estimate(F.col("category"), iterations, price=price))
 
 
+def calls_per_run(events: DataFrame, key: str, time: str, gap: str = "30 minutes") -> DataFrame:
+    """(key, runs, calls, iterations): calls of a unit cut into runs by pauses longer than a gap; iterations are those of
+    its longest run.
+
+    The calls of a run are summed before they are shuffled, so a unit of very many calls is no more than its runs.
+    """
+    runs = events.where(F.col(time).isNotNull()).groupBy(key, F.session_window(time, gap).alias("run")).agg(F.count("*").alias("n"))
+    return runs.groupBy(key).agg(F.count("*").alias("runs"), F.sum("n").alias("calls"), F.max("n").alias("iterations"))
+
+
 def price_with_counts(results: DataFrame, call_counts: DataFrame, key: str = "file_id") -> DataFrame:
     """Results re-priced with the iterations observed per unit (``key, iterations``).
 

@@ -22,9 +22,9 @@ from ..functions.match import call_label
 from ..functions.text import sql_literal
 from ..operators import scope
 from ..operators.callsites import call_site_table, register_udtf
-from ..operators.dedup import scan_distinct
+from ..operators.dedup import scan_distinct, scan_incremental
 from ..operators.lines import explode_lines, lines_with_scope
-from ..operators.pricing import price_with, price_with_counts
+from ..operators.pricing import calls_per_run, price_with, price_with_counts
 from ..operators.scan import findings_of, resolve_sources, scan
 from ..operators.substrings import overlapping
 from ..rules import BUILTIN_RULES, JAVA, JAVASCRIPT, PYTHON, CallPattern, LinePattern, Rule, rules_for
@@ -593,6 +593,29 @@ def observed_file_costs(spark: SparkSession, sf: str) -> DataFrame:
     return flat(priced, "path").select("path", "seq", "rule_id", "severity", *COST_COLUMNS, "cost_severity")
 
 
+@query
+def observed_run_costs(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings priced with the longest run of events, pauses of two days apart, of the user whose id is the file's."""
+    runs = calls_per_run(table(spark, sf, "events"), "user_id", "ts", "2 days").withColumnRenamed("user_id", "file_id")
+    priced = findings_of(price_with_counts(results(spark, sf), runs.select("file_id", "iterations")))
+    return flat(priced, "path").select("path", "seq", "rule_id", "severity", *COST_COLUMNS, "cost_severity")
+
+
+@query
+def event_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return calls_per_run(table(spark, sf, "events"), "user_id", "ts", "2 days")
+
+
+@query
+def incremental_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Two thirds of the files scanned first, then all: only contents that are new are scanned again."""
+    folder = run_folder(spark, "known")
+    every = source_files(documents(spark, sf), snippet_by=F.length("text"))
+    scan_incremental(every.where("file_id % 3 > 0"), folder)
+    scanned = scan_incremental(every, folder)
+    return scanned.select("file_id", "path", "language", "copies", "error", F.size("findings").alias("findings_count"))
+
+
 @query
 def dedup_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Each distinct content scanned once.  The snippet is chosen by text length here, so

@@ -453,6 +453,18 @@ files AS (SELECT page_id * 1000 + script_no AS file_id, page_id, script_no, 0 AS
     sql["observed_iterations"] = (
         f"WITH {PRICED_EVENTS}, c AS (SELECT category, count(*) AS calls FROM priced_events GROUP BY 1) "
         f"SELECT category, {estimate_columns(UNIT, 'calls')} AS severity FROM c")
+    runs = (
+        "marked AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 DAY THEN 0 ELSE 1 END "
+        "AS first_ FROM events), numbered AS (SELECT user_id, sum(first_) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) "
+        "AS run FROM marked), per_run AS (SELECT user_id, run, count(*) AS n FROM numbered GROUP BY 1, 2), "
+        "per_user AS (SELECT user_id, count(*) AS runs, CAST(sum(n) AS BIGINT) AS calls, max(n) AS iterations FROM per_run GROUP BY 1)")
+    sql["event_runs"] = f"WITH {runs} SELECT user_id, runs, calls, iterations FROM per_user"
+    sql["observed_run_costs"] = (
+        f"{FOUND}, {runs}, t AS (SELECT f.* EXCLUDE (unit_cost, iterations, per_execution_cost, monthly_cost, cost_severity), "
+        "unit_cost AS u, coalesce(p.iterations, 100)::INT AS k FROM found f LEFT JOIN per_user p ON p.user_id = f.file_id), "
+        f"e AS (SELECT path, seq, rule_id, language, severity AS base, {estimate_columns('u', 'k')} AS cost_severity FROM t) "
+        "SELECT path, seq, rule_id, CASE WHEN language = 'python' AND cost_severity = 'high' THEN 'high' ELSE base END AS severity, "
+        "unit_cost, iterations, per_execution_cost, monthly_cost, cost_severity FROM e")
     sql["observed_file_costs"] = (
         f"{FOUND}, seen AS (SELECT user_id, count(*) * 10 AS n FROM events GROUP BY 1), "
         "t AS (SELECT f.* EXCLUDE (unit_cost, iterations, per_execution_cost, monthly_cost, cost_severity), "
@@ -461,7 +473,7 @@ files AS (SELECT page_id * 1000 + script_no AS file_id, page_id, script_no, 0 AS
         "SELECT path, seq, rule_id, CASE WHEN language = 'python' AND cost_severity = 'high' THEN 'high' ELSE base END AS severity, "
         "unit_cost, iterations, per_execution_cost, monthly_cost, cost_severity FROM e")
     by_length = FOUND.replace(files_cte(), files_cte("length(d.text)"))
-    sql["dedup_scan"] = (
+    sql["incremental_scan"] = sql["dedup_scan"] = (
         f"{by_length}, {PER_FILE} SELECT file_id, path, language, count(*) OVER (PARTITION BY code, language) AS copies, "
         f"{ERROR} AS error, coalesce(n, 0) AS findings_count FROM src LEFT JOIN per_file USING (file_id)")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,6 +51,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, for clusters on which it is not installed."""
+    top = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="run-")  # read by the driver, which hands the archive on
+    archive = os.path.join(folder, "loopledger.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for where, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(where, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(top)))
+    spark.sparkContext.addPyFile(archive)
+
+
 def folder_store(spark: SparkSession, folder: str):
     """Hadoop's file system of a folder, and its path there."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
