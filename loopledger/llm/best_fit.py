@@ -4,12 +4,13 @@ Bounded-space online best-fit: a task keeps a fixed number of open bins, found t
 bitset keyed by free space.  A piece goes to the open bin with the least free space that
 holds it; when the number of open bins would be exceeded, the fullest closes first.
 
-Only (document, length) rows move.  Pieces are dealt by hash and arrive longest first,
-so that short pieces fill what long ones leave; every task packs its share alone and
-names its sequences after itself, and its few open bins are all that a larger number of
-tasks can cost.
+Only (document, length) rows move.  Pieces are dealt and ordered by hash, so that long and
+short ones meet at any number of pieces a task; of every LOOK_AHEAD that arrive the longest
+are placed first.  Every task packs its share alone and names its sequences after itself,
+and its few open bins are all that a larger number of tasks can cost.
 
-Defined cases: a null or empty text is the end id alone; a document longer than a sequence
+Defined cases: a null or empty text is the end id alone; pieces of equal length are placed in
+order of arrival, and of equally full bins the one filled last takes a piece; a document longer than a sequence
 is cut into full sequences after a first piece that holds the rest; repeated rows and equal
 doc_ids are packed as rows of their own; an empty table gives no rows; other columns are
 ignored whatever their names.
@@ -30,6 +31,8 @@ from loopledger.llm.shared import END, encoder
 
 CAPACITY = 2048
 OPEN_BINS = 4096
+#: Pieces that are ordered by length before they are placed; all of them may be more than half a sequence.
+LOOK_AHEAD = 4096
 
 
 class OpenBins:
@@ -75,11 +78,11 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: str | None
     """One row for each piece of each document: doc_id, piece, start, length, ids_crc32."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer_path).encode_many, np.asarray([END], "<u4").tobytes()
+        of, end = encoder(tokenizer_path), np.asarray([END], "<u4").tobytes()
         for batch in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
             rows: list[tuple] = []
-            for doc_id, data in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
-                data = memoryview(data + end)
+            for doc_id, data in zip(batch.column(0).to_pylist(), of.encode_many(batch.column(1).to_pylist())):
+                data = memoryview(np.frombuffer(data, of.kind).astype("<u4").tobytes() + end)
                 total = len(data) // 4
                 bounds = [0, *range(total % capacity or capacity, total + 1, capacity)]
                 rows += [
@@ -104,24 +107,44 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, t
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins = OpenBins(capacity, open_bins)
-        for batch in batches:
-            lengths = batch.column(batch.schema.get_field_index("length")).to_pylist()
-            task = batch.column(batch.schema.get_field_index("task"))[0].as_py() if lengths else 0
-            placed = [bins.place(n) for n in lengths]
-            keep = [f for f in batch.schema.names if f != "task"]
+        for batch in (b.slice(k, LOOK_AHEAD) for b in gathered(batches) for k in range(0, b.num_rows, LOOK_AHEAD)):
+            lengths = batch.column("length").to_numpy()
+            task = batch.column("task")[0].as_py()
+            number, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+            for k in np.argsort(-lengths, kind="stable").tolist():
+                number[k], offset[k] = bins.place(int(lengths[k]))
+            keep = [f for f in batch.schema.names if f not in ("task", "order")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index(f)) for f in keep]
-                + [pa.array([task << 40 | b for b, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())],
+                [*(batch.column(f) for f in keep), pa.array(task << 40 | number), pa.array(offset)],
                 names=[*keep, "sequence_id", "offset"],
             )
 
     key = F.xxhash64("doc_id", "piece", "start", "ids_crc32")
-    dealt = cut.repartition(key) if tasks is None else cut.repartition(tasks, key)
-    ordered = dealt.sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32")
+    dealt = cut.withColumn("order", key)
+    dealt = dealt.repartition("order") if tasks is None else dealt.repartition(tasks, "order")
+    # the same rows in the same order if a task is run again
+    ordered = dealt.withColumn("order", F.hash("order")).sortWithinPartitions("order", "doc_id", "piece", "ids_crc32")
     schema = cut.schema.add("sequence_id", "long").add("offset", "long")
     return ordered.withColumn("task", F.spark_partition_id().cast("long")).mapInArrow(fill, schema)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], least: int = LOOK_AHEAD) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at least so many, but for the last."""
+    held, n = [], 0
+
+    def together() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in (b for b in batches if b.num_rows):
+        held.append(batch)
+        n += batch.num_rows
+        if n >= least:
+            yield together()
+            held, n = [], 0
+    if held:
+        yield together()
+
+
 def best_fit_sequences(docs: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
     """Pack all documents: one row per piece with its sequence and its offset there."""
     return pack(pieces(docs, capacity), capacity, open_bins)

@@ -133,48 +133,38 @@ def _code(lengths: bytes) -> Code:
 
 
 def tokenized(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
-    """(doc_id, ids): all ids of each whole text and the end id, as little-endian integers of 16 or 32 bits."""
+    """(doc_id, ids, width, counts): all ids of each whole text and the end id, as little-endian integers of `width` bytes.
+
+    How often each id of the vocabulary occurs in a task stands in a row of its own, without ids.
+    """
     kind = docs.schema["doc_id"].dataType
     arrow = to_arrow_type(kind)
+    names = ["doc_id", "ids", "width", "counts"]
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = encoder(tokenizer_path)
-        narrow = of.size <= 1 << 16
-        end = np.asarray([END], "<u4").tobytes()
+        end, total = np.asarray([END], of.kind).tobytes(), np.zeros(of.size, np.int64)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for k in range(0, len(texts), 256):
                 data = [x + end for x in of.encode_many(texts[k : k + 256])]
-                if narrow:
-                    data = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in data]
+                total += np.bincount(np.frombuffer(b"".join(data), of.kind), minlength=of.size)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(k, len(data)).cast(arrow), pa.array(data, pa.binary()),
-                     pa.array([2 if narrow else 4] * len(data), pa.int32())], names=["doc_id", "ids", "width"])
-
-    return docs.select("doc_id", "text").mapInArrow(ids, f"doc_id {kind.simpleString()}, ids binary, width int")
+                     pa.array(np.full(len(data), of.kind.itemsize, np.int32)), pa.nulls(len(data), pa.list_(pa.int64()))],
+                    names=names)
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, arrow), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()),
+                                              pa.array([total], pa.list_(pa.int64()))], names=names)
 
+    return docs.select("doc_id", "text").mapInArrow(
+        ids, f"doc_id {kind.simpleString()}, ids binary, width int, counts array<long>")
 
-def _wide(data: bytes, width: int) -> np.ndarray:
-    return np.frombuffer(data, f"<u{width}").astype(np.int64)
 
-
-def global_counts(ids: DataFrame) -> np.ndarray:
+def global_counts(tokens: DataFrame) -> np.ndarray:
     """How often each id occurs in all documents: one number for each id of the vocabulary."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for batch in batches:
-            for data, width in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = np.bincount(np.frombuffer(data, f"<u{width}"))
-                if len(own) > len(total):
-                    own, total = total, own.astype(np.int64)
-                total[: len(own)] += own
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())],
-                                         names=["id", "n"])
-
-    rows = ids.select("ids", "width").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    got = rows.collect()  # at most one row for each id of the vocabulary
+    rows = tokens.where("counts IS NOT NULL").select(F.posexplode("counts").alias("id", "n")).where("n > 0")
+    got = rows.groupBy("id").agg(F.sum("n").alias("n")).collect()  # at most one row for each id of the vocabulary
     counts = np.zeros(max((r["id"] for r in got), default=0) + 1, np.int64)
     for r in got:
         counts[r["id"]] = r["n"]
@@ -187,40 +177,45 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str | None = None) ->
     kind = docs.schema["doc_id"].dataType
     arrow = to_arrow_type(kind)
     plain = workspace(spark, "ids")
-    ids = written(tokenized(docs, tokenizer_path), plain)
-    lengths = code_lengths(global_counts(ids)).tobytes()
+    tokens = written(tokenized(docs, tokenizer_path), plain, "snappy")  # ids hardly shrink
+    lengths = code_lengths(global_counts(tokens)).tobytes()
     documents = pa.list_(pa.struct([("doc_id", arrow), ("n", pa.int64())]))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, part = _code(lengths), TaskContext.get().partitionId()
-        held, names, block, start = [], [], 0, 0
+        held, names, sizes, block, start, width = [], [], [], 0, 0, 4
 
         def flush() -> pa.RecordBatch:
             nonlocal block, start
-            joined = np.concatenate(held)
+            joined = np.frombuffer(b"".join(held), f"<u{width}")
             payload, marks = code.encode(joined)
-            row = (part, block, start, names.copy(), len(joined), payload, marks)
+            own = pa.StructArray.from_arrays([pa.array(names, arrow), pa.array(sizes, pa.int64())], ["doc_id", "n"])
+            own = pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), own)
+            row = (part, block, start, own, len(joined), payload, marks)
             block, start = block + 1, start + len(joined)
             held.clear()
             names.clear()
+            sizes.clear()
             kinds = (pa.int32(), pa.int32(), pa.int64(), documents, pa.int64(), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays(
-                [pa.array([v], k) for v, k in zip(row, kinds)],
+                [v if v is own else pa.array([v], k) for v, k in zip(row, kinds)],
                 names=["part", "block", "start", "documents", "n", "payload", "checkpoints"])
 
         count = 0
         for batch in batches:
             for doc_id, data, width in zip(*(c.to_pylist() for c in batch.columns)):
-                more = _wide(data, width)
-                if held and count + len(more) > BLOCK_IDS:
+                n = len(data) // width
+                if held and count + n > BLOCK_IDS:
                     yield flush()
                     count = 0
-                held.append(more)
-                names.append({"doc_id": doc_id, "n": len(more)})
-                count += len(more)
+                held.append(data)
+                names.append(doc_id)
+                sizes.append(n)
+                count += n
         if held:
             yield flush()
 
+    ids = tokens.where("ids IS NOT NULL").drop("counts")
     ordered = ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
     ordered.select("doc_id", "ids", "width").mapInArrow(
         pack, f"part int, block int, start long, documents array<struct<doc_id: {kind.simpleString()}, n: bigint>>, "
@@ -249,15 +244,16 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = _code(lengths)
         for batch in batches:
-            for documents, n, payload, marks, start in zip(*(c.to_pylist() for c in batch.columns)):
+            for documents, n, payload, marks, start in zip(batch.column(0), *(c.to_pylist() for c in batch.columns[1:])):
                 data = memoryview(code.decode(payload, marks, n).astype("<u4").tobytes())
-                sizes = np.array([d["n"] for d in documents], np.int64)
+                sizes = documents.values.field("n").to_numpy()
                 ends = np.cumsum(sizes)
-                cut = [bytes(data[4 * a : 4 * b]) for a, b in zip((ends - sizes).tolist(), ends.tolist())]
+                cut = [data[4 * a : 4 * b] for a, b in zip((ends - sizes).tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([d["doc_id"] for d in documents], arrow), pa.array(start + ends - sizes, pa.int64()),
+                    [documents.values.field("doc_id").cast(arrow), pa.array(start + ends - sizes, pa.int64()),
                      pa.array(sizes, pa.int64()), pa.array([zlib.crc32(x) for x in cut], pa.int64()),
-                     pa.array(cut if with_ids else [None] * len(cut), pa.binary())], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+                     pa.array([bytes(x) if with_ids else None for x in cut], pa.binary())],
+                    names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
     placed = blocks.join(F.broadcast(parts), "part").select(
         "documents", "n", "payload", "checkpoints", (F.col("start") + F.col("before")).alias("start"))
