@@ -3,14 +3,16 @@
 A task cuts its documents into shards of bounded length, indexes each shard's words, searches
 all benchmark windows backwards in it, locates their occurrences and merges them to spans for
 removal.  Documents never move between tasks.  The benchmark is read in blocks of bounded size,
-so its windows can be sent to all tasks; a larger benchmark makes further passes over the
-documents, which add to the spans found so far.
+sent to all tasks as word numbers (4 bytes a word) and distinct words; its windows are places in
+them and are looked up CHUNK at a time.  A larger benchmark makes further passes over the documents,
+each written before the next, which add to the spans found so far.
 
 Defined cases: a null, empty or wordless document has no words and no spans; items without words
 have no window; a shorter item than a window is one window; windows that several items share
 count for all of them; a document longer than a shard is indexed in overlapping parts; repeated
-rows are searched each; an item with a null id is searched like any other but is not listed; empty tables give clean documents or no rows; columns that clash with the
-added names are replaced, others pass through.
+rows are searched each; an item with a null id is searched like any other but is not listed; empty
+tables give clean documents or no rows; columns that clash with the added names are replaced, others
+pass through.
 """
 
 from __future__ import annotations
@@ -26,11 +28,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from loopledger.llm.fm_index import FMIndex
+from loopledger.llm.shared import workspace, written
 
 WINDOW = 10
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 250_000
+#: Windows looked up together.
+CHUNK = 50_000
 #: Benchmark text searched in one pass, on average.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 4_000_000
 ADDED = ("n_words", "spans", "items")
 
 # words are runs of ASCII letters and digits and of everything outside ASCII, in lower case
@@ -44,28 +49,34 @@ def folded(text: str | None) -> bytes:
 
 
 class Windows:
-    """The distinct windows of a block of benchmark items, by length, and the items of each."""
+    """A block of benchmark items as word numbers, with the first word of every window by its length."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], size: int = WINDOW):
-        self.vocabulary: dict[bytes, int] = defaultdict()
-        self.vocabulary.default_factory = self.vocabulary.__len__
-        owners: dict[tuple[int, ...], set[str]] = defaultdict(set)
-        for item, text in items:
-            words = [self.vocabulary[w] for w in folded(text).split()]
-            for k in range(max(len(words) - size + 1, min(len(words), 1))):
-                own = owners[tuple(words[k : k + size])]
-                if item is not None:
-                    own.add(item)
-        self.vocabulary.default_factory = None
-        by_length: dict[int, list[tuple[int, ...]]] = defaultdict(list)
-        for window in owners:
-            by_length[len(window)].append(window)
-        self.groups = {n: (np.array(g, np.int64), [sorted(owners[w]) for w in g]) for n, g in by_length.items()}
-        self.longest = max(by_length, default=1)
-
-
-def _search(shard: list[tuple[int, int, list[bytes]]], windows: Windows) -> Iterator[tuple[int, int, int, list[str]]]:
-    """(document, first word, end word, items) of all occurrences.  shard: (document, place of first word, words)."""
+        numbers: dict[bytes, int] = defaultdict()
+        numbers.default_factory = numbers.__len__
+        parts, starts = [], defaultdict(list)
+        self.names, ends, at = [name for name, _ in items], [], 0
+        for _, text in items:
+            words = folded(text).split()
+            part = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
+            windows = max(len(words) - size + 1, min(len(words), 1))
+            if windows:
+                starts[min(len(words), size)].append(at + np.arange(windows))
+            parts.append(part)
+            at += len(part)
+            ends.append(at)
+        self.words = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        self.vocabulary, self.ends = list(numbers), np.array(ends, np.int64)
+        self.starts = {n: np.concatenate(s).astype(np.int32) for n, s in starts.items()}
+        self.longest = max(starts, default=1)
+
+    def item(self, at: np.ndarray) -> list[str | None]:
+        """Names of the items that hold these words."""
+        return [self.names[k] for k in np.searchsorted(self.ends, at, "right").tolist()]
+
+
+def _search(shard: list[tuple[int, int, list[bytes]]], windows: Windows) -> Iterator[tuple[int, int, int, str | None]]:
+    """(document, first word, end word, item) of all occurrences.  shard: (document, place of first word, words)."""
     numbers: dict[bytes, int] = defaultdict()
     numbers.default_factory = numbers.__len__
     number = numbers.__getitem__
@@ -73,20 +84,23 @@ def _search(shard: list[tuple[int, int, list[bytes]]], windows: Windows) -> Iter
     numbers.default_factory = None
     index = FMIndex(texts, len(numbers))
     known = np.array([numbers.get(w, -1) + 1 for w in windows.vocabulary], np.int64)
-    for length, (phrases, owners) in windows.groups.items():
-        phrases = known[phrases]
-        present = np.flatnonzero((phrases > 0).all(axis=1))
-        if not len(present):
-            continue
-        low, high = index.search(phrases[present])
-        times = high - low
-        rows = np.repeat(low - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
-        which = np.repeat(present, times)
-        places = index.locate(rows)
-        part = np.searchsorted(index.starts, places, "right") - 1
-        for p, at, w in zip(part.tolist(), (places - index.starts[part]).tolist(), which.tolist()):
-            document, base, _ = shard[p]
-            yield document, base + at, base + at + length, owners[w]
+    here = known[windows.words] if len(known) else np.zeros(0, np.int64)
+    for length, every in windows.starts.items():
+        for k in range(0, len(every), CHUNK):
+            starts = every[k : k + CHUNK]
+            phrases = here[starts[:, None] + np.arange(length)]
+            present = np.flatnonzero((phrases > 0).all(axis=1))
+            if not len(present):
+                continue
+            low, high = index.search(phrases[present])
+            times = high - low
+            rows = np.repeat(low - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
+            items = windows.item(starts[np.repeat(present, times)])
+            places = index.locate(rows)
+            part = np.searchsorted(index.starts, places, "right") - 1
+            for p, at, item in zip(part.tolist(), (places - index.starts[part]).tolist(), items):
+                document, base, _ = shard[p]
+                yield document, base + at, base + at + length, item
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -134,9 +148,10 @@ def _pass(docs: DataFrame, windows: Windows, text: str, first: bool, cut: bool)
             items = [set(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
             counts: list[int] = []
             for shard, counts in _shards(texts, windows.longest - 1):
-                for k, a, b, owners in _search(shard, windows):
+                for k, a, b, item in _search(shard, windows):
                     spans[k].append((a, b))
-                    items[k].update(owners)
+                    if item is not None:
+                        items[k].add(item)
             whole = [merged(x) for x in spans]
             added = [
                 pa.array(counts, pa.int64()),
@@ -158,12 +173,15 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     With cut, the stretches are gone from the text; all is done where the index is.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ADDED])
+    folder = workspace(docs.sparkSession, "decontaminated")
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 + size // BLOCK_BYTES
     for block in range(blocks):
         part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         rows = part.select(F.col("item_id").cast("string"), "text").collect()
         docs = _pass(docs, Windows([(r[0], r[1]) for r in rows]), text, block == 0, cut and block == blocks - 1)
+        if block < blocks - 1:
+            docs = written(docs, f"{folder}/{block}")
     return docs
 
 
