@@ -1,6 +1,7 @@
 """Decontamination (2), language (7), toxicity (8) and page text (10) against plain versions and held-out rows."""
 
 import re
+import time
 import zlib
 
 import numpy as np
@@ -165,9 +166,54 @@ def test_toxicity_of_held_out_rows(spark, sample_dir):
     assert all(zlib.crc32(str(i).encode()) % 4 == 2 for i in held)
 
 
+def clauses(rng, words, kind):
+    """A text of plain words with one clause in it."""
+    body = " ".join(rng.choice(words, 25))
+    insult = rng.choice(["grufnak", "blortex", "snizzle"])
+    clause = {"aimed": f"vosh are een echt heel grote {insult}", "bare": f"wat een echt heel grote {insult}",
+              "negated": f"vosh are een nix heel grote {insult}", "quoted": f"zegte de man over vosh een echt heel grote {insult}", "threat": f"ik zal vosh krakkelen morgen",
+              "plain": "niets bijzonders hier", "tool": "krakkelen van het hout"}[kind]
+    return f"{body}. {clause}. {body[::-1]}"
+
+
+def test_classes_are_learned_where_only_the_clause_decides(spark):
+    """Insults, a negation, a reporting verb and a threat of an invented language, none of them a seed."""
+    rng = np.random.default_rng(17)
+    words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(300)]
+    kinds = ["aimed"] * 16 + ["bare"] * 12 + ["negated"] * 1 + ["quoted"] * 1 + ["plain"] * 14
+    toxic = {"aimed": 1, "bare": 1, "negated": 0, "quoted": 0, "plain": 0}
+    rows = [(k, clauses(rng, words, kind), kind) for k, kind in enumerate(kinds[k % len(kinds)] for k in range(3000))]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(k, 0, toxic[kind]) for k, _, kind in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels, third)
+    assert model.learned[b"nix"] == toxicity.NEGATION and toxicity.REPORT in {model.learned.get(w) for w in (b"zegte", b"de", b"man")}
+    fresh = {kind: [model.score(clauses(rng, words, kind)) for _ in range(40)] for kind in toxic}
+    assert min(fresh["aimed"] + fresh["bare"]) >= toxicity.THRESHOLD > max(fresh["negated"] + fresh["quoted"] + fresh["plain"])
+    # without its transducer each of the two contexts is taken for an insult
+    for part, kind in (("negated", "negated"), ("reported", "quoted")):
+        model.grammar = toxicity.Grammar({k: v for k, v in toxicity.Grammar.parts.items() if k != part})
+        assert min(model.score(clauses(rng, words, kind)) for _ in range(40)) >= toxicity.THRESHOLD
+    model.grammar = toxicity.Grammar()
+
+
+def test_threats_need_a_target_and_are_learned(spark):
+    rng = np.random.default_rng(18)
+    words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(300)]
+    model = toxicity.Model(learned={b"krakkelen": toxicity.THREAT, b"vosh": toxicity.TARGET})
+    assert model.score(clauses(rng, words, "threat")) >= toxicity.THRESHOLD > model.score(clauses(rng, words, "tool"))
+    # "vosh" is no seed, so threats are learned in clauses with a known target
+    rows = [(k, clauses(rng, words, "threat").replace("vosh", "you") if k % 4 == 0 else clauses(rng, words, "plain") + ". you see it")
+            for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 0, int(k % 4 == 0)) for k, _ in rows], "doc_id long, quality int, toxic int")
+    found = toxicity.fit(docs, labels, third)
+    assert found.insult(b"krakkelen") or found.symbols.get(b"krakkelen") == toxicity.THREAT
+    assert all((found.score(t) >= toxicity.THRESHOLD) == (k % 4 == 0) for k, t in rows)
+
+
 def test_toxicity_cases(spark, docs, no_docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    assert toxicity.fit(docs, none, quarter).curve == toxicity.Model().curve
+    assert (toxicity.fit(docs, none, quarter).weights == toxicity.Model().weights).all()
     odd = spark.createDataFrame([(1, 0, None), (None, 0, 1), (2, 0, 1), (2, 0, 0), (10**9, 0, 1)], none.schema)
     rows = toxicity.toxicity_scores(spark, docs, odd, quarter).collect()
     assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows)
@@ -185,11 +231,11 @@ PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>v
 
 def test_page_text():
     assert html_blocks.main_text(PAGE).split("\n\n") == [
-        "Title & more", "First paragraph,bold é end line.", "Left open", "A.", "Quote <p> &bogus; a < b", "Item one",
-        "linked item", "Last."]
+        "Title & more", "First paragraph,bold é end line.", "Left open", "A.", "Quote <p> &bogus; a < b", "Item one", "Last."]
     for empty in (None, "", "   ", "<p></p>", "<script>x", "<!-- x", "<p", "<nav>a</nav>"):
         assert html_blocks.main_text(empty) in ("", "<p")
-    assert html_blocks.main_text("<nav><p>menu<article><p>Text after an open menu</p>") == "Text after an open menu"
+    assert html_blocks.main_text("<dialog><p>notice<article><p>Text after an open notice</p>") == "Text after an open notice"
+    assert html_blocks.main_text('<p title="a > b <i>">Quoted</p><p>and <b x="open>more</p> <p>words</p>') == "Quoted\n\nand more\n\nwords"
     plain = "<ul><li><a>one</a><li><a>two</a></ul><h1>Head</h1><p>Some words that make a paragraph.</p><div class=footer>x y z</div>"
     assert html_blocks.main_text(plain) == "Head\n\nSome words that make a paragraph."
     deep = "<div>" * 20000 + "<p>deep words are in here</p>"
@@ -197,6 +243,47 @@ def test_page_text():
     assert len(html_blocks.main_text("<article>" + "<p>word</p>" * 50000).split("\n\n")) == 50000
 
 
+@pytest.mark.parametrize("piece", ["<a ", '<a href="x', "<a '", "<!", "<", "</x ", "<li>x", "<p><b>", "<!--", "<script>", "&", "<div><p></i>"])
+def test_broken_pages_take_linear_time(piece):
+    page = piece * (1_000_000 // len(piece))
+    start = time.process_time()
+    html_blocks.main_text(page)
+    assert time.process_time() - start < 5  # under two seconds on an idle core
+
+
+def articles(page):
+    """Features of all blocks, and whether an article holds them, which the tree does not see."""
+    a, e = page.find("<article"), page.find("</article>")
+    before = len(html_blocks.blocks_of(page[:a]))
+    inside = len(html_blocks.blocks_of(page[:e])) - before
+    found = html_blocks.features_of(html_blocks.blocks_of(page))
+    return [(f, before <= k < before + inside) for k, f in enumerate(found)]
+
+
+def test_blocks_of_given_pages(sample_dir, spark):
+    pages = spark.read.parquet(f"{sample_dir}/pages.parquet").where("page_id >= 3").select("html").collect()
+    rows = [x for r in pages if r.html and "</article>" in r.html for x in articles(r.html)]
+    right = sum(html_blocks._is_text(f) == label for f, label in rows)
+    assert len(rows) > 40_000 and right >= 0.999 * len(rows)
+
+
+def test_neighbours_decide_some_blocks():
+    used, nodes = set(), [html_blocks.tree()]
+    while nodes:
+        node = nodes.pop()
+        if node.feature >= 0:
+            used.add(html_blocks.Features._fields[node.feature])
+            nodes += [node.below, node.above]
+    assert {"words", "density", "density_before", "density_after"} <= used
+    heading = "<h2>Some heading here</h2>"
+    text = "<p>Words of a paragraph that is long enough to be read as one by anybody.</p>"
+    links = "<ul><li><a href=a>one</a></li><li><a href=b>two</a></li></ul>"
+    assert "Some heading here" in html_blocks.main_text(text + heading + text)
+    assert "Some heading here" not in html_blocks.main_text(text + heading + links)
+    item = "<ul><li>An item of some words</li></ul>"
+    assert "An item" in html_blocks.main_text(text + item + text) and "An item" not in html_blocks.main_text(links + item + links)
+
+
 def test_tree_agrees_with_its_table():
     assert all(html_blocks._is_text(f) == label for f, label in html_blocks.LABELLED)
 
