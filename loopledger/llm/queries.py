@@ -57,7 +57,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("op6_site_line_frequency", line_frequency.SQL.format(
-    docs="documents", least=line_frequency.LEAST_PAGES, ratio=line_frequency.RATIO)
+    docs="documents", least=line_frequency.LEAST_PAGES, ratio=line_frequency.RATIO, copied=line_frequency.COPIED)
     + "SELECT doc_id, text, n_lines, n_dropped FROM cleaned")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
