@@ -183,6 +183,16 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, large: int = LARGE_BUCKET
     return rows.join(groups.join(least, "component"), "fp").select("doc_id", "fp", "component_id")
 
 
+def first_rows(rows: DataFrame, folder: str, radius: int = RADIUS, large: int = LARGE_BUCKET) -> DataFrame:
+    """(at) of the row with the least doc_id of every group of (doc_id, at, fp); null ids come last, then the least at."""
+    groups = _grouped(rows, folder, radius, large)
+    # the first row of each fingerprint, so that a group is no larger than its distinct fingerprints
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "at")
+    first = rows.groupBy("fp").agg(F.min(order).alias("best"))
+    kept = first.join(groups, "fp").groupBy("component").agg(F.min("best").alias("best"))
+    return kept.select(F.col("best.at").alias("at"))
+
+
 def one_of_each_group(docs: DataFrame, radius: int = RADIUS, large: int = LARGE_BUCKET) -> DataFrame:
     """The row with the least doc_id of every group; of equal rows, and of a group of null ids, one."""
     folder = workspace(docs.sparkSession, "simhash")
@@ -192,12 +202,8 @@ def one_of_each_group(docs: DataFrame, radius: int = RADIUS, large: int = LARGE_
     numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), f"{folder}/numbered")
     rows = written(numbered.select("doc_id", F.col(row).alias("at"), fingerprints(F.col("text")).alias("fp")),
                    f"{folder}/rows")
-    groups = _grouped(rows, folder, radius, large)
-    # the first row of each fingerprint, so that a group is no larger than its distinct fingerprints
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "at")
-    first = rows.groupBy("fp").agg(F.min(order).alias("best"))
-    kept = first.join(groups, "fp").groupBy("component").agg(F.min("best").alias("best"))
-    return numbered.join(kept.select(F.col("best.at").alias(row)), row, "left_semi").select(*docs.columns)
+    kept = first_rows(rows, folder, radius, large)
+    return numbered.join(kept.withColumnRenamed("at", row), row, "left_semi").select(*docs.columns)
 
 
 def as_hex(fp: Column) -> Column:

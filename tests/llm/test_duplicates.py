@@ -47,15 +47,55 @@ def test_lines_against_sql(spark, docs, corpus):
     documents["doc_id"] = documents["doc_id"].astype("Int64")
     con = duckdb.connect()
     con.register("documents", documents)
-    sql = line_frequency.SQL.format(docs="documents", least=5, ratio=0.1) + "SELECT doc_id, text, n_lines, n_dropped FROM cleaned"
+    sql = line_frequency.SQL.format(docs="documents", least=5, ratio=0.1, copied=0.8) + "SELECT doc_id, text, n_lines, n_dropped FROM cleaned"
     want = Counter(con.execute(sql).fetchall())
     for broadcast in (line_frequency.BROADCAST_DIGESTS, 0):
-        clean = line_frequency.drop_boilerplate(table.withColumn("N_LINES", F.lit("clash")), broadcast=broadcast)
+        clean = line_frequency.drop_boilerplate(table.withColumn("N_LINES", F.lit("clash")), ratio=0.1, broadcast=broadcast)
         assert Counter(map(tuple, clean.select("doc_id", "text", "n_lines", "n_dropped").collect())) == want
     by_id = {r[0]: r for r in want}
     assert by_id[1001][1] == "own line 1\n" and by_id[1100][1] == line and by_id[1200][1] == "rare"
 
 
+def plain_lines(rows, ratio=line_frequency.RATIO, least=line_frequency.LEAST_PAGES):
+    """Dropped lines of each (source, text), by both counts of the operator; null where a page stays whole."""
+    pages, own = Counter(s for s, _ in rows), [None if t is None else [x for x in t.split("\n") if x.strip(" ")] for _, t in rows]
+
+    def over(chosen):
+        counts = Counter((rows[k][0], x) for k in chosen for x in set(own[k] or []))
+        return {key for key, n in counts.items() if n >= least and n * (key[1].count(" ") + 1) > 10 * ratio * pages[key[0]]}
+
+    def words(lines):
+        return sum(x.count(" ") + 1 for x in lines)
+
+    first = over(range(len(rows)))
+    copied = {k for k, (s, _) in enumerate(rows) if own[k] and words([x for x in own[k] if (s, x) in first]) / words(own[k]) > line_frequency.COPIED}
+    second = first & over(set(range(len(rows))) - copied)
+    return [None if k in copied or own[k] is None else {x for x in own[k] if (s, x) in second} for k, (s, _) in enumerate(rows)]
+
+
+def test_copied_pages_keep_their_body_and_passages_go(spark, docs):
+    """A third of a host are copies of one page with a line of their own; a long passage is on a hundredth of another host."""
+    rng = np.random.default_rng(31)
+
+    def line(n):
+        return " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, n))
+
+    body, footer, passage = [line(30) for _ in range(9)], "all rights are reserved", line(60)
+    rows = [("h", "\n".join([*body, line(4), footer])) for _ in range(200)]
+    rows += [("h", "\n".join([line(20), line(25), footer])) for _ in range(400)]
+    rows += [("g", "\n".join([line(30), passage, line(30), line(12)] if k < 8 else [line(30), line(9)])) for k in range(800)]
+    table = spark.createDataFrame([(k, t, None, s, 0) for k, (s, t) in enumerate(rows)], docs.schema).repartition(4)
+    gone = plain_lines(rows)
+    for broadcast in (line_frequency.BROADCAST_DIGESTS, 0):
+        got = {r.doc_id: r for r in line_frequency.drop_boilerplate(table, broadcast=broadcast).collect()}
+        for k, (_, text) in enumerate(rows):
+            lines = text.split("\n")
+            left = [x for x in lines if x not in (gone[k] or ())]
+            assert (got[k].text, got[k].n_dropped) == ("\n".join(left), len(lines) - len(left))
+    assert all(got[k].n_dropped == 0 for k in range(200)) and all(got[k].n_dropped == 1 for k in range(200, 600))
+    assert [got[600 + k].n_dropped for k in range(800)] == [1] * 8 + [0] * 792
+
+
 def simhash_by_bits(text):
     text = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
@@ -208,3 +248,47 @@ def test_empty_tables(spark, no_docs):
     assert covering_simhash.near_groups(no_docs).count() == 0
     assert covering_simhash.one_of_each_group(no_docs).count() == 0
     assert hilbert.place_on_curve(no_docs, ["doc_id"]).count() == 0
+
+
+def test_families_are_compared_exactly_in_one_block_and_in_many(spark, docs):
+    """Mutations of one text, mostly under the similarity to each other, and pages of one template."""
+    rng = np.random.default_rng(21)
+    base = [f"w{k}" for k in range(200)]
+
+    def mutated(words, changes):
+        words = list(words)
+        for at in rng.choice(len(words), changes, replace=False):
+            words[at] = f"n{rng.integers(1 << 40)}"
+        return words
+
+    texts = [" ".join(mutated(base, int(c))) for c in rng.integers(0, 12, 60)]
+    texts += [" ".join([*base[:120], *(f"t{k}x{j}" for j in range(80))]) for k in range(25)]
+    table = spark.createDataFrame([(k, t, None, None, k) for k, t in enumerate(texts)], docs.schema).repartition(3)
+    sets = [shingle_copies.shingle_set(t) for t in texts]
+    both = shingle_copies.shared_counts(sets, words=2, cells=200)
+    assert all(both[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(len(sets)) for j in range(len(sets)) if i != j)
+    prints = [(k, simhash_by_bits(t)) for k, t in enumerate(texts)]
+    find = linked(prints)
+    first = [k for k in range(len(texts)) if find(k) == k]
+    for rows in (shingle_copies.FAMILY_ROWS, 5):
+        kept = sorted(r.doc_id for r in shingle_copies.one_of_each_near_copy(table, rows).collect())
+        assert set(kept) <= set(first) and set(range(60, 85)) & set(first) <= set(kept) and len(kept) < len(first)
+        for i, j in itertools.combinations(kept, 2):
+            assert both[i, j] < 0.8 * (len(sets[i]) + len(sets[j]) - both[i, j])
+
+
+def test_forest_connects_what_is_similar():
+    rng = np.random.default_rng(22)
+    sets = [np.unique(np.concatenate([np.arange(c * 1000, c * 1000 + 90), rng.integers(1 << 40, 1 << 41, int(rng.integers(0, 9)))]))
+            for c in rng.integers(0, 5, 60)]
+    edges = shingle_copies.forest(list(range(60)), sets)
+    root = list(range(60))
+    for i, j in itertools.combinations(range(60), 2):
+        both = len(np.intersect1d(sets[i], sets[j]))
+        if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+            root = [root[i] if r == root[j] else r for r in root]
+    own = list(range(60))
+    for i, j in edges:
+        own = [own[i] if r == own[j] else r for r in own]
+    assert len(set(own)) == len(set(root)) and all((own[i] == own[j]) == (root[i] == root[j]) for i in range(60) for j in range(60))
+    assert len(edges) == 60 - len(set(root))
