@@ -19,7 +19,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from loopledger.llm import best_fit, covering_simhash, fm_decontaminate, line_frequency, shingle_copies, toxicity  # noqa: E402
+from loopledger.llm import best_fit, fm_decontaminate, line_frequency, shingle_copies, toxicity  # noqa: E402
 from loopledger.llm.queries import quarter  # noqa: E402
 from loopledger.llm.shared import table, workspace, written  # noqa: E402
 
@@ -33,7 +33,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that more than a tenth of their source's documents have."""
+    """All documents, without the lines that many documents of their source have for the lines' length."""
     cleaned = line_frequency.drop_boilerplate(docs.select(*COLUMNS))
     changed = cleaned.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(
         F.col("n_chars")))
@@ -43,7 +43,7 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group whose fingerprints are linked within four bits; of these, one of
     every group linked by a similarity of five-word shingles of 0.8 or more."""
-    return shingle_copies.one_of_each_text(covering_simhash.one_of_each_group(docs.select(*COLUMNS)))
+    return shingle_copies.one_of_each_near_copy(docs.select(*COLUMNS))
 
 
 def cut_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
