@@ -1,4 +1,4 @@
-"""Job entry: ``python -m loopledger scan SOURCE [--json FOLDER] ...``, also as a ``spark-submit`` script.
+"""Job entry: ``python -m loopledger scan SOURCE [--json FOLDER] ...``; master and settings come from Spark's own files.
 
 SOURCE is a Parquet table with a column ``code`` (``--table``, or a name that ends in .parquet) or a tree of
 source files in any store.  The exit code is 1 if more findings than ``--allow`` were made, else 0; 2 for
