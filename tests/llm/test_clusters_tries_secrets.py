@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -215,6 +216,19 @@ def test_op11_digests(spark):
         assert joined == ",".join(x for x in r.spans.split(",") if not x.startswith("random"))
 
 
+def test_op11_counts_by_kind(spark, tmp_path):
+    """A kind is counted wherever its spans stand among those of the others."""
+    hex_, access, assign = "0123456789abcdef" * 2, "AKIA" + "Z7" * 10, "token=abc.def"
+    orders = [" ".join(p) for n in range(5) for p in itertools.product((hex_, access, assign), repeat=n)]
+    texts = dict(enumerate([*orders, None, ""]))
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op11_randomness_battery"](spark, str(tmp_path)).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        want = plain_base(texts[r.doc_id])
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == n for _, k, _ in want) for n in range(3)), texts[r.doc_id]
+
+
 def drawn(rng, alphabet, n):
     return "".join(rng.choice(list(alphabet), n))
 
