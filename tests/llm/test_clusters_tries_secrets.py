@@ -9,6 +9,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -90,6 +91,18 @@ def test_op13(spark):
     assert Counter(map(tuple, QUERIES["op13_burst_tries"](spark, sf).collect())) == plain_trie(rows)
 
 
+def test_op13_turns_of_one_number_come_by_role_and_text(spark, tmp_path):
+    """As in the query's SQL, null turns too."""
+    rng = random.Random(1)
+    rows = [(c, rng.choice([1, 1, 2, None]), rng.choice(["user", "assistant", None]), rng.choice(["b", "a", "é", "", None, "B"]))
+            for c in range(-6, 30) for _ in range(rng.choice([1, 4, 14]))]
+    spark.createDataFrame(rows, TURNS).repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+        want = Counter(con.sql(burst_tries.SQL).fetchall())
+    assert Counter(map(tuple, QUERIES["op13_burst_tries"](spark, str(tmp_path)).collect())) == want
+
+
 def test_planes_give_exact_dot_products():
     rng = np.random.default_rng(1)
     for low, high, width in ((-300, 300, 10), (-1, 1, 1), (0, 1, 1), (-(1 << 27), 1 << 27, 28)):
