@@ -514,8 +514,8 @@ def page_script_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 def _stream_files(spark: SparkSession, sf: str) -> DataFrame:
     schema = table(spark, sf, "documents").schema
-    arriving = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
-    return source_files(arriving)
+    # a pattern, so that the table may be one file or a folder of files: a plain path must be a folder
+    return source_files(spark.readStream.schema(schema).parquet(f"{sf.rstrip('/')}/documents.parque[t]"))
 
 
 @query

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loopledger import findings_of, scan
+from loopledger.plans.catalogue import QUERIES
 from loopledger.plans.report import cost_summary
 from loopledger.streaming import stateful
 from loopledger.streaming.live import write_stream
@@ -45,6 +46,19 @@ def test_a_missing_line_holds_back_what_follows(spark, tmp_path):
     assert [r["line_number"] for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [2]
 
 
+@pytest.mark.parametrize("parts", [0, 3])
+def test_streams_of_a_table_in_one_file_or_a_folder(spark, tmp_path, parts):
+    docs = spark.createDataFrame([(k, f"text {k}", "s") for k in range(20)], "doc_id long, text string, source string")
+    if parts:
+        docs.repartition(parts).write.parquet(f"{tmp_path}/documents.parquet")
+    else:
+        docs.toPandas().to_parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["streamed_findings"](spark, str(tmp_path))
+    want = QUERIES["all_findings"](spark, str(tmp_path))
+    assert got.count() == want.count() > 0
+    assert QUERIES["streamed_totals"](spark, str(tmp_path)).count() > 0
+
+
 UNITS = "file_id long, code string, declared_language string, version long"
 
 
