@@ -540,9 +540,11 @@ def streamed_line_findings(spark: SparkSession, sf: str) -> DataFrame:
     folder = run_folder(spark, "lines")
     lines = _lines_of(spark, sf, JAVASCRIPT).withColumn("language", F.lit(JAVASCRIPT)).union(
         _lines_of(spark, sf, JAVA).withColumn("language", F.lit(JAVA)))
-    lines.repartition(4, F.xxhash64("file_id", "line_no")).write.parquet(f"{folder}/lines")
+    tasks = 4 * max(1, spark.sparkContext.defaultParallelism // 4)
+    lines.repartition(tasks, F.xxhash64("file_id", "line_no")).write.parquet(f"{folder}/lines")
     state_store(spark)
-    arriving = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/lines")
+    each = -(-len(spark.read.schema(lines.schema).parquet(f"{folder}/lines").inputFiles()) // 4) or 1
+    arriving = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", each).parquet(f"{folder}/lines")
     write_stream(stream_line_findings(arriving), f"{folder}/findings", f"{folder}/state").awaitTermination()
     found = spark.read.parquet(f"{folder}/findings")
     return flat(found.withColumn("seq", F.lit(0)), "file_id", "language").drop("seq")
@@ -555,9 +557,10 @@ def corrected_totals(spark: SparkSession, sf: str) -> DataFrame:
     first = source_files(docs, snippet_by=F.length("text") + 3).withColumn("version", F.lit(1))
     second = source_files(docs).withColumn("version", F.lit(2))
     for part in (first, second, first.where("file_id % 3 = 0")):
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/files")
+        part.write.mode("append").parquet(f"{folder}/files")
     state_store(spark)
-    arriving = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/files")
+    each = -(-len(spark.read.schema(first.schema).parquet(f"{folder}/files").inputFiles()) // 3) or 1
+    arriving = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", each).parquet(f"{folder}/files")
     write_changes(stream_changes(arriving), f"{folder}/totals", f"{folder}/state").awaitTermination()
     return TotalsTable(spark, f"{folder}/totals").summary()
 

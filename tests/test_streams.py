@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,6 +39,63 @@ def test_lines_in_any_order_and_twice(spark, tmp_path, batches):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 5
 
 
+class Kept:
+    """State of one key in a dictionary; counts the calls."""
+
+    def __init__(self):
+        self.values, self.calls = {}, 0
+
+    def getValueState(self, *_):
+        return self
+
+    getMapState = getValueState
+
+    def _of(self, key, *value):
+        self.calls += 1
+        if value:
+            self.values[key] = value[0]
+        return self.values.get(key)
+
+    def get(self):
+        return self._of("walk")
+
+    def exists(self):
+        return self._of("walk") is not None
+
+    def update(self, value):
+        self._of("walk", value)
+
+    def containsKey(self, key):
+        return self._of(key) is not None
+
+    def getValue(self, key):
+        return self._of(key)
+
+    def updateValue(self, key, value):
+        self._of(key, value)
+
+    def removeKey(self, key):
+        self._of(key)
+        self.values.pop(key)
+
+
+def test_state_is_called_for_blocks_and_not_for_lines():
+    n, rng, scope, kept = 5000, random.Random(2), stateful.LoopScope(), Kept()
+    scope.init(kept)
+    marks = [(f"line {k}", int(k % 10 == 1), int(k % 10 == 5), 0) for k in range(1, n + 1)]
+    rows = [(k, *m) for k, m in enumerate(marks, 1)]
+    rng.shuffle(rows)
+    parts = [rows[k::4] for k in range(4)]
+    parts[-1] += rows[:50]
+    found = []
+    for part in parts:
+        frame = pd.DataFrame(part, columns=["line_no", "line", "start", "a", "b"])
+        for out in scope.handleInputRows((7, "javascript"), iter([frame]), None):
+            found += out["line_no"].tolist()
+    assert found == [k for k in range(1, n + 1) if 1 <= k % 10 <= 5]
+    assert kept.calls < 100 and list(kept.values) == ["walk"]
+
+
 def test_a_missing_line_holds_back_what_follows(spark, tmp_path):
     stateful.state_store(spark)
     rows = [(1, "javascript", n, line) for n, line in enumerate(JS.split("\n")[:-1], 1) if n != 5]
