@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loopledger.llm.components import components
-from loopledger.llm.shared import workspace, written
+from loopledger.llm.shared import discard, only_rows, workspace, written
 
 RADIUS = 4
 SEED = 42
@@ -105,17 +105,18 @@ def _forest(prints: np.ndarray, names: np.ndarray, radius: int, block: int = 512
     return [(int(names[i]), int(names[r])) for i, r in enumerate(root) if i != r]
 
 
-def links(prints: DataFrame, radius: int = RADIUS, large: int = LARGE_BUCKET) -> DataFrame:
+def links(prints: DataFrame, radius: int = RADIUS, large: int = LARGE_BUCKET, folder: str | None = None) -> DataFrame:
     """Edges (u, v) between the names of distinct fingerprints that connect all pairs within the radius.
 
-    prints: (fp, name) with distinct fp and names that are never null.
+    prints: (fp, name) with distinct fp and names that are never null.  Members of shared buckets are
+    written to the folder, as small and large buckets are both made of them.
     """
     tables = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(m).cast("long").alias("mask"))
                        for k, m in enumerate(masks(radius))])
     keyed = prints.select("fp", "name", F.explode(tables).alias("t")).select(
         F.col("t.k").alias("k"), F.col("fp").bitwiseAND(F.col("t.mask")).alias("part"), "fp", "name")
     sizes = keyed.groupBy("k", "part").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    shared = keyed.join(sizes, ["k", "part"])
+    shared = written(keyed.join(sizes, ["k", "part"]), folder or workspace(prints.sparkSession, "shared"))
 
     def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,7 +170,8 @@ def _grouped(rows: DataFrame, folder: str, radius: int, large: int) -> DataFrame
     may be null or repeated.
     """
     prints = written(rows.groupBy("fp").agg(F.min("doc_id").alias("name")), f"{folder}/prints")
-    found = components(links(prints.select("fp", F.col("fp").alias("name")), radius, large))
+    found = components(links(prints.select("fp", F.col("fp").alias("name")), radius, large, f"{folder}/shared"))
+    discard(rows.sparkSession, f"{folder}/shared")
     return prints.join(found, prints["fp"] == found["node"], "left").select(
         "fp", "name", F.coalesce("component", "fp").alias("component"))
 
@@ -203,7 +205,7 @@ def one_of_each_group(docs: DataFrame, radius: int = RADIUS, large: int = LARGE_
     rows = written(numbered.select("doc_id", F.col(row).alias("at"), fingerprints(F.col("text")).alias("fp")),
                    f"{folder}/rows")
     kept = first_rows(rows, folder, radius, large)
-    return numbered.join(kept.withColumnRenamed("at", row), row, "left_semi").select(*docs.columns)
+    return only_rows(numbered, row, kept).select(*docs.columns)
 
 
 def as_hex(fp: Column) -> Column:

@@ -16,6 +16,7 @@ too seldom for the similarity (a loss below one in 30,000) are left out; all tha
 confirmed on whole sets of shingles.
 
 Texts are read once, for fingerprints, minima and the row's number; sets are made of candidates only.
+They are never shuffled: the numbers of the rows wanted are sent to where the texts are read.
 
 Defined cases: words are those of the fingerprints; fewer words than a shingle make one shingle; null
 and wordless texts have no shingle and are one group of fingerprints; the row with the least doc_id of
@@ -38,7 +39,7 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
 from loopledger.llm import covering_simhash
 from loopledger.llm.components import components
 from loopledger.llm.covering_simhash import shingle_hashes, simhash
-from loopledger.llm.shared import discard, small_batches, workspace, written
+from loopledger.llm.shared import discard, only_rows, small_batches, workspace, written
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -151,7 +152,7 @@ def _confirmed(numbered: DataFrame, sketched: DataFrame, pairs: DataFrame, row:
 
 def _shingles(numbered: DataFrame, chosen: DataFrame, row: str) -> DataFrame:
     """(at, shingles) of the chosen rows."""
-    return numbered.select(row, "text").join(chosen, row, "left_semi").select(
+    return only_rows(numbered.select(row, "text"), row, chosen).select(
         F.col(row).alias("at"), _sets(F.col("text")).alias("shingles"))
 
 
@@ -259,4 +260,4 @@ def one_of_each_near_copy(docs: DataFrame, family_rows: int = FAMILY_ROWS) -> Da
     discard(spark, *(f"{folder}/{x}" for x in (
         "groups", "kept", "sketched", "shared", "stars", "stars-near", "stars-sets", "stars-members", "stars-surplus", "left",
         "left-linked", "left-families", "sets", "families-members", "families-surplus")))
-    return numbered.join(stay.withColumnRenamed("at", row), row, "left_semi").select(*docs.columns)
+    return only_rows(numbered, row, stay).select(*docs.columns)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from loopledger.llm import block_naming, covering_simhash, hilbert, line_frequency, shingle_copies
 from loopledger.llm.components import components
+from loopledger.llm.shared import only_rows
 
 
 def null_last(x):
@@ -292,3 +293,28 @@ def test_forest_connects_what_is_similar():
         own = [own[i] if r == own[j] else r for r in own]
     assert len(set(own)) == len(set(root)) and all((own[i] == own[j]) == (root[i] == root[j]) for i in range(60) for j in range(60))
     assert len(edges) == 60 - len(set(root))
+
+
+def test_chosen_rows_by_their_bits(spark):
+    at = [0, 1, 7, 8, 32767, 32768, 32769, 65536, 65537, (1 << 33) - 1, 1 << 33, (1 << 33) + 5, (5 << 33) + 70_000]
+    near = sorted({a + k for a in at for k in range(-9, 10) if a + k >= 0})
+    rows = spark.createDataFrame([(a, f"text {a}") for a in near], "at long, bits string").repartition(3)
+    chosen = spark.createDataFrame([(a,) for a in [*at, at[3], 9 << 33]], "row long")
+    assert sorted(map(tuple, only_rows(rows, "at", chosen).collect())) == [(a, f"text {a}") for a in at]
+    assert only_rows(rows, "at", chosen.limit(0)).count() == 0
+
+
+def test_texts_are_not_shuffled_and_buckets_are_made_once(spark, docs):
+    def plan(df):
+        return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
+
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for more rows than a join would broadcast
+    try:
+        for one in (shingle_copies.one_of_each_near_copy, covering_simhash.one_of_each_group):
+            texts, *_ = plan(one(docs.limit(5))).split("BroadcastExchange")
+            assert "FileScan" in texts and "text" in texts and "Exchange" not in texts
+        prints = spark.range(50).select(F.col("id").alias("fp"), F.col("id").alias("name"))
+        assert "Generate" not in plan(covering_simhash.links(prints))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
