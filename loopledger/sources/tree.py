@@ -114,11 +114,15 @@ def _read(batches: Iterator[pa.RecordBatch], files_only: bool = False) -> Iterat
         for path in batch["path"].to_pylist():
             if files_only and not os.path.isfile(path):
                 continue
-            code, error = read_source(path)
-            own = len(code.encode("utf-8", "replace")) if code else 0
+            text, error = read_source(path)
+            # held as UTF-8: a string may take four bytes a character
+            code = None if text is None else text.encode("utf-8")
+            own, text = len(code or b""), None
             if rows and size + own > BYTES_PER_BATCH:
-                yield pack(rows)
+                full = pack(rows)
                 rows, size = [], 0
+                yield full
+                del full
             rows.append((path, code, error))
             size += own
     if rows:

@@ -2,14 +2,17 @@
 
 import json
 import os
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyarrow import fs
 from pyspark.sql import functions as F
 
 from loopledger import findings_of, list_tree, parse_requests, read_path, read_tree, scan, snippets
 from loopledger.plans import report
-from loopledger.sources import long_files, tree_source
+from loopledger.session import BATCH_BYTES
+from loopledger.sources import long_files, tree, tree_source
 from loopledger.sources.sinks import write_json
 from loopledger.sources.tree import decode_binary
 
@@ -245,3 +248,26 @@ def test_a_long_file_spreads_and_has_the_findings_of_a_scan(spark, tmp_path):
     found = long_files.tree_findings(spark, str(tmp_path), long_bytes=1000, range_bytes=4096)
     whole = findings_of(scan(read_tree(spark, str(tmp_path)))).drop("seq")
     assert sorted(map(str, found.select(whole.columns).collect())) == sorted(map(str, whole.collect())) and found.count() > 3000
+
+
+def test_reading_holds_a_batch_of_bytes_not_of_wide_strings(tmp_path):
+    text = "# one wide character makes a string of four bytes a character: \U0001f600\r\n" + "x = 1  # é\n" * 80_000
+    for k in range(40):
+        (tmp_path / f"{k}.py").write_text(text, encoding="utf-8", newline="")
+    paths = pa.RecordBatch.from_arrays([pa.array([str(tmp_path / f"{k}.py") for k in range(40)])], ["path"])
+    tracemalloc.start()
+    n = 0
+    for batch in tree._read(iter([paths])):
+        assert batch["code"][0].as_py() == text.replace("\r\n", "\n") and batch.nbytes <= tree.BYTES_PER_BATCH + (1 << 20)
+        n += batch.num_rows
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 40 and peak < 2 * tree.BYTES_PER_BATCH
+
+
+def test_texts_go_to_python_in_bounded_batches(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    assert int(spark.conf.get(name).rstrip("bB")) > BATCH_BYTES
+    assert findings_of(scan(spark.createDataFrame([("a.py", LOOP)], "path string, code string"))).count() == 1
+    assert int(spark.conf.get(name).rstrip("bB")) <= BATCH_BYTES
