@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loopledger.llm.components import components
-from loopledger.llm.shared import discard, only_rows, workspace, written
+from loopledger.llm.shared import by_key, discard, only_rows, workspace, written
 
 RADIUS = 4
 SEED = 42
@@ -116,7 +116,7 @@ def links(prints: DataFrame, radius: int = RADIUS, large: int = LARGE_BUCKET, fo
     keyed = prints.select("fp", "name", F.explode(tables).alias("t")).select(
         F.col("t.k").alias("k"), F.col("fp").bitwiseAND(F.col("t.mask")).alias("part"), "fp", "name")
     sizes = keyed.groupBy("k", "part").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    shared = written(keyed.join(sizes, ["k", "part"]), folder or workspace(prints.sparkSession, "shared"))
+    shared = written(keyed.join(by_key(sizes), ["k", "part"]), folder or workspace(prints.sparkSession, "shared"))
 
     def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,7 +160,7 @@ def _by_midpoints(members: DataFrame, radius: int) -> DataFrame:
     mids = written(members.select("k", "fp", "name").withColumn("k", F.col("k").cast("long")).mapInArrow(
         spread, "k long, mid long, name long"), folder)
     least = mids.groupBy("k", "mid").agg(F.min("name").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return mids.join(least, ["k", "mid"]).where("name <> v").select(F.col("name").alias("u"), "v").distinct()
+    return mids.join(by_key(least), ["k", "mid"]).where("name <> v").select(F.col("name").alias("u"), "v").distinct()
 
 
 def _grouped(rows: DataFrame, folder: str, radius: int, large: int) -> DataFrame:
@@ -172,7 +172,7 @@ def _grouped(rows: DataFrame, folder: str, radius: int, large: int) -> DataFrame
     prints = written(rows.groupBy("fp").agg(F.min("doc_id").alias("name")), f"{folder}/prints")
     found = components(links(prints.select("fp", F.col("fp").alias("name")), radius, large, f"{folder}/shared"))
     discard(rows.sparkSession, f"{folder}/shared")
-    return prints.join(found, prints["fp"] == found["node"], "left").select(
+    return prints.join(by_key(found), prints["fp"] == found["node"], "left").select(
         "fp", "name", F.coalesce("component", "fp").alias("component"))
 
 
@@ -182,7 +182,7 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, large: int = LARGE_BUCKET
     rows = written(docs.select("doc_id", fingerprints(F.col("text")).alias("fp")), f"{folder}/rows")
     groups = written(_grouped(rows, folder, radius, large), f"{folder}/groups")
     least = groups.groupBy("component").agg(F.min("name").alias("component_id"))
-    return rows.join(groups.join(least, "component"), "fp").select("doc_id", "fp", "component_id")
+    return rows.join(by_key(groups.join(by_key(least), "component")), "fp").select("doc_id", "fp", "component_id")
 
 
 def first_rows(rows: DataFrame, folder: str, radius: int = RADIUS, large: int = LARGE_BUCKET) -> DataFrame:
@@ -191,7 +191,7 @@ def first_rows(rows: DataFrame, folder: str, radius: int = RADIUS, large: int =
     # the first row of each fingerprint, so that a group is no larger than its distinct fingerprints
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "at")
     first = rows.groupBy("fp").agg(F.min(order).alias("best"))
-    kept = first.join(groups, "fp").groupBy("component").agg(F.min("best").alias("best"))
+    kept = first.join(by_key(groups), "fp").groupBy("component").agg(F.min("best").alias("best"))
     return kept.select(F.col("best.at").alias("at"))
 
 
