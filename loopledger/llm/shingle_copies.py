@@ -39,7 +39,7 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
 from loopledger.llm import covering_simhash
 from loopledger.llm.components import components
 from loopledger.llm.covering_simhash import shingle_hashes, simhash
-from loopledger.llm.shared import discard, only_rows, small_batches, workspace, written
+from loopledger.llm.shared import by_key, discard, only_rows, small_batches, workspace, written
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -137,7 +137,7 @@ def _met(pairs: DataFrame, values: DataFrame, end: str, value: str) -> DataFrame
     salted = pairs.join(hubs, end, "left").withColumn("salt", F.when(F.col("hub"), F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int")).otherwise(0))
     side = values.select(F.col("at").alias(end), F.col(value).alias(f"of_{end}")).join(hubs, end, "left").withColumn(
         "salt", F.explode(F.when(F.col("hub"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    return salted.drop("hub").join(side.drop("hub"), [end, "salt"]).drop("salt")
+    return salted.drop("hub").join(by_key(side.drop("hub")), [end, "salt"]).drop("salt")
 
 
 def _confirmed(numbered: DataFrame, sketched: DataFrame, pairs: DataFrame, row: str, folder: str) -> DataFrame:
@@ -162,8 +162,8 @@ def _surplus(edges: DataFrame, sketched: DataFrame, folder: str) -> DataFrame:
     members = written(linked.select(F.col("node").alias("at"), "component").union(
         linked.select(F.col("component").alias("at"), "component").distinct()), f"{folder}-members")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "at")
-    least = members.join(sketched.select("at", "doc_id"), "at").groupBy("component").agg(F.min(order)["at"].alias("at"))
-    return written(members.select("at").join(least, "at", "left_anti"), f"{folder}-surplus")
+    least = members.join(by_key(sketched.select("at", "doc_id")), "at").groupBy("component").agg(F.min(order)["at"].alias("at"))
+    return written(members.select("at").join(by_key(least), "at", "left_anti"), f"{folder}-surplus")
 
 
 def _fit(a: str, b: str) -> Column:
@@ -210,13 +210,15 @@ def forest(names: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
 def _within_families(left: DataFrame, sets: DataFrame, rows: int, folder: str) -> DataFrame:
     """(u, v) edges between similar texts of (at, n, key), texts of one family of buckets; sets: (at, shingles)."""
     first = left.groupBy("key").agg(F.min("at").alias("v"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    linked = written(components(left.join(first, "key").select(F.col("at").alias("u"), "v")), f"{folder}-linked")
+    linked = written(components(left.join(by_key(first), "key").select(F.col("at").alias("u"), "v")), f"{folder}-linked")
     of = linked.select(F.col("node").alias("at"), F.col("component").alias("family")).union(
         linked.select(F.col("component").alias("at"), F.col("component").alias("family")).distinct())
-    members = written(of.join(left.select("at", "n").distinct(), "at"), f"{folder}-families")
+    members = written(of.join(by_key(left.select("at", "n").distinct()), "at"), f"{folder}-families")
     blocks = members.groupBy("family").agg(F.greatest(
         F.ceil(F.count(F.lit(1)) / rows), F.ceil(8 * F.sum("n") / FAMILY_BYTES)).cast("int").alias("blocks"))
-    dealt = members.join(blocks, "family").withColumn("own", F.pmod(F.xxhash64("at"), F.col("blocks")).cast("int")).withColumn(
+    # few families are beyond a block, so these may be broadcast
+    sized = members.join(blocks.where("blocks > 1"), "family", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = sized.withColumn("own", F.pmod(F.xxhash64("at"), F.col("blocks")).cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = dealt.select("at", "family", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
 
@@ -228,7 +230,7 @@ def _within_families(left: DataFrame, sets: DataFrame, rows: int, folder: str) -
                 edges += forest(names, [x.values.to_numpy() for x in shingles])
             yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
-    gathered = pairs.join(sets, "at").groupBy("family", "a", "b").agg(F.collect_list(F.struct("at", "shingles")).alias("texts"))
+    gathered = pairs.join(by_key(sets), "at").groupBy("family", "a", "b").agg(F.collect_list(F.struct("at", "shingles")).alias("texts"))
     return gathered.select("texts").mapInArrow(compare, "u long, v long")
 
 
@@ -244,19 +246,19 @@ def one_of_each_near_copy(docs: DataFrame, family_rows: int = FAMILY_ROWS) -> Da
     kept = written(covering_simhash.first_rows(rows, f"{folder}/groups"), f"{folder}/kept")
     narrow = numbered.select("doc_id", F.col(row).alias("at"), F.col(f"{sketch}.n").alias("n"),
                              F.col(f"{sketch}.keys").alias("keys"), F.col(f"{sketch}.minima").alias("minima"))
-    sketched = written(narrow.where("n > 0").join(kept, "at", "left_semi"), f"{folder}/sketched")
+    sketched = written(narrow.where("n > 0").join(by_key(kept), "at", "left_semi"), f"{folder}/sketched")
 
     keyed = sketched.select("at", "n", F.explode("keys").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min(F.struct("at", "n")).alias("least"), F.count(F.lit(1)).alias("members"))
-    shared = written(keyed.join(buckets.where("members > 1"), "key"), f"{folder}/shared")
+    shared = written(keyed.join(by_key(buckets.where("members > 1")), "key"), f"{folder}/shared")
     stars = shared.where("at <> least.at").where(_fit("n", "least.n")).select(F.col("least.at").alias("u"), F.col("at").alias("v"))
     stars = written(stars.distinct(), f"{folder}/stars")
     gone = _surplus(_confirmed(numbered, sketched, stars, row, f"{folder}/stars"), sketched, f"{folder}/stars")
-    left = written(shared.where("members > 2").join(gone, "at", "left_anti").select("key", "at", "n"), f"{folder}/left")
+    left = written(shared.where("members > 2").join(by_key(gone), "at", "left_anti").select("key", "at", "n"), f"{folder}/left")
     sets = written(_shingles(numbered, left.select(F.col("at").alias(row)).distinct(), row), f"{folder}/sets")
     more = _surplus(_within_families(left, sets, family_rows, f"{folder}/left"), sketched, f"{folder}/families")
     gone = gone.union(more)
-    stay = written(kept.join(gone, "at", "left_anti"), f"{folder}/stay")
+    stay = written(kept.join(by_key(gone), "at", "left_anti"), f"{folder}/stay")
     discard(spark, *(f"{folder}/{x}" for x in (
         "groups", "kept", "sketched", "shared", "stars", "stars-near", "stars-sets", "stars-members", "stars-surplus", "left",
         "left-linked", "left-families", "sets", "families-members", "families-surplus")))

@@ -13,8 +13,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 from loopledger.llm import block_naming, covering_simhash, hilbert, line_frequency, shingle_copies
-from loopledger.llm.components import components
-from loopledger.llm.shared import only_rows
+from loopledger.llm.components import _to_least, components
+from loopledger.llm.shared import only_rows, written
 
 
 def null_last(x):
@@ -318,3 +318,25 @@ def test_texts_are_not_shuffled_and_buckets_are_made_once(spark, docs):
         assert "Generate" not in plan(covering_simhash.links(prints))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_sides_that_grow_with_the_input_are_never_broadcast(spark, docs, monkeypatch):
+    """Spark guesses the rows of an explode or a compressed table too low, and would send them all through the driver."""
+    plans = {}
+
+    def seen(df, path, *options):
+        plans[path.rsplit("/", 1)[1]] = df._jdf.queryExecution().executedPlan().toString()
+        return written(df, path, *options)
+
+    for module in (covering_simhash, shingle_copies):
+        monkeypatch.setattr(module, "written", seen)
+    last = covering_simhash.near_groups(docs.select("doc_id", "text"))
+    for df, name in ((last, "last"), (shingle_copies.one_of_each_near_copy(docs, 2), "stay rows")):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+    for name in ("shared", "groups", "last", "kept", "sketched", "stars-surplus", "left", "stay"):
+        assert "SortMergeJoin" in plans[name] and "BroadcastHashJoin" not in plans[name], name
+    edges = spark.range(1, 4).select(F.col("id").alias("u"), F.lit(0).cast("long").alias("v"))
+    for few in (True, False):
+        got = _to_least(edges, few)
+        assert sorted(map(tuple, got.collect())) == [(1, 0, 0), (2, 0, 0), (3, 0, 0)]
+        assert few or "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
