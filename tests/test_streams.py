@@ -4,6 +4,7 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from loopledger import findings_of, scan
@@ -139,6 +140,25 @@ def test_a_corrected_unit_takes_back_what_it_added(spark, tmp_path):
     assert totals_of(table.summary()) == totals_of(want) and table.marks() == [2, 3]
 
 
+def test_totals_call_the_state_for_entries_and_not_for_units(monkeypatch):
+    monkeypatch.setattr(stateful, "ENTRY", 50)
+    n, rng, kept, changes = 3000, random.Random(3), Kept(), stateful.Changes("bigint")
+    changes.init(kept)
+    newest, total = {}, 0
+    for batch in range(4):
+        rows = [(rng.randrange(n), rng.randint(1, 6), rng.randrange(100)) for _ in range(n)] + [(None, batch, 7)]
+        before, now = kept.calls, {}
+        for unit, version, x in rows:
+            if unit not in now or version > now[unit][0]:
+                now[unit] = (version, x)
+        newest |= {u: r for u, r in now.items() if u not in newest or r[0] > newest[u][0]}
+        given = [Row(unit=u, version=v, place=(u or 0) * 2654435761 >> 7, amounts=[dict.fromkeys(stateful.AMOUNTS, x) | {"category": "a"}]) for u, v, x in rows]
+        total += sum(out["monthly"] for out in changes.handleInputRows((1,), iter(given), None))
+        assert total == sum(x for _, x in newest.values())
+        assert kept.calls - before < 800
+    assert kept.values["walk"] == (len(newest), 64) and len(kept.values) <= 65
+
+
 def test_readers_see_whole_batches_only(spark, tmp_path):
     table = stateful.TotalsTable(spark, f"file://{tmp_path}/t")
 
