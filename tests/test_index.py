@@ -108,3 +108,22 @@ def test_rules_are_neither_gathered_nor_tried_one_by_one(spark):
     text = plan(matches)
     assert "NestedLoop" not in text and "Subquery" not in text and "keys=[]" not in text.lower().replace("keys: []", "keys=[]")
     assert sorted(r["unit"] for r in matches.collect()) == list(range(50))
+
+
+def test_patterns_are_numbered_where_they_are_read(spark, monkeypatch):
+    plans, kept = {}, rule_table.written
+
+    def seen(df, name):
+        plans[name] = plan(df)
+        return kept(df, name)
+
+    monkeypatch.setattr(rule_table, "written", seen)
+    rows = [(f"T{k}", "javascript", "n", "api_call", "low", "s", "t", o, rf"call{k}x{o}\s*\(|other_{k}", "l", None, None, True)
+            for k in range(40) for o in (1, 2)]
+    got = rule_table.compiled(spark.createDataFrame(rows, PATTERN).repartition(3).cache())
+    assert "Exchange" not in plans["patterns"].split("InMemoryRelation")[0]
+    assert len({r["pattern"] for r in got.collect()}) == 80
+    assert sorted((r["rule_id"], r["ord"], r["branches"]) for r in got.collect()) == sorted(
+        (f"T{k}", o, [[f"call{k}x{o}", "("], [f"other_{k}"]]) for k in range(40) for o in (1, 2))
+    with pytest.raises(Exception, match="twice"):
+        rule_table.compiled(spark.createDataFrame([*rows, rows[5]], PATTERN))
